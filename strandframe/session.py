@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +14,56 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key counts as heavy from this share of the rows on, so there are at most 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 1 / 1000
+#: Rows below which a table is joined without a look for heavy keys; this changes the plan, not the result.
+SMALL_ROWS = 200_000
+
+_ROOTS: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; choose one only where that is unset (tests, local mode)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; one is chosen only where that is unset (tests, local mode)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandframe-ckpt-"))
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if base is None:
+        base = "file://" + tempfile.mkdtemp(prefix="strandframe-")
+        sc.setCheckpointDir(base)
+    key = (sc.applicationId, base)
+    if key not in _ROOTS:
+        _ROOTS[key] = f"{base}/strandframe-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _ROOTS[key])
+    return _ROOTS[key]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended already; the cluster clears its shared folder
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; the files survive lost executors.
+    """Write ``df`` to the shared folder and go on from the files: lineage is cut, and they survive lost executors.
+
+    As Parquet the table keeps column pruning and a known size, and its reader packs small files into few partitions, so
+    loops keep plans and task numbers constant. See ``drop``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandframe_path = path
+    return out
 
-    The plan of the returned frame reads the files only, so loops keep plans of constant size."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no frame will read again."""
+    for t in tables:
+        if path := getattr(t, "_strandframe_path", None):
+            _delete(t.sparkSession, path)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -46,21 +78,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if n <= max_rows else df
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys that hold at least ``share`` of the rows of ``df``: by construction at most 1 / share rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame | None:
+    """Keys, without nulls, that hold at least ``share`` of the rows of ``df``: by construction at most 1 / share rows.
+
+    None if there are none or the table is too small for any key to matter."""
     total = df.count()
-    return counts.where(F.col("_n") >= max(2, int(total * share))).drop("_n")
+    if total < SMALL_ROWS:
+        return None
+    some = df.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys))
+    rows = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= int(total * share)).drop("_n")
+    held = rows.collect()
+    return df.sparkSession.createDataFrame(held, rows.schema) if held else None
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a large ``left`` with heavy keys to a ``right`` that has one row per key.
 
     Rows of heavy keys meet their few right rows by broadcast (at most 1 / HEAVY_SHARE keys), the others are shuffled.
-    Both frames should be materialised (see ``cut``). Null keys count as light and match nothing.
-    ``how`` is inner or left."""
-    heavy = cut(heavy_keys(left.where(" and ".join(f"`{k}` is not null" for k in keys)), keys))
-    if is_empty(heavy):
+    ``left`` should be materialised (see ``cut``). Null keys match nothing. ``how`` is inner or left."""
+    heavy = heavy_keys(left, keys)
+    if heavy is None:
         return left.join(right, keys, how)
     mark = F.broadcast(heavy)
     hot = left.join(mark, keys, "left_semi").join(F.broadcast(right.join(mark, keys, "left_semi")), keys, how)
@@ -80,5 +117,3 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
 
-
-__all__ = ["BROADCAST_ROWS", "HEAVY_SHARE", "StorageLevel", "broadcast_if_small", "cut", "ensure_checkpoint_dir", "heavy_keys", "is_empty", "local_session", "skew_join", "table"]
