@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.session import cut, is_empty, skew_join
+from strandframe.session import cut, drop, is_empty, skew_join
 
 #: Rake and compress go on while a round removes at least this share of the vertices.
 GOING_ON = 0.05
@@ -69,7 +69,8 @@ def compress(edges: DataFrame, degrees: DataFrame, salt: int) -> tuple[DataFrame
             break
         on = arcs.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("end").alias("e2"), F.col("nx").alias("nx2"), F.col("ny").alias("ny2"))
         moved = active.join(on, ["nx", "ny"]).select("x", "y", F.col("e2").alias("end"), F.col("nx2").alias("nx"), F.col("ny2").alias("ny"))
-        arcs = cut(arcs.where("end is not null").unionByName(moved))
+        last, arcs = arcs, cut(arcs.where("end is not null").unionByName(moved))
+        drop(last)
     ends = cut(arcs.groupBy("x").agg(F.min("end").alias("parent"), F.max("end").alias("far")))
     rest = edges.join(arcs.select(*_edge(F.col("x"), F.col("y"))).distinct(), ["u", "v"], "left_anti")
     bridged = ends.where("parent < far").select(F.col("parent").alias("u"), F.col("far").alias("v"))
@@ -106,8 +107,10 @@ def groups(edges: DataFrame) -> DataFrame:
         for act in (lambda e, d: rake(e, d), lambda e, d: compress(e, d, salt)):
             if is_empty(edges):
                 break
-            edges, off = act(edges, cut(_degrees(edges)))
+            last, degrees = edges, cut(_degrees(edges))
+            edges, off = act(edges, degrees)
             off = cut(off)
+            drop(last, degrees)
             k = off.count()
             gone += k
             if k:
@@ -116,15 +119,18 @@ def groups(edges: DataFrame) -> DataFrame:
         if gone < GOING_ON * n:
             break
     while not is_empty(edges):
+        last = edges
         edges, off = collapse(edges)
         removed.append(cut(off))
+        drop(last)
     if not removed:
         return edges.select(F.col("u").alias("x"), F.col("v").alias("group_id"))
     tree = cut(reduce(DataFrame.union, removed).select(F.col("x").cast(kind).alias("x"), F.col("parent").cast(kind).alias("parent")))
     # a parent is removed later than its child if at all, so paths are no longer than the number of removals
     for _ in range(max(1, len(removed)).bit_length()):
         up = tree.select(F.col("x").alias("parent"), F.col("parent").alias("top"))
-        tree = cut(skew_join(tree, up, ["parent"], "left").select("x", F.coalesce("top", "parent").alias("parent")))
+        last, tree = tree, cut(skew_join(tree, up, ["parent"], "left").select("x", F.coalesce("top", "parent").alias("parent")))
+        drop(last)
     members = cut(tree.unionByName(tree.select("parent").distinct().select(F.col("parent").alias("x"), "parent")))
     least = cut(members.groupBy("parent").agg(F.min("x").alias("group_id")))
     return skew_join(members, least, ["parent"]).select("x", "group_id")

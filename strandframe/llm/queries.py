@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import components, top_n, windows
-from strandframe.session import skew_join, table
+from strandframe.llm import components, containers, mixture, radix, spans, tokens, top_n, windows
+from strandframe.session import cut, skew_join, table
 
 LIMIT, OVERLAP = 60_000, 2_000
+PERCENTS = [50, 90, 99]
+SPAN = 100
+CAPACITY = 2_048
+#: Tilt of the curriculum: reference texts come later, logs and crawled pages earlier.
+TILTS = {"wiki": 0.5, "methods_draft": 0.5, "run_log": -0.5, "web_crawl": -0.25}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +41,99 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.groups(edges).select(F.col("x").alias("read_id"), "group_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four metrics of read_stats in long form, repaired: an identity of at most 1 was loaded as a fraction and is
+    taken times 100, an overhang of -1 means none, and one below -1 lost its 17th bit in 16-bit storage (plus 65,536).
+    Nulls and NaN are no values; repeated rows count as stored."""
+
+    def overhang(c: str) -> Column:
+        v = F.col(c).cast("int")
+        return F.when(v == -1, None).when(v < -1, v + 65_536).otherwise(v)
+
+    identity = F.col("identity_pct").cast("double")
+    metrics = {"identity_pct": F.when(identity <= 1, identity * 100).otherwise(identity), "mate_len": F.col("mate_len"), "overhang_l": overhang("overhang_l"), "overhang_r": overhang("overhang_r")}
+    return radix.long_form(table(spark, sf_dir, "read_stats"), ["lib_name", "run_day"], metrics)
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles per library and day, and over all days from the combined day results."""
+    return radix.percentiles(_stats(spark, sf_dir), ["lib_name", "run_day"], ["lib_name"], PERCENTS)
+
+
+def p5_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day results that can be combined: counts per leading digit."""
+    return radix.summary(_stats(spark, sf_dir), ["lib_name", "run_day"])
+
+
+def p5_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from the day results alone, with their error bound."""
+    return radix.percentiles(_stats(spark, sf_dir), ["lib_name", "run_day"], ["lib_name"], PERCENTS, digits=radix.DIGITS[:1])
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "seq_reads"), "read_id", "seq", SPAN)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of bases shared with another read in stretches of SPAN or more."""
+    return _shared(spark, sf_dir).select(F.col("id").alias("read_id"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
+
+
+def p6_shared_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared bases and runs of every read with a sequence."""
+    reads = table(spark, sf_dir, "seq_reads").where("read_id is not null and seq is not null").groupBy("read_id").agg(F.max(F.length("seq")).alias("bases"))
+    got = _shared(spark, sf_dir).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("shared_bases"), F.count("s").alias("runs"))
+    return reads.join(got, F.col("id") == F.col("read_id"), "left").select("read_id", "bases", F.coalesce("shared_bases", F.lit(0)).alias("shared_bases"), F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, in pieces of at most CAPACITY tokens."""
+    return containers.fill(_sizes(spark, sf_dir), "doc_id", "tokens", CAPACITY)
+
+
+def p7_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and used tokens of every container."""
+    return containers.fills(p7_containers(spark, sf_dir))
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.draw(_sizes(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is used."""
+    return _drawn(spark, sf_dir).select("doc_id", "source", "tokens", "uses")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixture.shares(cut(_drawn(spark, sf_dir)), table(spark, sf_dir, "source_targets"))
+
+
+def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training position of every use under the tilted curriculum."""
+    return mixture.positions(cut(_drawn(spark, sf_dir)), TILTS)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p5_percentiles": p5_percentiles,
+    "p5_day_summaries": p5_day_summaries,
+    "p5_bounded": p5_bounded,
+    "p6_found": p6_found,
+    "p6_shared_bases": p6_shared_bases,
+    "p7_containers": p7_containers,
+    "p7_fills": p7_fills,
+    "p8_uses": p8_uses,
+    "p8_shares": p8_shares,
+    "p8_order": p8_order,
+}
 
 SQL = {
     "p1_found": """
@@ -60,4 +157,14 @@ SQL = {
         s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         c AS (SELECT a, a AS r FROM s UNION SELECT s.a, c.r FROM c JOIN s ON s.b = c.a)
         SELECT a AS read_id, min(r) AS group_id FROM c GROUP BY a""",
+    "p5_percentiles": """
+        WITH m AS (
+            SELECT lib_name, run_day, 'identity_pct' AS metric, CASE WHEN CAST(identity_pct AS DOUBLE) <= 1 THEN CAST(identity_pct AS DOUBLE) * 100 ELSE CAST(identity_pct AS DOUBLE) END AS x FROM read_stats WHERE identity_pct IS NOT NULL AND NOT isnan(identity_pct)
+            UNION ALL SELECT lib_name, run_day, 'mate_len', mate_len FROM read_stats WHERE mate_len IS NOT NULL
+            UNION ALL SELECT lib_name, run_day, 'overhang_l', CASE WHEN overhang_l < -1 THEN CAST(overhang_l AS INTEGER) + 65536 ELSE overhang_l END FROM read_stats WHERE overhang_l <> -1
+            UNION ALL SELECT lib_name, run_day, 'overhang_r', CASE WHEN overhang_r < -1 THEN CAST(overhang_r AS INTEGER) + 65536 ELSE overhang_r END FROM read_stats WHERE overhang_r <> -1),
+        g AS (SELECT lib_name, run_day, 'part' AS level, metric, x FROM m UNION ALL SELECT lib_name, NULL, 'all', metric, x FROM m),
+        r AS (SELECT *, row_number() OVER (PARTITION BY level, lib_name, run_day, metric ORDER BY x) AS rn, count(*) OVER (PARTITION BY level, lib_name, run_day, metric) AS n FROM g),
+        p AS (SELECT unnest([50, 90, 99]) AS percent)
+        SELECT lib_name, run_day, level, metric, CAST(percent AS INTEGER) AS percent, n, x AS value, CAST(0 AS DOUBLE) AS max_error FROM r JOIN p ON rn = greatest(1, (n * percent + 99) // 100)""",
 }

@@ -11,10 +11,12 @@ once per joint; jobs then reach all their joints by doubling (steps of 1, 2, 4 .
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.session import cut, is_empty, skew_join
+from strandframe.session import cut, drop, is_empty, skew_join
 
 
 def as_of(queries: DataFrame, joints: DataFrame, bucket: int) -> DataFrame:
@@ -77,13 +79,16 @@ def split_windows(jobs: DataFrame, joints: DataFrame, limit: int, overlap: int)
     # jump: the joint 2**k uses on, and the job end above which the last piece before it is not the job's last
     jump = step.where("nxt is not null").select("seq", "b", F.col("nxt").alias("to"), (F.col("b") + adv * (F.col("hard") + 1)).alias("needs"))
     reached = jobs
+    parts = [jobs]
     while True:
         more = cut(skew_join(reached, jump, ["seq", "b"]).where("end > needs").select("job", "seq", "end", F.col("to").alias("b")))
         if is_empty(more):
             break
-        reached = cut(reached.unionByName(more))
+        parts.append(more)
+        reached = reduce(DataFrame.unionByName, parts)
         far = jump.select("seq", F.col("b").alias("to"), F.col("to").alias("to2"), F.col("needs").alias("needs2"))
-        jump = cut(jump.join(far, ["seq", "to"]).select("seq", "b", F.col("to2").alias("to"), F.col("needs2").alias("needs")))
+        last, jump = jump, cut(jump.join(far, ["seq", "to"]).select("seq", "b", F.col("to2").alias("to"), F.col("needs2").alias("needs")))
+        drop(last)
     rows = skew_join(reached, step, ["seq", "b"]).withColumn("lasting", F.expr(f"greatest(0, (end - b + {adv - 1}) div {adv} - 1)"))
     rows = rows.withColumn("final", F.col("nxt").isNull() | (F.col("lasting") <= F.col("hard"))).withColumn("top", F.when(F.col("final"), F.col("lasting")).otherwise(F.col("hard")))
     piece = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))))
