@@ -27,7 +27,7 @@ AT_A_TIME = 1_000_000
 #: Longest run of windows in one string.
 LONGEST_RUN = 4_096
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT = 0x9E3779B97F4A7C15
 _CODE = np.full(256, 255, np.uint8)
 _CODE[[65, 67, 71, 84]] = np.arange(4)
 _LETTER = np.frombuffer(b"ACGT", np.uint8)
@@ -50,12 +50,12 @@ def _hashes(letters: np.ndarray, n: int) -> np.ndarray:
                 out = unit
             else:
                 keep = len(letters) - (done + size) + 1
-                out = out[:keep] * power[size] + unit[done : done + keep]
+                out = out[:keep] * np.uint64(power[size]) + unit[done : done + keep]
             done += size
         if done == n:
             return _mix(out[: len(letters) - n + 1])
-        unit = unit[: len(unit) - size] * power[size] + unit[size:]
-        power[size * 2] = power[size] * power[size]
+        unit = unit[: len(unit) - size] * np.uint64(power[size]) + unit[size:]
+        power[size * 2] = power[size] ** 2 % (1 << 64)
         size *= 2
 
 
