@@ -81,7 +81,7 @@ def when(part: Column, tilt: Column) -> Column:
     """The time t at which (1 - g) t + g t**2 reaches ``part`` (0 to 1) of the source's demand."""
     a = F.lit(1.0) - tilt
     # the root that also holds for g = 0
-    return F.least(F.lit(1.0), 2 * part / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 4 * tilt * part))))
+    return F.when(part <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * part / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 4 * tilt * part)))))
 
 
 def positions(drawn: DataFrame, wanted: dict[str, float], doc: str = "doc_id", source: str = "source", size: str = "tokens") -> DataFrame:

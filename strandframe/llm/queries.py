@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import components, containers, mixture, radix, spans, tokens, top_n, windows
+from strandframe.llm import components, containers, mixture, radix, residue, spans, tokens, top_n, windows
 from strandframe.session import cut, skew_join, table
 
 LIMIT, OVERLAP = 60_000, 2_000
@@ -119,6 +119,16 @@ def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.positions(cut(_drawn(spark, sf_dir)), TILTS)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template residue, filler, or an error page or script notice in place of content."""
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classified messages with the number of documents that hold them."""
+    return residue.residue_messages(table(spark, sf_dir, "documents"), "doc_id", "text", "source")[1].select("hash", "docs", "sources", "message", "kind")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -133,6 +143,8 @@ QUERIES = {
     "p8_uses": p8_uses,
     "p8_shares": p8_shares,
     "p8_order": p8_order,
+    "p9_found": p9_found,
+    "p9_messages": p9_messages,
 }
 
 SQL = {
