@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,27 @@ HEAVY_SHARE = 1 / 1000
 #: Rows below which a table is joined without a look for heavy keys; this changes the plan, not the result.
 SMALL_ROWS = 200_000
 
+_SHIPPED: set[str] = set()
 _ROOTS: dict[tuple[str, str], str] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = pathlib.Path(__file__).resolve().parent
+        staged = tempfile.mkdtemp(prefix="strandframe-")
+        atexit.register(shutil.rmtree, staged, True)
+        path = pathlib.Path(staged, "strandframe.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f"{here.name}/{f.relative_to(here)}")
+        sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
