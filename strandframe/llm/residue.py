@@ -22,10 +22,14 @@ RECURS = 3
 
 #: Mark-up that is dropped; other angle brackets may be placeholders.
 TAGS = r"(?i)</?(?:a|b|body|br|center|code|div|em|font|footer|h[1-6]|head|header|hr|html|i|img|li|main|nav|ol|p|pre|section|small|span|strong|table|tbody|td|th|title|tr|u|ul)(?:\s[^<>]*)?/?>"
-#: Addresses, dates and numbers.
-MASK = r"(?i)\b(?:https?://|www\.)\S+|\b[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+|\d(?:[\d,.:/-]*\d)?"
-#: Ends of lines and sentences.
-BREAKS = r"\n+|(?<=[.!?])[\s\p{Z}]+|(?<=[.!?][\"')])[\s\p{Z}]+|(?<=[。！？])"
+#: Dates and numbers, and addresses where a text has any.
+MASK = r"\d(?:[\d,.:/-]*\d)?|(?<![A-Za-z])(?:January|February|March|April|May|June|July|August|September|October|November|December)(?![A-Za-z])"
+ADDRESS = r"(?i)\b(?:https?://|www\.)\S+|\b[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+"
+#: White space other than the plain blank and the line feed.
+ODD_SPACES = "\t\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Ends of sentences within a line.
+STOPS = r"([.!?][\"')]?) +"
+WIDE_STOPS = r"([。！？])"
 
 _NAME = r"[^\W\d_][\w.\- ]{0,40}(?:\|\s*\w+\s*)?"
 _PLACEHOLDERS = [
@@ -160,8 +164,33 @@ def _latin(text: str) -> bool:
     return plain and len(words) >= MADE_UP and text.count(" ") + 1 == len(words) and not any(w.lower() in _COMMON for w in words) and not any(w[1:] != w[1:].lower() for w in words)
 
 
+#: Characters of which every placeholder and empty value but the worded ones below has one.
+_MARKS = re.compile(r"[{«$@<]|\[(?!(?:INFO|WARN|ERROR|DEBUG)\])[\[A-Za-z]|%[A-Za-z(]|[A-Za-z]%|#[A-Za-z{]|__|\?\?|&lt;|:\s*,|\s,|XX|xx|File \"")
+#: Every phrase rule in a language that parts words holds at least one of these words.
+_TRIGGERS = frozenset(
+    "undefined null none variable dear hello hi liebe hallo bonjour hola todo tbd tba fixme object "
+    "asdf qwer zxcvb blah goes here edit page site blog paragraph content replace description example dummy blindtext filler placeholder added written filled completed words field click later später ersetzen texte texto aquí ici "
+    "javascript java js script scripts scripting content browser human check "
+    "looking address matches private link again start forbidden unauthorized gone requests server gateway unavailable service session expired continue signed logged sign permission rights members owner refused limited downloads quota tomorrow minutes wait contact help return "
+    "unexpected condition request notified maintenance unable exception database administrator traceback keyerror warning wrong denied problem required blocked failed limit error http fehler erreur missing oops hoppla oups ups désolé sentimos entschuldigung sorry restricted slow looked loading seconds bad "
+    "werden erreichbar versuchen adresse seite melden interner verweigert berechtigung abgelaufen gefunden zugriff droits page réessayer traitée veuillez demandé introuvable accès interne expiré indisponible sesión caducado enlace dirección solicitud existe servicio encontrada acceso inténtelo permiso".split()
+)
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+
+
 def classify(message: str, docs: int = 1) -> str | None:
     """placeholder, filler, notice or error; None for real content. ``docs`` is the number of documents that hold it."""
+    words = {w.lower() for w in _WORD.findall(message)}
+    if "found" in words and not words.isdisjoint(("not", "can", "cannot")):
+        return _classify(message, docs)
+    if not (_MARKS.search(message) or not words.isdisjoint(_TRIGGERS) or _WIDE.search(message)):
+        # without marks and triggers only filler in made-up or stock words is left
+        return "filler" if (words.isdisjoint(_COMMON) or len(words & _LATIN) >= 3) and _latin(_QUOTED.sub(" ", message)) else None
+    return _classify(message, docs)
+
+
+def _classify(message: str, docs: int) -> str | None:
+    """All rules in order."""
     text = message
     for a, b in _ENTITY.items():
         text = text.replace(a, b)
@@ -186,20 +215,21 @@ def _classified(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def messages(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
     """(doc, source, hash, message): the distinct masked lines and sentences of every document."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), TAGS, "\n"), MASK, "0")
-    rows = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.explode(F.split(plain, BREAKS)).alias("message"))
-    message = F.regexp_replace(F.regexp_replace("message", r"[\s\p{Z}]+", " "), r"^[ >*#•-]+| $", "")
-    rows = rows.withColumn("message", message).where("message != ''")
+    t = F.regexp_replace(F.col(text), TAGS, "\n")
+    t = F.when(F.contains(t, F.lit("@")) | F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")), F.regexp_replace(t, ADDRESS, "0")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(F.translate(t, ODD_SPACES, " " * len(ODD_SPACES)), MASK, "0"), " {2,}", " ")
+    t = F.regexp_replace(F.regexp_replace(t, STOPS, "$1\n"), WIDE_STOPS, "$1\n")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.explode(F.array_distinct(F.split(t, "\n"))).alias("message"))
+    rows = rows.withColumn("message", F.rtrim(F.ltrim("message", F.lit(" >*•-")))).where("message != ''")
     return rows.withColumn("hash", F.xxhash64(F.lower("message")))
 
 
 def residue_messages(docs: DataFrame, doc: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """(pairs of doc and hash, classified messages with their documents and whether several sources hold them)."""
-    rows = messages(docs, doc, text, source)
-    pairs = cut(rows.groupBy("doc", "source", "hash").agg(F.min("message").alias("message")))
-    counts = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), (F.coalesce(F.min("source") != F.max("source"), F.lit(False))).alias("sources"), F.min("message").alias("message"))
+    rows = cut(messages(docs, doc, text, source))
+    counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), (F.coalesce(F.min("source") != F.max("source"), F.lit(False))).alias("sources"), F.min("message").alias("message"))
     kinds = counts.mapInPandas(_classified, "hash long, docs long, sources boolean, message string, kind string")
-    return pairs, cut(kinds)
+    return rows.select("doc", "hash"), cut(kinds)
 
 
 def residue(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
