@@ -31,30 +31,53 @@ def totals(pairs: DataFrame, keys: Sequence[str], name: str = "value") -> DataFr
     ).withColumn("mode", -F.col("_m.v")).drop("_m")
 
 
-def percentiles(pairs: DataFrame, keys: Sequence[str], percents: Sequence[int], name: str = "value", bucket_bits: int = 10) -> DataFrame:
-    """Exact nearest-rank percentiles (percent in whole numbers) of integer values per key from ``compress``.
+def select_ranks(pairs: DataFrame, keys: Sequence[str], ranks: dict[str, str], name: str = "value", width: float = 1024) -> DataFrame:
+    """The value at each rank (1 on, a SQL expression over the key's total frequency ``_n``) per key from ``compress``.
 
-    Two steps keep the window of a heavy key small: the cumulative frequency over buckets of 2**bucket_bits values
-    tells each target's bucket, then only the values of these buckets are accumulated. Returns keys, percent, value.
-    Null values do not count. Null keys form one group."""
+    Two steps keep the window of a heavy key small: the cumulative frequency over buckets of ``width`` tells each rank's
+    bucket, then only the values of these buckets are accumulated. Returns keys, rank_name, n, value. Null values do not
+    count, null keys form one group. A rank outside 1.._n gives no row."""
     v = F.col(name)
-    p = pairs.where(v.isNotNull()).withColumn("_b", F.shiftright(v.cast("long"), bucket_bits))
+    p = pairs.where(v.isNotNull()).withColumn("_b", F.floor(v / width).cast("long"))
     buckets = p.groupBy(*keys, "_b").agg(F.sum("freq").alias("_bf"))
-    w = Window.partitionBy(*keys).orderBy("_b")
-    buckets = buckets.withColumn("_upto", F.sum("_bf").over(w)).withColumn("_n", F.sum("_bf").over(Window.partitionBy(*keys)))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    buckets = buckets.withColumn("_upto", F.sum("_bf").over(w.orderBy("_b"))).withColumn("_n", F.sum("_bf").over(w))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("rank_name"), F.expr(x).cast("long").alias("rank")) for k, x in ranks.items()]))
     targets = (
-        buckets.select(*keys, "_b", "_upto", "_bf", "_n", F.explode(F.array(*[F.lit(x) for x in percents])).alias("percent"))
-        .withColumn("_rank", F.greatest(F.lit(1), F.expr("(_n * percent + 99) div 100")))
-        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_bf")))
-        .withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_bf")))
-        .select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_b").alias("_tb"), "percent", "_rank")
+        buckets.select("*", wanted.alias("_w"))
+        .select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_b").alias("_tb"), F.col("_n").alias("n"), "_w.rank_name", (F.col("_w.rank") - (F.col("_upto") - F.col("_bf"))).alias("_rank"), "_bf")
+        .where("_rank between 1 and _bf")
+        .drop("_bf")
     )
     on = F.col("_b") == F.col("_tb")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    inner = Window.partitionBy(*keys, "percent").orderBy(name)
+    inner = Window.partitionBy(*keys, "rank_name").orderBy(name)
     hit = p.join(targets, on).withColumn("_c", F.sum("freq").over(inner))
-    return hit.where(F.col("_c") >= F.col("_rank")).groupBy(*keys, "percent").agg(F.min(name).alias("value"))
+    return hit.where(F.col("_c") >= F.col("_rank")).groupBy(*keys, "rank_name", "n").agg(F.min(name).alias("value"))
+
+
+def percentiles(pairs: DataFrame, keys: Sequence[str], percents: Sequence[int], name: str = "value", width: float = 1024) -> DataFrame:
+    """Exact nearest-rank percentiles (percent in whole numbers) per key: keys, percent, value."""
+    ranks = {str(p): f"greatest(1, (_n * {p} + 99) div 100)" for p in percents}
+    return select_ranks(pairs, keys, ranks, name, width).select(*keys, F.col("rank_name").cast("int").alias("percent"), "value")
+
+
+#: The element at n // 2 of the sorted values.
+UPPER_MEDIAN = "_n div 2 + 1"
+#: The first value at which the cumulative frequency reaches half of the total.
+HALF_WEIGHT = "(_n + 1) div 2"
+
+
+def median_deviation(pairs: DataFrame, keys: Sequence[str], rank: str = UPPER_MEDIAN, name: str = "value", width: float = 1024) -> DataFrame:
+    """keys, n, median, mad: a median and the same median of the absolute deviations from it. Keys must not be null.
+
+    ``freq`` may hold weights (whole numbers), with HALF_WEIGHT for a weighted median."""
+    mid = select_ranks(pairs, keys, {"m": rank}, name, width).select(*keys, "n", F.col("value").alias("median"))
+    dev = pairs.where(F.col(name).isNotNull()).join(mid, list(keys)) if keys else pairs.where(F.col(name).isNotNull()).join(F.broadcast(mid), F.lit(True))
+    dev = dev.groupBy(*keys, F.abs(F.col(name) - F.col("median")).alias("value")).agg(F.sum("freq").alias("freq"))
+    mad = select_ranks(dev, keys, {"m": rank}, "value", width).select(*keys, F.col("value").alias("mad"))
+    return mid.join(mad, list(keys)) if keys else mid.join(F.broadcast(mad), F.lit(True))
 
 
 def heavy(per_key: DataFrame, key: str, total_rows: int, percent: int) -> DataFrame:
