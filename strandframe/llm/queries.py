@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import components, containers, mixture, radix, residue, spans, tokens, top_n, windows
+from strandframe.llm import cohesion, components, containers, mixture, radix, residue, spans, tokens, top_n, windows
 from strandframe.session import cut, skew_join, table
 
 LIMIT, OVERLAP = 60_000, 2_000
+TEXT_LIMIT, TEXT_OVERLAP = 8_000, 200
 PERCENTS = [50, 90, 99]
 SPAN = 100
 CAPACITY = 2_048
@@ -27,6 +28,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("job", "job_id")
 
 
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents longer than TEXT_LIMIT letters, cut in the deepest valleys of lexical cohesion."""
+    return cohesion.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", TEXT_LIMIT, TEXT_OVERLAP)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best out edges of every node over the latest row of every edge."""
     edges = table(spark, sf_dir, "graph_edges").select("edge_id", "loaded_at", "in_node", "score", "identity_pct", "snp_same", "snp_diff")
@@ -131,6 +137,7 @@ def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_percentiles": p5_percentiles,
