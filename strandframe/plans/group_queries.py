@@ -259,7 +259,7 @@ def top_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by the first of three name sets that holds a side."""
     df = table(spark, sf_dir, "read_overlaps").where("qname is not null and tname is not null").select("ol_id", "qname", "tname").distinct()
-    names = table(spark, sf_dir, "seq_reads").where("read_id is not null and read_name is not null").select(F.col("read_name").alias("name"), (F.col("read_id") % 5).cast("int").alias("place")).where("place < 3")
+    names = table(spark, sf_dir, "seq_reads").where("read_id is not null and read_name is not null").select(F.col("read_name").alias("name"), F.when(F.col("quality").isNotNull(), 0).when(F.col("sub_head").isNotNull(), 1).when(F.col("seq_len") >= 1500, 2).alias("place")).where("place is not null")
     return selecting.first_matching_set(df, names, "qname", "tname").select("ol_id", "place")
 
 
@@ -359,6 +359,6 @@ SQL = {
     "top_longest": f"WITH {READS}, r AS (SELECT len, sum(len) OVER (ORDER BY len DESC, read_id ROWS UNBOUNDED PRECEDING) - len AS before FROM reads), m AS (SELECT min(len) AS m FROM r WHERE before < 300000) SELECT read_id, CAST(len AS INTEGER) AS len FROM reads, m WHERE len >= m",
     "top_contigs": "WITH r AS (SELECT ctg_id, row_number() OVER (ORDER BY ctg_len DESC NULLS LAST, ctg_id) - 1 AS r FROM contigs) SELECT ctg_id, CAST(CASE WHEN r // 7 % 2 = 0 THEN r % 7 ELSE 6 - r % 7 END AS INTEGER) AS bin FROM r",
     "top_weighted": f"WITH {AL}, n AS (SELECT b_id, count(*) AS n, max(b_len) AS len FROM al GROUP BY b_id) SELECT b_id, round(n * n / greatest(1.0::DOUBLE, len / 1e6), 6) AS weight FROM n ORDER BY weight DESC, b_id LIMIT 10",
-    "top_split": """WITH o AS (SELECT DISTINCT ol_id, qname, tname FROM read_overlaps WHERE qname IS NOT NULL AND tname IS NOT NULL), n AS (SELECT read_name AS name, min(CAST(read_id % 5 AS INTEGER)) AS place FROM seq_reads WHERE read_id IS NOT NULL AND read_name IS NOT NULL AND read_id % 5 < 3 GROUP BY read_name)
+    "top_split": """WITH o AS (SELECT DISTINCT ol_id, qname, tname FROM read_overlaps WHERE qname IS NOT NULL AND tname IS NOT NULL), n AS (SELECT read_name AS name, min(CASE WHEN quality IS NOT NULL THEN 0 WHEN sub_head IS NOT NULL THEN 1 WHEN seq_len >= 1500 THEN 2 END) AS place FROM seq_reads WHERE read_id IS NOT NULL AND read_name IS NOT NULL GROUP BY read_name)
         SELECT ol_id, least(x.place, y.place) AS place FROM o LEFT JOIN n x ON x.name = qname LEFT JOIN n y ON y.name = tname WHERE least(x.place, y.place) IS NOT NULL""",
 }
