@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,10 +25,25 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All windows of k letters, in order; none for a shorter or null sequence."""
+def kmers(seq: Column, k: int, chunk: int = 256) -> Column:
+    """All windows of k letters, in order; none for a shorter or null sequence.
+
+    Taken chunk by chunk, since finding a letter in a string takes time in proportion to its place."""
     n = F.length(seq) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(seq, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    def windows(o: Column) -> Column:
+        c = F.substring(seq, o + 1, F.lit(chunk + k - 1))
+        return F.transform(F.sequence(F.lit(0), F.length(c) - k), lambda i: F.substring(c, i + 1, F.lit(k)))
+
+    return F.when(n >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0)), F.lit(chunk)), windows))).otherwise(F.array().cast("array<string>"))
+
+
+def explode_kmers(df: DataFrame, seq: str, k: int, name: str = "kmer", chunk: int = 256) -> DataFrame:
+    """Every row once per window of k letters of its sequence, in generated code: chunks first, then windows."""
+    n = F.length(seq)
+    pieces = df.where(n >= k).withColumn("_c", F.explode(F.sequence(F.lit(0), n - k, F.lit(chunk)))).withColumn("_c", F.substring(F.col(seq), F.col("_c") + 1, F.lit(chunk + k - 1)))
+    rows = pieces.drop(seq).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_c") - (k - 1))))
+    return rows.withColumn(name, F.substring(F.col("_c"), F.col("_i"), F.lit(k))).drop("_c", "_i")
 
 
 def canonical(kmer: Column) -> Column:

@@ -151,9 +151,8 @@ def snp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snp_kmer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every read by two k-mer sets."""
-    r = reads(spark, sf_dir).where("seq is not null")
-    k = r.select(F.col("read_id").alias("read"), F.explode(F.array_distinct(dna.kmers(F.upper("seq"), 11))).alias("kmer"))
-    pat, mat = (r.where(w).select(F.explode(dna.kmers(F.upper("seq"), 11)).alias("kmer")).distinct() for w in ("len > 1500", "len < 800"))
+    k = dna.explode_kmers(reads(spark, sf_dir).select(F.col("read_id").alias("read"), "len", F.upper("seq").alias("s")), "s", 11).distinct()
+    pat, mat = (k.where(w).select("kmer").distinct() for w in ("len > 1500", "len < 800"))
     return snps.kmer_classes(k, pat, mat)
 
 

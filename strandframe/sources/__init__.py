@@ -1 +1 @@
-
+"""Readers and writers of the text formats of sequence work."""
