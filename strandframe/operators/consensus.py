@@ -127,6 +127,8 @@ def correct_reads(overlaps: DataFrame, reads: DataFrame, most: int = 60, least:
         seq, a, b, scores = correct(target, list(zip(p["a_id"], p["bases"], p["s"], p["e"], strict=True)), least)
         return pd.DataFrame({"read": [p["b_id"].iloc[0]], "seq": [seq], "range_start": [a], "range_end": [b], "used": [sum(s[2] for s in scores)]})
 
+    # a group costs far more than its bytes tell, so partitions are not merged by size
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b_id")
     return rows.groupBy("b_id").applyInPandas(run, "read long, seq string, range_start int, range_end int, used int")
 
 
