@@ -3,7 +3,7 @@
 Every window of ``k`` letters has a minimiser, the m-mer of least hash in it. Runs of windows with the same minimiser
 travel as one packed string (two bits a letter where only A, C, G, T occur) to the minimiser's bucket. Equal windows have
 equal minimisers, so each bucket can be settled alone: its windows are sorted by a 64-bit hash, equal neighbours are
-compared letter by letter, and a window is shared if two record ids hold it. Buckets with more windows than one task
+compared letter by letter, and a window is shared if two record ids hold it. Buckets with more letters than one task
 should hold are cut further: their windows go one by one through a distributed grouping instead.
 """
 
@@ -20,10 +20,12 @@ from strandframe.session import broadcast_if_small, cut, is_empty, skew_join
 
 #: Letters of a minimiser.
 M = 16
-#: Windows of one minimiser from which its bucket is settled by the distributed grouping.
-HOT_WINDOWS = 2_000_000
-#: Windows sorted at a time within a task.
-AT_A_TIME = 1_000_000
+#: Letters of one minimiser's strings from which its bucket is settled by the distributed grouping.
+HOT_LETTERS = 6_000_000
+#: Letters of strings settled at a time within a task; whole buckets, so up to HOT_LETTERS more.
+AT_A_TIME = 3_000_000
+#: Windows of a record, and letters of records, cut at a time.
+CHUNK = 1_000_000
 #: Longest run of windows in one string.
 LONGEST_RUN = 4_096
 
@@ -77,8 +79,9 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _RUN = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("raw", pa.bool_()), ("letters", pa.large_binary())])
 
 
-def _runs(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray, k: int) -> pa.RecordBatch | None:
-    """The super-k-mers of the records data[starts : starts + lens], each of k letters at least."""
+def _runs(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray, base: np.ndarray, k: int) -> pa.RecordBatch:
+    """The super-k-mers of the stretches data[starts : starts + lens], each of k letters at least; they begin at ``base`` in
+    their records."""
     least = _sliding_min(_hashes(data, M), k - M + 1)
     # the windows of all records, record by record
     per = lens - k + 1
@@ -111,7 +114,7 @@ def _runs(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarra
         out[mask] = data[where[mask]]
     strings = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(out)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(key[first].view(np.int64)), pa.array(ids[record]), pa.array((begin - starts[record]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(raw), strings], schema=_RUN
+        [pa.array(key[first].view(np.int64)), pa.array(ids[record]), pa.array((begin - starts[record] + base[record]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(raw), strings], schema=_RUN
     )
 
 
@@ -123,20 +126,28 @@ def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def _chunks(ids: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, place in the data, place in the record, letters) of stretches of at most CHUNK windows of the records."""
+    starts, lens = offsets[:-1], np.diff(offsets)
+    n = -(-(lens - k + 1) // CHUNK)
+    row = np.repeat(np.arange(len(ids)), n)
+    base = _ragged(np.zeros(len(ids), np.int64), n) * CHUNK
+    return ids[row], starts[row] + base, base, np.minimum(lens[row] - base, CHUNK + k - 1)
+
+
 def _cut_runs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offsets = _bytes_of(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, at, base, lens = _chunks(batch.column(0).to_numpy(zero_copy_only=False), offsets, k)
             # some MB at a time, as the arrays of hashes are eight times as large
-            cuts = np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], 2_000_000))
-            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-                hi = min(hi, batch.num_rows)
-                if lo < hi:
-                    o = offsets[lo : hi + 1]
-                    yield _runs(ids[lo:hi], data[o[0] : o[-1]], o[:-1] - o[0], np.diff(o), k)
+            step = np.cumsum(lens) // (2 * CHUNK)
+            for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(step)) + 1):
+                a, n = at[part], lens[part]
+                letters = data[_ragged(a, n)]
+                yield _runs(ids[part], letters, np.cumsum(n) - n, n, base[part], k)
 
     return run
 
@@ -220,7 +231,7 @@ def _settle_buckets(k: int):
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
-            count = np.cumsum(batch.column(3).to_numpy().astype(np.int64))
+            count = np.cumsum(batch.column(3).to_numpy().astype(np.int64) + k - 1)
             borders = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             if held and held[-1].column(0)[-1].as_py() != keys[0]:
                 borders = np.concatenate([[0], borders])
@@ -266,7 +277,7 @@ def merge(spans: DataFrame) -> DataFrame:
     return runs.groupBy("id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
-def shared_spans(records: DataFrame, id_col: str, seq_col: str, k: int, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def shared_spans(records: DataFrame, id_col: str, seq_col: str, k: int, hot_letters: int = HOT_LETTERS) -> DataFrame:
     """(id, s, e): maximal runs of letters that lie in k or more consecutive letters that another id holds as well.
 
     Letters are compared as stored (UTF-8 bytes; positions count bytes), on the given strand only. Rows with the same id
@@ -275,7 +286,7 @@ def shared_spans(records: DataFrame, id_col: str, seq_col: str, k: int, hot_wind
         raise ValueError(f"k must be at least {2 * M}")
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(seq_col).alias("seq")).where(F.col("id").isNotNull() & (F.octet_length("seq") >= k))
     runs = cut(rows.mapInArrow(_cut_runs(k), "bucket long, id long, start int, windows int, raw boolean, letters binary"))
-    hot = cut(runs.groupBy("bucket").agg(F.sum("windows").alias("n")).where(F.col("n") > hot_windows).select("bucket"))
+    hot = cut(runs.groupBy("bucket").agg(F.sum(F.col("windows") + k - 1).alias("n")).where(F.col("n") > hot_letters).select("bucket"))
     settle = "id long, s long, e long"
     if is_empty(hot):
         return merge(runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle_buckets(k), settle))
