@@ -100,3 +100,23 @@ def greedy_matching(links: Sequence[tuple[object, object, float]]) -> list[tuple
             used |= {a, b}
             out.append((a, b, s))
     return out
+
+
+def neighbour_groups(neighbours: dict[object, list[object]], sizes: dict[object, int], most: int) -> list[list[object]]:
+    """Items in groups of at most ``most`` in sum, taken breadth first from the largest item left; ties by name.
+
+    For names and sizes that fit the driver (the blocks of one correction job); an item larger than ``most`` is alone."""
+    left = dict(sizes)
+    out: list[list[object]] = []
+    while left:
+        start = min(left, key=lambda n: (-left[n], str(n)))
+        group, total, queue = [], 0, [start]
+        while queue:
+            n = queue.pop(0)
+            if n not in left or (group and total + left[n] > most):
+                continue
+            total += left.pop(n)
+            group.append(n)
+            queue.extend(sorted((x for x in neighbours.get(n, ()) if x in left), key=lambda x: (-left[x], str(x))))
+        out.append(group)
+    return out
