@@ -154,7 +154,14 @@ QUERIES = {
     "p9_messages": p9_messages,
 }
 
+_SPANS = """WITH r AS (SELECT DISTINCT read_id, seq FROM seq_reads WHERE read_id IS NOT NULL AND length(seq) >= 100), w AS (SELECT read_id, i - 1 AS p, substr(seq, CAST(i AS BIGINT), 100) AS k FROM r, unnest(range(1, length(seq) - 98)) AS t(i)),
+    s AS (SELECT k FROM w GROUP BY k HAVING min(read_id) < max(read_id)), c AS (SELECT DISTINCT read_id, p FROM w SEMI JOIN s USING (k)), n AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY read_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS f FROM c),
+    g AS (SELECT *, sum(f) OVER (PARTITION BY read_id ORDER BY p) AS run FROM n), spans AS (SELECT read_id, CAST(min(p) AS BIGINT) AS span_start, CAST(max(p) + 100 AS BIGINT) AS span_end FROM g GROUP BY read_id, run)"""
+
 SQL = {
+    "p6_found": _SPANS + " SELECT read_id, span_start, span_end FROM spans",
+    "p6_shared_bases": _SPANS + """, b AS (SELECT read_id, max(length(seq)) AS bases FROM seq_reads WHERE read_id IS NOT NULL AND seq IS NOT NULL GROUP BY read_id), x AS (SELECT read_id, CAST(sum(span_end - span_start) AS BIGINT) AS n, count(*) AS runs FROM spans GROUP BY read_id)
+        SELECT read_id, CAST(bases AS INTEGER) AS bases, coalesce(n, 0) AS shared_bases, coalesce(runs, 0) AS runs FROM b LEFT JOIN x USING (read_id)""",
     "p1_found": """
         WITH RECURSIVE lens AS (SELECT seq_id, max(seq_len) AS seq_len FROM seq_index WHERE seq_len IS NOT NULL GROUP BY seq_id),
         jobs AS (SELECT DISTINCT job_id, w.seq_id, win_start, least(win_end, seq_len) AS stop FROM window_jobs w JOIN lens USING (seq_id) WHERE job_id IS NOT NULL),

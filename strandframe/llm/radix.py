@@ -50,7 +50,10 @@ def from_code(code: Column) -> Column:
 
 
 def long_form(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) -> DataFrame:
-    """(keys, metric, code): one row per row and metric with a value; null and NaN values are left out."""
+    """(keys, metric, code): one row per row and metric with a value; null and NaN values are left out, repeated rows count
+    each. Other columns may have any name; a key named like a column of the results is an error."""
+    if clash := {"metric", "code", "prefix", "n", "level", "percent", "value", "max_error"} & set(keys):
+        raise ValueError(f"keys named like columns of the results: {sorted(clash)}")
     items = F.array(*[F.struct(F.lit(name).alias("metric"), order_code(x.cast("double")).alias("code")) for name, x in metrics.items()])
     return df.select(*keys, F.explode(F.filter(items, lambda i: i.code.isNotNull())).alias("_i")).select(*keys, "_i.metric", "_i.code")
 

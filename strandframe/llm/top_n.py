@@ -17,9 +17,10 @@ SLICES = 64
 
 
 def latest(df: DataFrame, key: str, when: str) -> DataFrame:
-    """One row per ``key``: the one with the largest ``when`` (null lowest); equal times are settled by the other columns' order."""
+    """One row per ``key``: the one with the largest ``when`` (null lowest); equal times are settled by the other columns'
+    order. A null key is a key like any other. Columns of any name are carried along."""
     rest = [c for c in df.columns if c not in (key, when)]
-    best = df.groupBy(key).agg(F.max(F.struct(F.col(when), *[F.col(c) for c in rest])).alias("_r"))
+    best = df.groupBy(key).agg(F.max(F.struct(F.col(when), *[F.col(f"`{c}`") for c in rest])).alias("_r"))
     return best.select(key, *[F.col(f"_r.`{c}`").alias(c) for c in (when, *rest)])
 
 
@@ -27,14 +28,15 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], tie: str
     """The ``n`` rows of every group with the largest ``order`` (compared from left to right, null lowest).
 
     ``tie`` is a unique integer column; the smaller one wins among equal scores. Groups with fewer rows keep all, a null
-    group is a group like any other, an empty table gives an empty table. Adds ``rank`` from 1 on; ``df`` must not hold
-    columns named rank, _key, _slice or _bound."""
+    group is a group like any other, an empty table gives an empty table. Adds ``rank`` from 1 on, in place of a column of
+    that name; other columns of any name are carried along."""
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.bitwise_not(F.col(tie)).alias("t"))
-    rows = df.withColumn("_key", key).withColumn("_slice", F.pmod(F.xxhash64(tie), F.lit(slices)))
-    local = rows.withColumn("_lr", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(F.col("_key").desc()))).where(F.col("_lr") <= n)
-    best = Window.partitionBy(*group)
+    names = [f"g{i}" for i in range(len(group))]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(g) for c, g in zip(group, names, strict=True)], key.alias("key"), F.pmod(F.xxhash64(tie), F.lit(slices)).alias("slice"))
+    local = rows.withColumn("local", F.row_number().over(Window.partitionBy(*names, "slice").orderBy(F.col("key").desc()))).where(F.col("local") <= n)
+    whole = Window.partitionBy(*names)
     # the bound is the largest local n-th key of the group; at most n * slices rows of a group are left here
-    bounded = local.withColumn("_bound", F.max(F.when(F.col("_lr") == n, F.col("_key"))).over(best))
-    survivors = bounded.where(F.col("_bound").isNull() | (F.col("_key") >= F.col("_bound")))
-    ranked = survivors.withColumn("rank", F.row_number().over(best.orderBy(F.col("_key").desc()))).where(F.col("rank") <= n)
-    return ranked.drop("_key", "_slice", "_lr", "_bound")
+    bounded = local.withColumn("bound", F.max(F.when(F.col("local") == n, F.col("key"))).over(whole))
+    survivors = bounded.where(F.col("bound").isNull() | (F.col("key") >= F.col("bound")))
+    ranked = survivors.withColumn("place", F.row_number().over(whole.orderBy(F.col("key").desc()))).where(F.col("place") <= n)
+    return ranked.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != "rank"], F.col("place").alias("rank"))

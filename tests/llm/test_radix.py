@@ -2,6 +2,7 @@ import math
 import random
 import struct
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -76,3 +77,11 @@ def test_empty(spark):
 def test_any_values(spark, xs):
     got = run(spark, [("a", 1, x) for x in xs])
     assert got[("a", None, "all", "x", 50)]["value"] == disc(xs, 50)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, "x", 5)], "lib string, day int, x double, metric string, code int")
+    got = radix.percentiles(radix.long_form(df, ["lib", "day"], {"x": F.col("x")}), ["lib", "day"], ["lib"], [50]).collect()
+    assert {(r["level"], r["value"]) for r in got} == {("part", 2.0), ("all", 2.0)}
+    with pytest.raises(ValueError):
+        radix.long_form(df, ["metric"], {"x": F.col("x")})

@@ -24,3 +24,10 @@ def test_empty(spark, rows):
 def test_latest_takes_the_last_row_and_is_settled_on_ties(spark, rows):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "c"), (2, None, "d"), (2, None, None)], "k long, t int, v string")
     assert rows(latest(df, "k", "t"), "k", "v") == [(1, "c"), (2, "d")]
+
+
+def test_clashing_names(spark, rows):
+    df = spark.createDataFrame([("a", 1, 7, 0, 9, 8, "k"), ("a", 2, 6, 0, 9, 8, "k")], "g string, id long, s int, rank int, local int, slice int, `a.b` string")
+    got = top_n(df, ["g"], [F.col("s")], "id", 1)
+    assert rows(got, "g", "id", "local", "slice", "`a.b`", "rank") == [("a", 1, 9, 8, "k", 1)]
+    assert latest(df, "g", "s").columns == ["g", "s", "id", "rank", "local", "slice", "a.b"]
