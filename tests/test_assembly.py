@@ -13,7 +13,7 @@ FLIP = str.maketrans("ACGT", "TGCA")
 def test_a_genome_comes_back(spark):
     rnd = random.Random(11)
     genome = "".join(rnd.choice("ACGT") for _ in range(6000))
-    places = sorted((s := rnd.randrange(0, 5400), s + rnd.randrange(500, 700), rnd.randrange(2)) for _ in range(70)) + [(0, 600, 0), (5400, 6000, 1)]
+    places = sorted((s := rnd.randrange(0, 5400), s + rnd.randrange(500, 700), rnd.randrange(2)) for _ in range(150)) + [(0, 600, 0), (5400, 6000, 1)]
     places = [(a, min(b, 6000), s) for a, b, s in places]
     reads = [(i, genome[a:b] if s == 0 else genome[a:b].translate(FLIP)[::-1]) for i, (a, b, s) in enumerate(places)]
     rows = []
