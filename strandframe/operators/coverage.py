@@ -95,8 +95,8 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 def hist_percentile(hist: DataFrame, percent: float) -> DataFrame:
     """One row: the smallest value whose cumulative frequency reaches n * percent / 100."""
     run = running_sum(hist, [], "value", "freq", "_c")
-    total = hist.agg(F.sum("freq").alias("_n"))
-    return run.join(F.broadcast(total), F.col("_c") >= F.col("_n") * F.lit(percent) / 100).agg(F.min("value").alias("value"))
+    total = hist.agg(F.sum("freq")).scalar()
+    return run.where(F.col("_c") >= total * F.lit(percent) / 100).agg(F.min("value").alias("value"))
 
 
 def first_trough(counts: Sequence[int], last: int, k: int) -> int:

@@ -16,8 +16,7 @@ def n_values(df: DataFrame, length: str, percents: Sequence[int] = (25, 50, 75),
     hist = df.where(F.col(length).isNotNull()).groupBy((-F.col(length).cast("long")).alias("neg")).agg(F.count(F.lit(1)).alias("k"))
     hist = hist.withColumn("bases", -F.col("neg") * F.col("k"))
     run = running_sum(running_sum(hist, [], "neg", "bases", "cum"), [], "neg", "k", "items")
-    total = hist.agg(F.sum("bases").alias("total"))
-    rows = run.join(F.broadcast(total), F.lit(True)).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    rows = run.withColumn("total", hist.agg(F.sum("bases")).scalar()).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     before = F.col("cum") - F.col("bases")
     edge = F.col("total") * F.col("percent")
     # items of the length in question needed to pass the edge
@@ -38,7 +37,7 @@ def mean_deviation(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     w = F.lit(1.0) if weight is None else F.col(weight)
     rows = df.where(F.col(value).isNotNull())
     mean = rows.groupBy(*keys).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("mean"))
-    dev = rows.join(mean, list(keys)) if keys else rows.join(F.broadcast(mean), F.lit(True))
+    dev = rows.join(mean, list(keys)) if keys else rows.withColumn("mean", mean.scalar())
     return dev.groupBy(*keys, "mean").agg((F.sum(F.abs(F.col(value) - F.col("mean")) * w) / F.sum(w)).alias("mad"))
 
 

@@ -70,14 +70,15 @@ HALF_WEIGHT = "(_n + 1) div 2"
 
 
 def median_deviation(pairs: DataFrame, keys: Sequence[str], rank: str = UPPER_MEDIAN, name: str = "value", width: float = 1024) -> DataFrame:
-    """keys, n, median, mad: a median and the same median of the absolute deviations from it. Keys must not be null.
+    """keys, n, median, mad: a median and the same median of the absolute deviations from it. At least one key; keys must
+    not be null.
 
     ``freq`` may hold weights (whole numbers), with HALF_WEIGHT for a weighted median."""
     mid = select_ranks(pairs, keys, {"m": rank}, name, width).select(*keys, "n", F.col("value").alias("median"))
-    dev = pairs.where(F.col(name).isNotNull()).join(mid, list(keys)) if keys else pairs.where(F.col(name).isNotNull()).join(F.broadcast(mid), F.lit(True))
+    dev = pairs.where(F.col(name).isNotNull()).join(mid, list(keys))
     dev = dev.groupBy(*keys, F.abs(F.col(name) - F.col("median")).alias("value")).agg(F.sum("freq").alias("freq"))
     mad = select_ranks(dev, keys, {"m": rank}, "value", width).select(*keys, F.col("value").alias("mad"))
-    return mid.join(mad, list(keys)) if keys else mid.join(F.broadcast(mad), F.lit(True))
+    return mid.join(mad, list(keys))
 
 
 def heavy(per_key: DataFrame, key: str, total_rows: int, percent: int) -> DataFrame:

@@ -71,9 +71,9 @@ def cov_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = coverage.segments(sides(overlaps(spark, sf_dir)), ["read"], F.col("r_start"), F.col("r_end"), F.col("r_len"))
     segs = segs.join(segs.groupBy("read").agg(F.max("end").alias("len")), "read")
     mid = coverage.thirds(segs, ["read"], F.col("len")).where("c1 > 0").withColumn("one", F.lit(1))
-    med = weighted.select_ranks(weighted.compress(mid, ["one"], F.col("c1")), ["one"], {"m": weighted.UPPER_MEDIAN}).select(F.col("value").alias("median"))
+    med = weighted.select_ranks(weighted.compress(mid, ["one"], F.col("c1")), ["one"], {"m": weighted.UPPER_MEDIAN}).select("value")
     bases = reads(spark, sf_dir).agg(F.sum("len").alias("bases"))
-    return bases.join(F.broadcast(med), F.lit(True)).select("bases", "median", F.expr("bases div median").alias("size"))
+    return bases.withColumn("median", med.scalar()).select("bases", "median", F.expr("bases div median").alias("size"))
 
 
 QUERIES = {f.__name__: f for f in (kern_distance, kern_align, kern_refined, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_genome)}
