@@ -56,6 +56,8 @@ def compress(edges: DataFrame, degrees: DataFrame, salt: int) -> tuple[DataFrame
         return F.xxhash64(F.col(c), F.lit(salt))
 
     inner = cut(degrees.where("deg = 2").where(~((h("x") < h("lo")) & (h("x") < h("hi")))).select("x", "lo", "hi"))
+    if not inner.count():
+        return edges, inner.select("x", F.col("lo").alias("parent"))
     arcs = inner.select("x", F.col("lo").alias("y")).union(inner.select("x", F.col("hi").alias("y")))
     other = inner.select(F.col("x").alias("y"), "lo", "hi")
     ahead = F.when(F.col("x") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
@@ -109,8 +111,7 @@ def groups(edges: DataFrame) -> DataFrame:
                 break
             last, degrees = edges, cut(_degrees(edges))
             edges, off = act(edges, degrees)
-            off = cut(off)
-            drop(last, degrees)
+            drop(degrees, *([last] if last is not edges else []))
             k = off.count()
             gone += k
             if k:
@@ -121,7 +122,7 @@ def groups(edges: DataFrame) -> DataFrame:
     while not is_empty(edges):
         last = edges
         edges, off = collapse(edges)
-        removed.append(cut(off))
+        removed.append(off)
         drop(last)
     if not removed:
         return edges.select(F.col("u").alias("x"), F.col("v").alias("group_id"))
