@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,55 @@ def edit_path(a: str, b: str, limit: int | None = None) -> list[tuple[int, str]]
     return _joined([o for o in reversed(ops) if o[0]])
 
 
+def _steps(eq: dict[str, int], letters: str, vp: int, vn: int, mask: int) -> Iterator[tuple[int, int]]:
+    """Rows one above and one below their upper neighbour (as bits), column by column."""
+    for ch in letters:
+        x = eq.get(ch, 0)
+        d0 = (((x & vp) + vp) ^ vp) | x | vn
+        hp = vn | ~(d0 | vp)
+        hn = d0 & vp
+        hp = hp << 1 | 1
+        vp = (hn << 1 | ~(d0 | hp)) & mask
+        vn = d0 & hp & mask
+        yield vp, vn
+
+
+def least_path(a: str, b: str) -> list[tuple[int, str]]:
+    """An alignment with the fewest edits as ``edit_path`` has it, whatever the lengths and the number of edits.
+
+    Bit-parallel columns of the letters of b; one in the square root of them is kept, and those between are computed again on
+    the way back, so memory is the length of a times that root in bits."""
+    n, m = len(a), len(b)
+    mask = (1 << n) - 1
+    eq: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        eq[ch] = eq.get(ch, 0) | 1 << i
+    width = max(1, math.isqrt(m))
+    kept = [(mask, 0)]
+    for j, column in enumerate(_steps(eq, b, mask, 0, mask), 1):
+        if j % width == 0:
+            kept.append(column)
+    ops: list[tuple[int, str]] = []
+    i, j, low = n, m, m + 1
+    block: list[tuple[int, int]] = []
+    while i and j:
+        if j - 1 < low:
+            # columns low to j, the one before j among them
+            low = (j - 1) // width * width
+            block = [kept[low // width], *_steps(eq, b[low:j], *kept[low // width], mask)]
+        if block[j - low][0] >> i - 1 & 1:
+            ops.append((1, "I"))
+            i -= 1
+        elif block[j - 1 - low][1] >> i - 1 & 1:
+            ops.append((1, "D"))
+            j -= 1
+        else:
+            ops.append((1, "=" if a[i - 1] == b[j - 1] else "X"))
+            i, j = i - 1, j - 1
+    ops += [(i, "I")] if i else [(j, "D")] if j else []
+    return _joined(ops[::-1])
+
+
 def _joined(ops: list[tuple[int, str]]) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     for n, op in ops:
@@ -204,7 +254,7 @@ def aligner(options: str) -> Callable[[str, str], list[tuple[int, str]] | None]:
     name, *rest = options.split(":")
     p = {k: int(v) for k, v in (x.split("=", 1) for x in rest)}
     if name == "edit":
-        return lambda a, b: edit_path(a, b, p.get("limit"))
+        return lambda a, b: edit_path(a, b, p["limit"]) if "limit" in p else least_path(a, b)
     if name == "affine":
         return lambda a, b: affine_path(a, b, p.get("match", 2), p.get("mismatch", -4), p.get("open", 4), p.get("extend", 2), p.get("band"))[1]
     raise ValueError(f"unknown aligner: {options}")
@@ -226,7 +276,12 @@ def distance_udf(a: Column, b: Column) -> Column:
 
 def quality_of(a: Column, b: Column) -> Column:
     """100 less the edit distance in percent of the longer string; strings without letters in common length give 0."""
-    return F.lit(100.0) - distance_udf(a, b) * 100.0 / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
+    return quality_from(distance_udf(a, b), F.length(a), F.length(b))
+
+
+def quality_from(distance: Column, a: Column, b: Column) -> Column:
+    """The quality of strings of the lengths a and b at a known distance."""
+    return F.lit(100.0) - distance * 100.0 / F.nullif(F.greatest(a, b), F.lit(0))
 
 
 def align_udf(a: Column, b: Column, options: str = "edit") -> Column:

@@ -13,17 +13,31 @@ from strandframe.plans.views import LEN, OV, READS, SIDES, overlaps, reads
 from strandframe.session import table
 
 
-def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both aligned stretches of every overlap of at most 600 bases, on the same strand."""
-    got = pairs.with_sequences(overlaps(spark, sf_dir).where("a_end - a_start between 1 and 600 and b_end - b_start between 1 and 600"), reads(spark, sf_dir))
+#: The stretches that the SQL of kern_distance names.
+SHORT = "a_end - a_start between 1 and 600 and b_end - b_start between 1 and 600"
+
+
+def _stretches(spark: SparkSession, sf_dir: str, which: str = "a_start < a_end and b_start < b_end") -> DataFrame:
+    """Both aligned stretches of every overlap, on the same strand."""
+    got = pairs.with_sequences(overlaps(spark, sf_dir).where(which), reads(spark, sf_dir))
     a = dna.slice_of(F.upper("a_seq"), F.col("a_start"), F.col("a_end"), (F.col("a_strand") != F.col("b_strand")).cast("int"))
-    return got.select("ol_id", a.alias("a"), F.substring(F.upper("b_seq"), F.col("b_start") + 1, F.col("b_end") - F.col("b_start")).alias("b")).where("a is not null and b is not null").repartition("ol_id")
+    rows = got.select("ol_id", a.alias("a"), F.substring(F.upper("b_seq"), F.col("b_start") + 1, F.col("b_end") - F.col("b_start")).alias("b")).where("a is not null and b is not null")
+    # a pair costs far more than its bytes tell, so partitions are not merged by size
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ol_id")
+
+
+def _distances(d: DataFrame) -> DataFrame:
+    return d.select("ol_id", F.length("a").alias("_a"), F.length("b").alias("_b"), align.distance_udf(F.col("a"), F.col("b")).alias("distance")).select("ol_id", "distance", F.round(align.quality_from(F.col("distance"), F.col("_a"), F.col("_b")), 6).alias("quality"))
 
 
 def kern_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance and quality of aligned stretches."""
-    d = _stretches(spark, sf_dir)
-    return d.select("ol_id", align.distance_udf(F.col("a"), F.col("b")).alias("distance"), F.round(align.quality_of(F.col("a"), F.col("b")), 6).alias("quality"))
+    """Edit distance and quality of aligned stretches of at most 600 bases, as its SQL has them."""
+    return _distances(_stretches(spark, sf_dir, SHORT))
+
+
+def kern_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance and quality of the aligned stretches of every overlap."""
+    return _distances(_stretches(spark, sf_dir))
 
 
 def kern_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +47,7 @@ def kern_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kern_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps whose realigned identity passes a filter."""
-    d = kern_distance(spark, sf_dir).where("quality >= 90")
+    d = kern_distances(spark, sf_dir).where("quality >= 90")
     return overlaps(spark, sf_dir).join(d, "ol_id").where(Filter.parse("oh=1000:ohr=0.5").valid()).select("ol_id", "quality")
 
 
@@ -76,7 +90,7 @@ def cov_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bases.withColumn("median", med.scalar()).select("bases", "median", F.expr("bases div median").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (kern_distance, kern_align, kern_refined, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_genome)}
+QUERIES = {f.__name__: f for f in (kern_distance, kern_distances, kern_align, kern_refined, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_genome)}
 
 _STRETCH = f"""{OV}, {READS}, st AS (SELECT ol_id, CASE WHEN a_strand <> b_strand THEN translate(reverse(substr(upper(x.seq), a_start + 1, a_end - a_start)), 'ACGT', 'TGCA') ELSE substr(upper(x.seq), a_start + 1, a_end - a_start) END AS a, substr(upper(y.seq), b_start + 1, b_end - b_start) AS b
     FROM ov JOIN reads x ON x.read_id = a_id JOIN reads y ON y.read_id = b_id WHERE a_end - a_start BETWEEN 1 AND 600 AND b_end - b_start BETWEEN 1 AND 600 AND x.seq IS NOT NULL AND y.seq IS NOT NULL)"""
