@@ -135,18 +135,19 @@ def unreliable(edges: DataFrame, score: str, share: float = 0.5) -> DataFrame:
 def spurs(edges: DataFrame, nodes: int, length: int) -> DataFrame:
     """Edges of branches that end within fewer than ``nodes`` nodes or ``length`` bases, from nodes with a longer way out.
 
-    Chains of one-in-one-out nodes are followed step by step, ``nodes`` steps at most (a small bound)."""
+    Chains of one-in-one-out nodes are followed step by step while they have fewer nodes or bases. They hold no ring: a node
+    on a way back to the chain or to its root would have two ways in or out."""
     deg = cut(degrees(edges))
     branch = deg.where("n_out > 1").select(F.col("node").alias("in_node"))
     walk = cut(edges.join(branch, "in_node").select(F.col("in_node").alias("root"), F.col("out_node").alias("first"), F.col("in_node").alias("prev"), F.col("out_node").alias("node"), F.col("len").alias("bases"), F.lit(1).alias("k")))
     ends: list[DataFrame] = []
     steps = [walk.select("root", "first", F.col("prev").alias("in_node"), F.col("node").alias("out_node"))]
-    for k in range(1, nodes + 1):
+    while True:
         here = walk.join(deg, "node").where(((F.col("k") < nodes) | (F.col("bases") < length)) & (F.col("n_in") == 1))
         ends.append(cut(here.where("n_out = 0").select("root", "first", "k", "bases")))
         going = here.where("n_out = 1").select("root", "first", F.col("node").alias("in_node"), "bases", "k")
         walk = cut(going.join(edges.select("in_node", F.col("out_node").alias("node"), F.col("len").alias("_l")), "in_node").select("root", "first", F.col("in_node").alias("prev"), "node", (F.col("bases") + F.col("_l")).alias("bases"), (F.col("k") + 1).alias("k")))
-        if k == nodes or is_empty(walk):
+        if is_empty(walk):
             break
         steps.append(walk.select("root", "first", F.col("prev").alias("in_node"), F.col("node").alias("out_node")))
     dead = ends[0]

@@ -55,6 +55,15 @@ def test_transitive_spur_and_best(spark, rows):
         graph.simplify(g, "nope")
 
 
+def test_short_spurs_of_many_nodes(spark, rows):
+    way = [("a:E", "b:E", 100, 9), ("b:E", "c:E", 5000, 9), ("c:E", "d:E", 5000, 9), ("d:E", "f:E", 5000, 9)]
+    tail = ["b:E"] + [f"s{i}:E" for i in range(6)]
+    for bases, spur in ((250, True), (350, False)):
+        g = graph.mirrored(spark.createDataFrame(way + [(u, v, bases, 1) for u, v in zip(tail, tail[1:], strict=False)], EDGE))
+        want = [(u, v) for u, v in zip(tail, tail[1:], strict=False)] if spur else []
+        assert rows(graph.spurs(g, 3, 2_000), "in_node", "out_node") == sorted(want + [(flip(v), flip(u)) for u, v in want])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_unitigs_against_a_walk(spark, rows, seed):
     rnd = random.Random(seed)
