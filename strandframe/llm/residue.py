@@ -9,7 +9,8 @@ widely. Documents that hold a classified message are reported with its class.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -121,14 +122,17 @@ _ERROR = _any(
     r"\bsesión ha caducado\b|\benlace puede estar roto\b|\brevise la dirección\b|\bno se pudo completar la solicitud\b|\bsolicitado no existe\b|\binicie sesión de nuevo\b|\bservicio no disponible\b|\bpágina no encontrada\b|\berror interno del servidor\b|^\W*acceso denegado\b|\binténtelo más tarde\b|\bno tiene permiso\b",
     r"请求无法完成|您没有查看|没有找到该|您访问的页面|请返回首页|访问被拒绝|请稍后再试|服务暂不可用|请先登录|服务器内部错误|请检查网址|页面不存在|^\W*出错了",
 )
-#: Headings of error pages; a message made of nothing else is one.
-_TITLES = re.compile(
-    r"(?:[\W_]*(?:(?:http |error |fehler |erreur )?\d+(?!\d)|(?:access denied|permission problem|login required|request (?:blocked|failed)|limit reached|session expired|application error|unexpected error|(?:internal )?server error|something went wrong"
+_HEADS = "http |error |fehler |erreur "
+_HEADED = (
+    r"access denied|permission problem|login required|request (?:blocked|failed)|limit reached|session expired|application error|unexpected error|(?:internal )?server error|something went wrong"
     r"|page (?:missing|not found)|not found|service unavailable|bad gateway|gateway time-?out|forbidden|gone|unauthorized|too many requests|oops|hoppla|oups|ups|désolé|lo sentimos|entschuldigung|哎呀|抱歉|sorry|restricted|slow down|nothing here|we looked everywhere"
     r"|nicht gefunden|seite nicht gefunden|zugriff verweigert|interner serverfehler|page introuvable|accès refusé|erreur interne du serveur|service indisponible|página no encontrada|acceso denegado|error interno del servidor|servicio no disponible"
-    r"|页面不存在|访问被拒绝|服务器内部错误|服务暂不可用|出错了)(?![^\W\d_])))+[\W_]*",
-    re.I,
+    r"|页面不存在|访问被拒绝|服务器内部错误|服务暂不可用|出错了"
 )
+#: The words of the headings below.
+_HEADINGS = f"{_HEADS}|{_HEADED}"
+#: Headings of error pages; a message made of nothing else is one.
+_TITLES = re.compile(rf"(?:[\W_]*(?:(?:{_HEADS})?\d+(?!\d)|(?:{_HEADED})(?![^\W\d_])))+[\W_]*", re.I)
 #: Phrases too weak to count unless they recur.
 _WEAK = _any(r"^\W*loading [\w ]{1,40}\.\.\.", r"\bthis may take a few seconds\b", r"^\W*(?:error|http|fehler|erreur) \d+\W*$")
 
@@ -164,36 +168,89 @@ def _latin(text: str) -> bool:
     return plain and len(words) >= MADE_UP and text.count(" ") + 1 == len(words) and not any(w.lower() in _COMMON for w in words) and not any(w[1:] != w[1:].lower() for w in words)
 
 
-#: Characters of which every placeholder and empty value but the worded ones below has one.
-_MARKS = re.compile(r"[{«$@<]|\[(?!(?:INFO|WARN|ERROR|DEBUG)\])[\[A-Za-z]|%[A-Za-z(]|[A-Za-z]%|#[A-Za-z{]|__|\?\?|&lt;|:\s*,|\s,|XX|xx|File \"")
-#: Every phrase rule in a language that parts words holds at least one of these words.
-_TRIGGERS = frozenset(
-    "undefined null none variable dear hello hi liebe hallo bonjour hola todo tbd tba fixme object "
-    "asdf qwer zxcvb blah goes here edit page site blog paragraph content replace description example dummy blindtext filler placeholder added written filled completed words field click later später ersetzen texte texto aquí ici "
-    "javascript java js script scripts scripting content browser human check "
-    "looking address matches private link again start forbidden unauthorized gone requests server gateway unavailable service session expired continue signed logged sign permission rights members owner refused limited downloads quota tomorrow minutes wait contact help return "
-    "unexpected condition request notified maintenance unable exception database administrator traceback keyerror warning wrong denied problem required blocked failed limit error http fehler erreur missing oops hoppla oups ups désolé sentimos entschuldigung sorry restricted slow looked loading seconds bad "
-    "werden erreichbar versuchen adresse seite melden interner verweigert berechtigung abgelaufen gefunden zugriff droits page réessayer traitée veuillez demandé introuvable accès interne expiré indisponible sesión caducado enlace dirección solicitud existe servicio encontrada acceso inténtelo permiso".split()
-)
-_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+def _cost(literal: str) -> float:
+    """About how often running text holds a literal."""
+    return 30.0 ** -len(literal) * (20 if literal in _COMMON or literal in ".,:" else 1)
+
+
+def _literals(parsed: Iterable) -> set[str]:
+    """Strings without white space, one of which stands in lower case in every text that the parsed pattern matches; none if
+    there are no such strings. The rarest are taken."""
+    options: list[set[str]] = []
+    run: list = []
+
+    def end() -> None:
+        options.extend({part} for part in "".join(chr(x).lower() for _, x in run).split())
+        run.clear()
+
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            run.append((op, arg))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and len(arg[2]) == 1 and str(arg[2][0][0]) == "LITERAL":
+            run.extend([arg[2][0]] * min(arg[0], 9))
+            if arg[0] != arg[1]:
+                end()
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            end()
+            if arg[0]:
+                options.append(_literals(arg[2]))
+        elif name in ("SUBPATTERN", "BRANCH", "IN"):
+            # what stands before the alternatives belongs to each of them
+            if name == "IN":
+                parts = [[x] for x in arg] if all(str(x[0]) == "LITERAL" for x in arg) else [[]]
+            else:
+                parts = [arg[-1]] if name == "SUBPATTERN" else arg[1]
+            each = [_literals([*run, *x]) for x in parts]
+            options.append(set().union(*each) if all(each) else set())
+            end()
+        elif name != "AT":
+            end()
+    end()
+    return min(filter(None, options), key=lambda o: sum(map(_cost, o)), default=set())
+
+
+#: Literals that are parts of common words; their rules take them as whole words, or after another heading that is listed.
+_WHOLE = {"hi", "ups"}
+
+
+def _needed(*patterns: str) -> set[str]:
+    """The literals of all alternatives but the whole words; each must have some, or the gate would miss it."""
+    got = [_literals(_parser.parse(p, re.I)) for p in patterns]
+    if not all(got):
+        raise ValueError(f"an alternative without a literal in {patterns!r}")
+    every = set().union(*got) - _WHOLE
+    return {x for x in every if not any(y in x for y in every if y != x)}
+
+
+#: What every placeholder has. Letters that ignoring case takes for others (long s, Kelvin, i) open the gate as well.
+_MARKS = re.compile(r"[{«$@<\u017f\u212a\u0130\u0131]|\[(?!(?:INFO|WARN|ERROR|DEBUG)\])(?:\[|[^\W\d_])|%[A-Za-z(]|__")
+#: Every phrase rule holds one of these, taken from the rules themselves.
+_NEEDED = sorted(_needed(_EMPTY.pattern, _FILLER.pattern, _NOTICE.pattern, _ERROR.pattern, _HEADINGS, _WEAK.pattern))
+_WORDS = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(_WHOLE))})(?![^\W\d_])")
+_QUOTES = re.compile("[`\"“”’„‘']")
+
+
+def _plain(message: str) -> str:
+    if "&" in message:
+        for a, b in _ENTITY.items():
+            message = message.replace(a, b)
+    return message
 
 
 def classify(message: str, docs: int = 1) -> str | None:
     """placeholder, filler, notice or error; None for real content. ``docs`` is the number of documents that hold it."""
-    words = {w.lower() for w in _WORD.findall(message)}
-    if "found" in words and not words.isdisjoint(("not", "can", "cannot")):
+    text = _plain(message)
+    low = text.lower()
+    if _MARKS.search(text) or any(x in low for x in _NEEDED) or _WORDS.search(low):
         return _classify(message, docs)
-    if not (_MARKS.search(message) or not words.isdisjoint(_TRIGGERS) or _WIDE.search(message)):
-        # without marks and triggers only filler in made-up or stock words is left
-        return "filler" if (words.isdisjoint(_COMMON) or len(words & _LATIN) >= 3) and _latin(_QUOTED.sub(" ", message)) else None
-    return _classify(message, docs)
+    # only filler in made-up or stock words is left
+    return "filler" if _latin(_QUOTED.sub(" ", text) if _QUOTES.search(text) else text) else None
 
 
 def _classify(message: str, docs: int) -> str | None:
     """All rules in order."""
-    text = message
-    for a, b in _ENTITY.items():
-        text = text.replace(a, b)
+    text = _plain(message)
     said = _QUOTED.sub(" ", text)
     if not _EXPLAINS.search(text) and (_PLACEHOLDER.search(said) or _EMPTY.search(said)):
         return "placeholder"
