@@ -6,6 +6,7 @@ that share enough sites with it, bounded by the reads kept per target; groups ru
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -197,18 +198,26 @@ def placements(phased: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def low_complexity(seq: str, k: int = 5, window: int = 100, share: float = 0.66) -> list[tuple[int, int]]:
-    """Stretches of windows in which the three commonest k-mers make up a share of all; the step is half a window."""
+    """Stretches of windows, at any base, in which the three commonest k-mers make up a share of all.
+
+    A step of one base changes the three's sum by one at most, so the windows between are known from how far it is off."""
     out: list[tuple[int, int]] = []
-    for s in range(0, max(1, len(seq) - window + 1), window // 2):
+    last, s = max(0, len(seq) - window), 0
+    while s <= last:
         part = seq[s : s + window]
         n: dict[str, int] = {}
         for i in range(len(part) - k + 1):
             n[part[i : i + k]] = n.get(part[i : i + k], 0) + 1
-        if n and sum(sorted(n.values())[-3:]) >= share * sum(n.values()):
+        over = sum(sorted(n.values())[-3:]) - share * sum(n.values())
+        if n and over >= 0:
+            to = min(last, s + int(over))
             if out and s <= out[-1][1]:
-                out[-1] = (out[-1][0], s + len(part))
+                out[-1] = (out[-1][0], to + len(part))
             else:
-                out.append((s, s + len(part)))
+                out.append((s, to + len(part)))
+            s = to + 1
+        else:
+            s += max(1, math.ceil(-over - 1e-9))
     return out
 
 

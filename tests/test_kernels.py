@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from strandframe.functions import align
+from strandframe.operators import phasing
 from strandframe.plans import kernel_queries as k
 
 _FLIP = str.maketrans("ACGT", "TGCA")
@@ -66,3 +67,32 @@ def test_long_stretches_are_aligned(spark, long_tables):
     assert {r["ol_id"]: r["distance"] for r in k.kern_distances(spark, d).collect()} == dist
     assert {r["ol_id"] for r in k.kern_refined(spark, d).collect()} == {0, 1, 3}
     assert {r["ol_id"] for r in k.kern_distance(spark, d).collect()} == {3}
+
+
+def every_window(seq, k=5, window=100, share=0.66):
+    """Bases in windows of low complexity, looked at from every base."""
+    got = set()
+    for s in range(max(1, len(seq) - window + 1)):
+        part = seq[s : s + window]
+        words = [part[i : i + k] for i in range(len(part) - k + 1)]
+        n = sorted(map(words.count, set(words)))
+        if n and sum(n[-3:]) >= share * len(words):
+            got |= set(range(s, s + len(part)))
+    return got
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_low_complexity_at_every_base(seed):
+    rnd = random.Random(seed)
+    some = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    seq = some(rnd.randrange(0, 130)) + rnd.choice(["A", "AC", "ACG"]) * rnd.randrange(20, 60) + some(rnd.randrange(0, 130)) + "AC" * rnd.randrange(0, 60)
+    got = phasing.low_complexity(seq)
+    assert {i for a, b in got for i in range(a, b)} == every_window(seq)
+
+
+def test_low_complexity_between_and_after_half_windows():
+    some = "ACGTTGCATCGATTAGCCGTAAGCTTCGGATCCGATATCGGCTAAGTCCGATTGCAACCGGTTAGCATGCCTAGAATTCCGGATTACAGTCCAGGCTATA"
+    assert len(some) == 100
+    for seq in (some[:75] + "A" * 72 + some, some[:80] + "A" * 69):
+        assert phasing.low_complexity(seq) and every_window(seq)
+        assert {i for a, b in phasing.low_complexity(seq) for i in range(a, b)} == every_window(seq)
