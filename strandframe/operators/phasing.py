@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import cut, is_empty
+
 
 @dataclass(frozen=True)
 class Options:
@@ -134,13 +136,20 @@ def combine(m: np.ndarray, groups: list[np.ndarray], o: Options) -> list[np.ndar
 
 
 def classify(m: np.ndarray, target: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
-    """(class per row, corrected target): 1 same haplotype, -1 other, 0 unknown.
+    """(class per row, corrected target): 1 same haplotype, -1 other, 0 unknown."""
+    cls, target, _ = classify_groups(m, target, o)
+    return cls, target
+
+
+def classify_groups(m: np.ndarray, target: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``classify`` with the centres of the groups, each compared with the target that the classes were found with.
 
     The target's group decides; target alleles that most of its group contradict are turned before the next round."""
-    target = target.copy()
+    target = used = target.copy()
     cls = np.zeros(len(m), int)
     for _ in range(max(1, o.iterations)):
         groups = combine(m, [part for g in divide(m, o) for part in split_at_gaps(m, g)], o)
+        used = target
         own = [g for g in groups if agrees(centre(m[g]), target, o)]
         cls[:] = 0
         for g in groups:
@@ -156,33 +165,75 @@ def classify(m: np.ndarray, target: np.ndarray, o: Options) -> tuple[np.ndarray,
         if (turned == target).all():
             break
         target = turned
-    return cls, target
+    return cls, target, np.array([used, *(centre(m[g]) for g in groups)])
+
+
+def classify_row(row: np.ndarray, target: np.ndarray, centres: np.ndarray, o: Options) -> int:
+    """The class of a read that was in no group: that of the nearest centre, under the rule of its members."""
+    c = centres[int(np.argmax((centres * row).sum(axis=1)))]
+    if disagrees(c, target, o):
+        return -1 if disagrees(row, target, o) else 0
+    return int(agrees(c, target, o) and not disagrees(row, target, o))
 
 
 def phase(alleles: DataFrame, least_shared: int = 3, most: int = 200, options: Options | None = None) -> DataFrame:
     """(ctg, t, q, cls): for each target read the reads of the same (1) and the other (-1) haplotype on a contig.
 
-    ``alleles`` has (ctg, read, pos, choice). Reads meet over sites they share, ``least_shared`` at least; of each target the
-    ``most`` with most shared sites are used. A site's reads are as many as the coverage, which bounds the pairs."""
+    ``alleles`` has (ctg, read, pos, choice). Reads meet over sites they share, ``least_shared`` at least; the groups of each
+    target are found from the ``most`` with most shared sites, the others get their class row by row from the centres of
+    these groups. A site's reads are as many as the coverage, which bounds the pairs."""
     o = options or Options()
     ok = alleles.where("choice != -1").select("ctg", "read", "pos", "choice").distinct()
     x = ok.select("ctg", "pos", F.col("read").alias("t"), F.col("choice").alias("_c"))
     y = ok.select("ctg", "pos", F.col("read").alias("q"), F.col("choice").alias("_d"))
     shared = x.join(y, ["ctg", "pos"]).where("t != q").select("ctg", "t", "q", "pos", F.when(F.col("_c") == F.col("_d"), 1).otherwise(-1).alias("v"))
     n = shared.groupBy("ctg", "t", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared)
-    near = n.withColumn("_r", F.row_number().over(Window.partitionBy("ctg", "t").orderBy(F.col("n").desc(), "q"))).where(F.col("_r") <= most).select("ctg", "t", "q")
-    rows = shared.join(near, ["ctg", "t", "q"])
+    w = Window.partitionBy("ctg", "t")
+    near = cut(n.withColumn("_r", F.row_number().over(w.orderBy(F.col("n").desc(), "q"))).withColumn("_more", F.count(F.lit(1)).over(w) > most).select("ctg", "t", "q", (F.col("_r") <= most).alias("_in"), "_more"))
+    rows = shared.join(near.where("_in").drop("_in"), ["ctg", "t", "q"])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         qs, sites = np.unique(p["q"]), np.unique(p["pos"])
         m = np.zeros((len(qs), len(sites)), int)
         m[np.searchsorted(qs, p["q"]), np.searchsorted(sites, p["pos"])] = p["v"]
-        cls, _ = classify(m, np.ones(len(sites), int), o)
+        cls, _, found = classify_groups(m, np.ones(len(sites), int), o)
         keep = cls != 0
-        return pd.DataFrame({"ctg": p["ctg"].iloc[0], "t": p["t"].iloc[0], "q": qs[keep], "cls": cls[keep]})
+        out = pd.DataFrame({"ctg": p["ctg"].iloc[0], "t": p["t"].iloc[0], "q": qs[keep], "cls": cls[keep], "sites": None, "found": None})
+        if p["_more"].iloc[0]:
+            # the centres stand in a row of the target's own
+            own = pd.DataFrame({"ctg": [p["ctg"].iloc[0]], "t": [p["t"].iloc[0]], "q": [p["t"].iloc[0]], "cls": [0], "sites": [sites.tolist()], "found": [found.ravel().tolist()]})
+            out = pd.concat([out.astype(object), own.astype(object)], ignore_index=True) if len(out) else own
+        return out
 
     kinds = {f.name: f.dataType.simpleString() for f in alleles.schema}
-    return rows.groupBy("ctg", "t").applyInPandas(run, f"ctg {kinds['ctg']}, t {kinds['read']}, q {kinds['read']}, cls int")
+    shape = f"ctg {kinds['ctg']}, t {kinds['read']}, q {kinds['read']}, cls int"
+    grouped = rows.groupBy("ctg", "t").applyInPandas(run, f"{shape}, sites array<{kinds['pos']}>, found array<int>")
+    if is_empty(near.where("not _in")):
+        return grouped.select("ctg", "t", "q", "cls")
+    grouped = cut(grouped)
+
+    def run_rest(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for p in parts:
+            cls = []
+            for sites, found, pos, v in zip(p["sites"], p["found"], p["pos"], p["v"], strict=True):
+                places = np.asarray(sites)
+                pos, v = np.asarray(pos), np.asarray(v)
+                at = np.minimum(np.searchsorted(places, pos), len(places) - 1)
+                known = places[at] == pos
+                row = np.zeros(len(places), int)
+                row[at[known]] = v[known]
+                target, centres = np.split(np.asarray(found).reshape(-1, len(places)), [1])
+                # a site that no read of the groups has stands as it is in the target
+                beyond = v[~known]
+                whole = np.concatenate([row, beyond])
+                pad = [(0, 0), (0, len(beyond))]
+                cls.append(classify_row(whole, np.pad(target, pad, constant_values=1)[0], np.pad(centres, pad), o))
+            out = p[["ctg", "t", "q"]].assign(cls=cls)
+            yield out[out["cls"] != 0]
+
+    rest = shared.join(near.where("not _in").select("ctg", "t", "q"), ["ctg", "t", "q"]).groupBy("ctg", "t", "q").agg(F.collect_list("pos").alias("pos"), F.collect_list("v").alias("v"))
+    centres = grouped.where("found is not null").select("ctg", "t", "sites", "found")
+    return grouped.where("found is null").select("ctg", "t", "q", "cls").unionByName(rest.join(centres, ["ctg", "t"]).mapInPandas(run_rest, shape))
 
 
 def placements(phased: DataFrame, reads: DataFrame) -> DataFrame:

@@ -176,6 +176,17 @@ def test_phasing_of_simulated_haplotypes(spark, seed):
     assert len(got) > 300 and right / len(got) > 0.97
 
 
+def test_reads_beyond_the_groups_get_a_class(spark):
+    data, truth = simulated(1)
+    df = spark.createDataFrame(data, "ctg string, read long, pos int, choice int")
+    whole = {(r["t"], r["q"]) for r in phasing.phase(df).collect()}
+    got = phasing.phase(df, most=12).collect()
+    pairs = {(r["t"], r["q"]) for r in got}
+    assert len(pairs) == len(got) and max(sum(t == x for t, _ in pairs) for x in truth) > 12
+    assert len(pairs & whole) > 0.9 * len(whole)
+    assert sum((r["cls"] == 1) == (truth[r["t"]] == truth[r["q"]]) for r in got) / len(got) > 0.97
+
+
 def test_phasing_rules_and_masks():
     o = phasing.Options.parse("icc=2:sr=0.9")
     assert (o.count, o.same_rate) == (2, 0.9)
