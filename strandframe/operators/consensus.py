@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,16 +65,19 @@ def spell(path: list[tuple[int, int, str]]) -> str:
     return "".join(b for _, _, b in path if b != "-")
 
 
-def correct(target: str, queries: list[tuple[int, str, int, int]], least: int = 2, identity: float = 70.0) -> tuple[str, int, int, list[tuple[int, float, int]]]:
+def correct(target: str, queries: list[tuple[int, str, int, int]], least: int = 2, identity: float = 70.0, deep: int | None = None) -> tuple[str, int, int, list[tuple[int, float, int]]]:
     """(consensus, start, end, scores) of a target from queries (id, bases on the target's strand, start, end on it).
 
     Queries are aligned to their stretch, gaps are placed alike, ends without a firm match are cut off, and those below the
-    identity are left out. The consensus covers the longest stretch with ``least`` queries; scores tell each query's
+    identity are left out. With ``deep``, a query is not tried if each of its bases has as many that took part already. The consensus covers the longest stretch with ``least`` queries; scores tell each query's
     identity and whether it took part."""
     tagged: dict[int, list[tuple[int, int, str]]] = {}
     scores = []
     depth = [0] * (len(target) + 1)
+    cover = np.zeros(len(target), int)
     for q, bases, s, e in queries:
+        if deep is not None and s < e and cover[s:e].min() >= deep:
+            continue
         ops = edit_path(bases, target[s:e], max(10, (e - s) * 4 // 10))
         got = (0.0, 0)
         if ops is not None:
@@ -84,8 +88,10 @@ def correct(target: str, queries: list[tuple[int, str, int, int]], least: int =
             if b > a and whole >= identity:
                 at = s + sum(c != "-" for c in y[:a])
                 tagged[q] = tags(x[a:b], y[a:b], at)
+                to = at + sum(c != "-" for c in y[a:b])
                 depth[at] += 1
-                depth[at + sum(c != "-" for c in y[a:b])] -= 1
+                depth[to] -= 1
+                cover[at:to] += 1
                 got = (whole, 1)
         scores.append((q, *got))
     best, run, level = (0, 0), None, 0
@@ -110,21 +116,19 @@ def correct(target: str, queries: list[tuple[int, str, int, int]], least: int =
 def correct_reads(overlaps: DataFrame, reads: DataFrame, most: int = 60, least: int = 2) -> DataFrame:
     """(read, seq, range_start, range_end, used): consensus of every target read (side b) from its query reads (side a).
 
-    ``overlaps`` has one row per query and target at most; of each target the ``most`` longest are used, so a group is
-    bounded however deep a place is. ``reads`` has (read_id, seq)."""
-    from pyspark.sql import Window
-
-    n = F.expr("(a_end - a_start + b_end - b_start) div 2")
-    top = overlaps.where("a_id != b_id").withColumn("_r", F.row_number().over(Window.partitionBy("b_id").orderBy(n.desc(), "a_id"))).where(F.col("_r") <= most)
+    ``overlaps`` has one row per query and target at most. The queries of a target are tried from the longest on until every
+    base has ``most`` of them, so the alignments are bounded by the depth of a base; a target's queries are read in one task.
+    ``reads`` has (read_id, seq)."""
+    top = overlaps.where("a_id != b_id").withColumn("_n", F.expr("(a_end - a_start + b_end - b_start) div 2"))
     q = reads.select(F.col("read_id").alias("a_id"), F.upper("seq").alias("_q"))
     t = reads.select(F.col("read_id").alias("b_id"), F.upper("seq").alias("_t"))
     rows = top.join(q, "a_id").join(t, "b_id").where("_q is not null and _t is not null")
-    rows = rows.select("b_id", "a_id", F.col("b_start").alias("s"), F.col("b_end").alias("e"), slice_of(F.col("_q"), F.col("a_start"), F.col("a_end"), (F.col("a_strand") != F.col("b_strand")).cast("int")).alias("bases"), "_t")
+    rows = rows.select("b_id", "a_id", F.col("b_start").alias("s"), F.col("b_end").alias("e"), slice_of(F.col("_q"), F.col("a_start"), F.col("a_end"), (F.col("a_strand") != F.col("b_strand")).cast("int")).alias("bases"), "_t", "_n")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         target = p["_t"].iloc[0]
-        p = p.sort_values("a_id", kind="stable")
-        seq, a, b, scores = correct(target, list(zip(p["a_id"], p["bases"], p["s"], p["e"], strict=True)), least)
+        p = p.sort_values(["_n", "a_id"], ascending=[False, True], kind="stable")
+        seq, a, b, scores = correct(target, list(zip(p["a_id"], p["bases"], p["s"], p["e"], strict=True)), least, deep=most)
         return pd.DataFrame({"read": [p["b_id"].iloc[0]], "seq": [seq], "range_start": [a], "range_end": [b], "used": [sum(s[2] for s in scores)]})
 
     # a group costs far more than its bytes tell, so partitions are not merged by size

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from strandframe.functions import align
-from strandframe.operators import phasing
+from strandframe.operators import consensus, phasing
 from strandframe.plans import kernel_queries as k
 
 _FLIP = str.maketrans("ACGT", "TGCA")
@@ -96,3 +96,14 @@ def test_low_complexity_between_and_after_half_windows():
     for seq in (some[:75] + "A" * 72 + some, some[:80] + "A" * 69):
         assert phasing.low_complexity(seq) and every_window(seq)
         assert {i for a, b in phasing.low_complexity(seq) for i in range(a, b)} == every_window(seq)
+
+
+def test_a_deep_place_leaves_the_other_queries(spark):
+    rnd = random.Random(3)
+    target = "".join(rnd.choice("ACGT") for _ in range(600))
+    parts = [(0, 300)] * 8 + [(300, 580)] * 3
+    rows = [(i, i, 0, 0, e - s, e - s, 99, 0, s, e, 600, 90.0) for i, (s, e) in enumerate(parts)]
+    seqs = [(99, target)] + [(i, target[s:e]) for i, (s, e) in enumerate(parts)]
+    ov = spark.createDataFrame(rows, "ol_id long, a_id long, a_strand int, a_start int, a_end int, a_len int, b_id long, b_strand int, b_start int, b_end int, b_len int, identity double")
+    got = consensus.correct_reads(ov, spark.createDataFrame(seqs, "read_id long, seq string"), most=4).collect()
+    assert [(r["read"], r["seq"], r["range_start"], r["range_end"], r["used"]) for r in got] == [(99, target[:580], 0, 580, 7)]
