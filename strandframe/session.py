@@ -10,11 +10,12 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: The most rows a side may have before it is no longer broadcast.
+#: The most rows and bytes (in files or as estimated by the optimizer) a side may have before it is no longer broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: A key counts as heavy from this share of the rows on, so there are at most 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 1 / 1000
 #: Rows below which a table is joined without a look for heavy keys; this changes the plan, not the result.
@@ -45,10 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one is chosen only where that is unset (tests, local mode)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; one is chosen only where that is unset in local mode.
+
+    On a cluster a missing setting is an error: a folder of one machine would not be seen by the others."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandframe-")
         sc.setCheckpointDir(base)
     key = (sc.applicationId, base)
@@ -66,16 +71,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **counts: Column) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files: lineage is cut, and they survive lost executors.
 
     As Parquet the table keeps column pruning and a known size, and its reader packs small files into few partitions, so
-    loops keep plans and task numbers constant. See ``drop``."""
+    loops keep plans and task numbers constant. Its rows are counted while it is written, see ``n_rows`` and ``drop``, and
+    so are the rows for which each condition in ``counts`` holds, see ``n_where``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in counts.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandframe_path = path
+    got = seen.get
+    out._strandframe_rows = got["n"]
+    out._strandframe_counts = {k: got[f"n_{k}"] for k in counts}
     return out
 
 
@@ -86,23 +96,48 @@ def drop(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def n_rows(df: DataFrame) -> int:
+    """Rows of ``df``, without a job if it comes from ``cut``."""
+    n = getattr(df, "_strandframe_rows", None)
+    return df.count() if n is None else n
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """``df`` with a number of rows that follows from the tables it was made of."""
+    df._strandframe_rows = n
+    return df
+
+
+def n_where(df: DataFrame, name: str) -> int:
+    """Rows of a table of ``cut`` for which the condition of that name held."""
+    return df._strandframe_counts[name]
+
+
 def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+    n = getattr(df, "_strandframe_rows", None)
+    return df.isEmpty() if n is None else n == 0
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a check: ``df`` (materialised beforehand) is counted up to ``max_rows`` + 1 rows.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint behind a check of rows and bytes: a table of ``cut`` knows its rows and its files; another frame
+    (materialised beforehand) is counted up to ``max_rows`` + 1 rows.
 
-    Beyond that the frame is returned as it is and the join shuffles."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    Beyond either bound the frame is returned as it is and the join shuffles."""
+    n = getattr(df, "_strandframe_rows", None)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows and _estimated_bytes(df) <= max_bytes else df
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame | None:
     """Keys, without nulls, that hold at least ``share`` of the rows of ``df``: by construction at most 1 / share rows.
 
     None if there are none or the table is too small for any key to matter."""
-    total = df.count()
+    total = n_rows(df)
     if total < SMALL_ROWS:
         return None
     some = df.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys))
