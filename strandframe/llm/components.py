@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.session import cut, drop, is_empty, skew_join
+from strandframe.session import SMALL_ROWS, cut, drop, is_empty, n_rows, n_where, sized, skew_join
 
 #: Rake and compress go on while a round removes at least this share of the vertices.
 GOING_ON = 0.05
@@ -41,58 +41,81 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("x").agg(F.count("y").alias("deg"), F.min("y").alias("lo"), F.max("y").alias("hi"))
 
 
-def rake(edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges left, removed (x, parent)). Of an edge between two leaves the smaller vertex stays."""
-    leaf = degrees.where("deg = 1").select("x", *_edge(F.col("x"), F.col("lo")))
-    gone = cut(leaf.groupBy("u", "v").agg(F.count("x").alias("n"), F.max("x").alias("x")))
+def rake(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(edges left, removed (x, parent), their number). Of an edge between two leaves the smaller vertex stays."""
+    leaf = _degrees(edges).where("deg = 1").select("x", *_edge(F.col("x"), F.col("lo")))
+    gone = cut(leaf.groupBy("u", "v").agg(F.max("x").alias("x")))
     removed = gone.select("x", F.when(F.col("x") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("parent"))
-    return cut(edges.join(gone.select("u", "v"), ["u", "v"], "left_anti")), removed
+    if is_empty(gone):
+        return edges, removed, 0
+    return cut(edges.join(gone.select("u", "v"), ["u", "v"], "left_anti")), removed, n_rows(gone)
 
 
-def compress(edges: DataFrame, degrees: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """(edges left, removed (x, parent)): list ranking of the degree-two chains between kept vertices."""
+def compress(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame, int]:
+    """(edges left, removed (x, parent), their number): list ranking of the degree-two chains between kept vertices."""
 
     def h(c: str) -> Column:
         return F.xxhash64(F.col(c), F.lit(salt))
 
-    inner = cut(degrees.where("deg = 2").where(~((h("x") < h("lo")) & (h("x") < h("hi")))).select("x", "lo", "hi"))
-    if not inner.count():
-        return edges, inner.select("x", F.col("lo").alias("parent"))
+    inner = cut(_degrees(edges).where("deg = 2").where(~((h("x") < h("lo")) & (h("x") < h("hi")))).select("x", "lo", "hi"))
+    if is_empty(inner):
+        return edges, inner.select("x", F.col("lo").alias("parent")), 0
     arcs = inner.select("x", F.col("lo").alias("y")).union(inner.select("x", F.col("hi").alias("y")))
     other = inner.select(F.col("x").alias("y"), "lo", "hi")
     ahead = F.when(F.col("x") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
-    # an arc x -> y walks on while y is an inner vertex: (nx, ny) is the arc it has come to, end the kept vertex at last
-    arcs = cut(
-        arcs.join(other, "y", "left").select("x", "y", F.when(F.col("lo").isNull(), F.col("y")).alias("end"), F.when(F.col("lo").isNotNull(), F.col("y")).alias("nx"), F.when(F.col("lo").isNotNull(), ahead).alias("ny"))
-    )
+    # an arc x -> y walks on while y is an inner vertex: (nx, ny) is the arc it has come to, end the kept vertex at last;
+    # y may be a hub that very many chains lead to
+    first = skew_join(sized(arcs, 2 * n_rows(inner)), other, ["y"], "left")
+    active = cut(first.select("x", "y", F.when(F.col("lo").isNull(), F.col("y")).alias("end"), F.when(F.col("lo").isNotNull(), F.col("y")).alias("nx"), F.when(F.col("lo").isNotNull(), ahead).alias("ny")), open=F.col("end").isNull())
+    done: list[DataFrame] = []
     while True:
-        active = arcs.where("end is null")
-        if is_empty(active):
+        done.append(active.where("end is not null").select("x", "y", "end"))
+        if not n_where(active, "open"):
             break
-        on = arcs.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("end").alias("e2"), F.col("nx").alias("nx2"), F.col("ny").alias("ny2"))
-        moved = active.join(on, ["nx", "ny"]).select("x", "y", F.col("e2").alias("end"), F.col("nx2").alias("nx"), F.col("ny2").alias("ny"))
-        last, arcs = arcs, cut(arcs.where("end is not null").unionByName(moved))
-        drop(last)
-    ends = cut(arcs.groupBy("x").agg(F.min("end").alias("parent"), F.max("end").alias("far")))
-    rest = edges.join(arcs.select(*_edge(F.col("x"), F.col("y"))).distinct(), ["u", "v"], "left_anti")
+        open_arcs = active.where("end is null").select("x", "y", "nx", "ny")
+        none = F.lit(None).cast(edges.schema["u"].dataType)
+        on = reduce(DataFrame.unionByName, [d.select("x", "y", "end", none.alias("nx"), none.alias("ny")) for d in done]).unionByName(open_arcs.withColumn("end", none))
+        on = on.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("end").alias("e2"), F.col("nx").alias("nx2"), F.col("ny").alias("ny2"))
+        once = open_arcs.join(on, ["nx", "ny"]).select("x", "y", "e2", F.col("nx2").alias("nx"), F.col("ny2").alias("ny"))
+        # a walk that has ended has no arc to go on from
+        twice = once.select("x", "y", F.col("e2").alias("end"), "nx", "ny").join(on, ["nx", "ny"], "left")
+        active = cut(twice.select("x", "y", F.coalesce("end", "e2").alias("end"), F.col("nx2").alias("nx"), F.col("ny2").alias("ny")), open=F.col("end").isNull())
+    walked = reduce(DataFrame.unionByName, done)
+    ends = cut(walked.groupBy("x").agg(F.min("end").alias("parent"), F.max("end").alias("far")))
+    rest = edges.join(walked.select(*_edge(F.col("x"), F.col("y"))).distinct(), ["u", "v"], "left_anti")
     bridged = ends.where("parent < far").select(F.col("parent").alias("u"), F.col("far").alias("v"))
-    return cut(rest.union(bridged).distinct()), ends.select("x", "parent")
+    return cut(rest.union(bridged).distinct()), ends.select("x", "parent"), n_rows(ends)
 
 
 def collapse(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One contraction of the core: (edges left, removed (x, parent)) with every parent a root of this round."""
     hook = cut(_degrees(edges).select("x", F.least("x", "lo").alias("parent")))
     while True:
-        up = hook.select(F.col("x").alias("parent"), F.col("parent").alias("top"))
-        moved = cut(skew_join(hook, up, ["parent"]).select("x", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("m")))
-        hook = moved.select("x", "parent")
-        if is_empty(moved.where("m")):
+        moved = cut(climb(hook), moved=F.col("parent") != F.col("below"))
+        drop(hook)
+        hook = moved
+        if not n_where(moved, "moved"):
             break
+    n = n_rows(edges)
     for end in ("u", "v"):
         name = hook.select(F.col("x").alias(end), F.col("parent").alias("to"))
-        edges = skew_join(cut(edges), name, [end]).drop(end).withColumnRenamed("to", end)
+        edges = skew_join(edges, name, [end]).drop(end).withColumnRenamed("to", end)
+        edges = sized(edges, n) if n < SMALL_ROWS else cut(edges)
     left = cut(edges.where("u != v").select(*_edge(F.col("u"), F.col("v"))).distinct())
-    return left, hook.where("x != parent")
+    return left, hook.where("x != parent").select("x", "parent")
+
+
+def climb(tree: DataFrame, hops: int = 3) -> DataFrame:
+    """(x, parent, below): every vertex ``hops`` ancestors further up a table (x, parent), and the ancestor before that.
+
+    A parent without a row of its own is a root. Roots of large trees are keys with very many rows."""
+    n = n_rows(tree)
+    rows = tree.select("x", "parent", F.col("parent").alias("below"))
+    up = tree.select(F.col("x").alias("parent"), F.col("parent").alias("top"))
+    for _ in range(hops):
+        rows = sized(rows, n) if n < SMALL_ROWS else cut(rows)
+        rows = skew_join(rows, up, ["parent"], "left").select("x", F.coalesce("top", "parent").alias("parent"), F.col("parent").alias("below"))
+    return rows
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -104,18 +127,16 @@ def groups(edges: DataFrame) -> DataFrame:
     removed: list[DataFrame] = []
     salt = 0
     while not is_empty(edges):
-        n = edges.agg(F.count("u")).first()[0]
-        gone = 0
-        for act in (lambda e, d: rake(e, d), lambda e, d: compress(e, d, salt)):
+        n, gone = n_rows(edges), 0
+        for act in (rake, lambda e: compress(e, salt)):
             if is_empty(edges):
                 break
-            last, degrees = edges, cut(_degrees(edges))
-            edges, off = act(edges, degrees)
-            drop(degrees, *([last] if last is not edges else []))
-            k = off.count()
+            last = edges
+            edges, off, k = act(edges)
             gone += k
             if k:
                 removed.append(off)
+                drop(last)
         salt += 1
         if gone < GOING_ON * n:
             break
@@ -127,11 +148,12 @@ def groups(edges: DataFrame) -> DataFrame:
     if not removed:
         return edges.select(F.col("u").alias("x"), F.col("v").alias("group_id"))
     tree = cut(reduce(DataFrame.union, removed).select(F.col("x").cast(kind).alias("x"), F.col("parent").cast(kind).alias("parent")))
-    # a parent is removed later than its child if at all, so paths are no longer than the number of removals
-    for _ in range(max(1, len(removed)).bit_length()):
-        up = tree.select(F.col("x").alias("parent"), F.col("parent").alias("top"))
-        last, tree = tree, cut(skew_join(tree, up, ["parent"], "left").select("x", F.coalesce("top", "parent").alias("parent")))
+    while True:  # a parent is removed later than its child if at all, so paths are no longer than the number of removals
+        last, tree = tree, cut(climb(tree), moved=F.col("parent") != F.col("below"))
         drop(last)
+        if not n_where(tree, "moved"):
+            break
+    tree = sized(tree.select("x", "parent"), n_rows(tree))
     members = cut(tree.unionByName(tree.select("parent").distinct().select(F.col("parent").alias("x"), "parent")))
-    least = cut(members.groupBy("parent").agg(F.min("x").alias("group_id")))
+    least = members.groupBy("parent").agg(F.min("x").alias("group_id"))
     return skew_join(members, least, ["parent"]).select("x", "group_id")
