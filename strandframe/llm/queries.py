@@ -36,7 +36,7 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best out edges of every node over the latest row of every edge."""
     edges = table(spark, sf_dir, "graph_edges").select("edge_id", "loaded_at", "in_node", "score", "identity_pct", "snp_same", "snp_diff")
-    rows = top_n.latest(edges, "edge_id", "loaded_at").where("in_node is not null and score is not null")
+    rows = cut(top_n.latest(edges, "edge_id", "loaded_at").where("in_node is not null and score is not null"))
     snp = F.coalesce(F.col("snp_same"), F.lit(0)) - 2 * F.coalesce(F.col("snp_diff"), F.lit(0))
     return top_n.top_n(rows, ["in_node"], [snp, F.col("score"), F.col("identity_pct")], "edge_id", 3).select("in_node", "edge_id")
 
