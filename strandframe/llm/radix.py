@@ -9,10 +9,12 @@ under a prefix that holds a wanted rank are read again, digit by digit, down to
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from strandframe.session import broadcast_if_small, cut
 
@@ -20,25 +22,15 @@ from strandframe.session import broadcast_if_small, cut
 DIGITS = (20, 16, 14, 14)
 
 
-def order_code(x: Column) -> Column:
+@F.arrow_udf(LongType())
+def order_code(x: pa.Array) -> pa.Array:
     """A signed 64-bit integer that orders like the double ``x``; null for null and NaN, equal for 0.0 and -0.0.
 
-    Built from arithmetic that is exact in doubles, so it stays in generated code."""
-    a = F.abs(x)
-
-    def pow2(e: Column) -> Column:
-        return F.pow(F.lit(2.0), e)
-
-    near = F.floor(F.log2(a)).cast("long")
-    # two factors, since 2**-near may be beyond the range of a double
-    half = F.shiftright(near, 1)
-    m = a * pow2(-half.cast("double")) * pow2(-(near - half).cast("double"))
-    e = near + F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)
-    frac = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m) - 1
-    normal = (e + 1023) * F.lit(1 << 52) + (frac * F.lit(float(1 << 52))).cast("long")
-    tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    size = F.when(a == float("inf"), F.lit(2047 << 52)).when(a == 0, F.lit(0).cast("long")).when(a < F.lit(2.0**-1022), tiny).otherwise(normal)
-    return F.when(x.isNull() | F.isnan(x), None).when(x < 0, -size).otherwise(size)
+    The bits of a double above zero order like integers; below zero the magnitude is negated."""
+    value = x.to_numpy(zero_copy_only=False)
+    bits = value.view(np.int64)
+    size = bits & np.int64(0x7FFFFFFFFFFFFFFF)
+    return pa.array(np.where(bits < 0, -size, size), mask=np.isnan(value))
 
 
 def from_code(code: Column) -> Column:
@@ -54,8 +46,10 @@ def long_form(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) ->
     each. Other columns may have any name; a key named like a column of the results is an error."""
     if clash := {"metric", "code", "prefix", "n", "level", "percent", "value", "max_error"} & set(keys):
         raise ValueError(f"keys named like columns of the results: {sorted(clash)}")
-    items = F.array(*[F.struct(F.lit(name).alias("metric"), order_code(x.cast("double")).alias("code")) for name, x in metrics.items()])
-    return df.select(*keys, F.explode(F.filter(items, lambda i: i.code.isNotNull())).alias("_i")).select(*keys, "_i.metric", "_i.code")
+    # one trip to Python for all metrics; they are put into rows afterwards
+    codes = df.select(*keys, *[order_code(x.cast("double")).alias(f"_c{i}") for i, x in enumerate(metrics.values())])
+    items = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"_c{i}").alias("code")) for i, name in enumerate(metrics)])
+    return codes.select(*keys, F.explode(items).alias("_i")).select(*keys, "_i.metric", "_i.code").where("code is not null")
 
 
 def summary(rows: DataFrame, keys: Sequence[str], bits: int = DIGITS[0]) -> DataFrame:
@@ -85,6 +79,8 @@ def percentiles(rows: DataFrame, keys: Sequence[str], over: Sequence[str], perce
     """Nearest-rank percentiles (whole numbers from 0 to 100) of ``long_form`` rows per ``keys`` and per ``over``, a part
     of the keys whose results come from the combined summaries of the keys.
 
+    ``rows`` are read once for the first digit and once more for the few of them that the further digits need.
+
     Returns keys, level ("part" or "all"; keys not in ``over`` are null in "all"), metric, percent, n, value and
     max_error: the true percentile lies in [value, value + max_error] for values >= 0 and is ``value`` if all 64 bits
     were followed. Null keys form groups of their own. Groups without values give no row."""
@@ -94,7 +90,6 @@ def percentiles(rows: DataFrame, keys: Sequence[str], over: Sequence[str], perce
     def group(level: str) -> Column:
         return F.struct(F.lit(level).alias("level"), *[(F.lit(None).cast(types[k]) if level == "all" and k in rest else F.col(k)).alias(k) for k in keys])
 
-    rows = cut(rows)
     parts = cut(summary(rows, keys, digits[0]))
     hist = parts.select(group("part").alias("grp"), "metric", "prefix", "n")
     levels = ["part"]
@@ -102,7 +97,7 @@ def percentiles(rows: DataFrame, keys: Sequence[str], over: Sequence[str], perce
         hist = hist.unionByName(combine(parts, over).select(group("all").alias("grp"), "metric", "prefix", "n"))
         levels.append("all")
     targets = cut(_pick(hist, percents))
-    alive = reduce(DataFrame.unionByName, [rows.select(group(lv).alias("grp"), "metric", "code") for lv in levels])
+    alive = rows.select(F.explode(F.array(*[group(lv) for lv in levels])).alias("grp"), "metric", "code")
     bits = digits[0]
     for d in digits[1:]:
         active = broadcast_if_small(cut(targets.select("grp", "metric", F.col("prefix").alias("under")).distinct()))
