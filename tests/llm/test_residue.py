@@ -1,4 +1,5 @@
 import pytest
+from llm import residue_probe as probe
 
 from strandframe.llm.residue import classify, residue
 
@@ -38,3 +39,25 @@ def test_documents(spark, rows):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as hash", "'x' as message", "2 as docs")
     assert rows(residue(df), "doc_id") == [(1,), (2,), (6,), (7,), (None,)]
     assert rows(residue(df.where("false")), "doc_id") == []
+
+
+@pytest.mark.parametrize("half", [False, True])
+def test_messages_and_sentences_from_elsewhere(half):
+    found = [x for x in probe.MESSAGES if probe.held(x) == half and classify(x)]
+    wrong = [x for x in probe.SENTENCES if probe.held(x) == half and classify(x)]
+    assert len(found) >= 0.9 * sum(probe.held(x) == half for x in probe.MESSAGES)
+    assert len(found) >= 0.9 * (len(found) + len(wrong))
+
+
+def test_in_place_of_content(spark, rows):
+    around = "The run gave nine cells. {} The reads were corrected. Coverage was even."
+    notice = "JavaScript must be switched on for this page."
+    docs = [(1, around.format(notice), "a"), (2, notice + " The reads were corrected.", "a"), (3, "Notes\n\n" + notice, "b"), (4, around.format("Sample: {{name}}."), "b"), (5, around.format("Text goes here."), None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert rows(residue(df)) == [(2, ["notice"]), (3, ["notice"]), (4, ["placeholder"]), (5, ["filler"])]
+
+
+def test_names_in_brackets_count_where_the_frame_recurs(spark, rows):
+    docs = [(i, f"Report on [{w}] from the core.", "ab"[i % 2]) for i, w in enumerate(["species", "operator", "flowcell", "species"])] + [(9, "Samples went to [Sanger] in May.", "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert rows(residue(df), "doc_id") == [(0,), (1,), (2,), (3,)]
