@@ -14,8 +14,9 @@ import re
 from collections.abc import Iterable, Iterator
 from re import _parser
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.session import broadcast_if_small, cut
@@ -70,8 +71,27 @@ _EXPLAINS = re.compile(
 )
 
 
-def _any(*phrases: str) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for p in phrases), re.I)
+def _split(pattern: str) -> list[str]:
+    """The alternatives of a pattern."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def _any(*phrases: str) -> list[re.Pattern]:
+    """Every alternative of the phrases on its own."""
+    return [re.compile(x, re.I) for p in phrases for x in _split(p)]
 
 
 _SCRIPT = r"(?:java\s?script|js|(?:client-side |active )?script(?:s|ing)?)"
@@ -180,6 +200,8 @@ _COMMON = set(
 )
 #: Words without any common one from which a sentence counts as made up.
 MADE_UP = 9
+#: Words with single blanks between them, in lower case but for their first letters.
+_PLAIN = re.compile(r"[A-Za-z][a-z]*(?: [A-Za-z][a-z]*)*[.!?]?")
 #: Words from which a sentence counts as made up if all of them are long and put together from open syllables.
 FEW = 4
 #: A word of open syllables, as generators put them together.
@@ -187,17 +209,19 @@ _FLUENT = re.compile(r"(?:[bcdflmnpqrstv]{0,2}[aeiou]{1,3})+[lmnrst]?", re.I)
 
 
 def _latin(text: str) -> bool:
-    words = _WORD.findall(text)
-    run = 0
-    for w in words:
-        run = run + 1 if w.lower() in _LATIN else 0
-        if run >= 5:
-            return True
-    if len(words) < FEW or re.fullmatch(r"[A-Za-z ]+[.!?]?", text) is None or text.count(" ") + 1 != len(words):
+    low = _WORD.findall(text.lower())
+    if len(low) < FEW:
         return False
-    if any(w.lower() in _COMMON or w[1:] != w[1:].lower() for w in words):
+    latin = [w in _LATIN for w in low]
+    if sum(latin) >= 5:
+        run = 0
+        for x in latin:
+            run = run + 1 if x else 0
+            if run >= 5:
+                return True
+    if not _COMMON.isdisjoint(low) or _PLAIN.fullmatch(text) is None:
         return False
-    return len(words) >= MADE_UP or all(len(w) > 3 and _FLUENT.fullmatch(w) for w in words)
+    return len(low) >= MADE_UP or all(len(w) > 3 and _FLUENT.fullmatch(w) for w in low)
 
 
 def _cost(literal: str) -> float:
@@ -246,19 +270,38 @@ def _literals(parsed: Iterable) -> set[str]:
 _WHOLE = {"hi", "ups"}
 
 
-def _needed(*patterns: str) -> set[str]:
-    """The literals of all alternatives but the whole words; each must have some, or the gate would miss it."""
-    got = [_literals(_parser.parse(p, re.I)) for p in patterns]
-    if not all(got):
-        raise ValueError(f"an alternative without a literal in {patterns!r}")
-    every = set().union(*got) - _WHOLE
-    return {x for x in every if not any(y in x for y in every if y != x)}
+def _needed(pattern: str) -> set[str]:
+    """Literals of which a match holds one; there must be some, or the gate would miss it."""
+    got = _literals(_parser.parse(pattern, re.I))
+    if not got:
+        raise ValueError(f"an alternative without a literal: {pattern!r}")
+    return got - _WHOLE
+
+
+#: The phrase rules by kind, and the headings, which are one rule.
+_TABLES = {"placeholder": _EMPTY, "filler": _FILLER, "notice": _NOTICE, "error": _ERROR, "weak": _WEAK, "title": [_TITLES]}
+
 
+def _automaton() -> ahocorasick.Automaton:
+    """Finds the literals of all rules in one pass; each tells the rules that need it."""
+    uses: dict[str, set[re.Pattern]] = {}
+    for name, table in _TABLES.items():
+        for r in table:
+            for x in _split(_HEADINGS) if name == "title" else [r.pattern]:
+                for literal in _needed(x):
+                    uses.setdefault(literal, set()).add(r)
+    a = ahocorasick.Automaton()
+    for literal, rules in sorted(uses.items()):
+        a.add_word(literal, frozenset(rules))
+    a.make_automaton()
+    return a
 
-#: What every placeholder has. Letters that ignoring case takes for others (long s, Kelvin, i) open the gate as well.
-_MARKS = re.compile(r"[{«$@<\u017f\u212a\u0130\u0131]|\[(?!(?:INFO|WARN|ERROR|DEBUG)\])(?:\[|[^\W\d_])|%[A-Za-z(]|__|(?i:your_|_here)")
-#: Every phrase rule holds one of these, taken from the rules themselves.
-_NEEDED = sorted(_needed(_EMPTY.pattern, _FILLER.pattern, _NOTICE.pattern, _ERROR.pattern, _HEADINGS, _WEAK.pattern))
+
+#: Letters that ignoring case takes for others (long s, Kelvin, i).
+_ODD = re.compile("[\u017f\u212a\u0130\u0131]")
+#: What every placeholder has.
+_MARKS = re.compile(r"[{«$@<]|\[(?!(?:INFO|WARN|ERROR|DEBUG)\])(?:\[|[^\W\d_])|%[A-Za-z(]|__|(?i:your_|_here)")
+_NEEDED = _automaton()
 _WORDS = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(_WHOLE))})(?![^\W\d_])")
 _QUOTES = re.compile("[`\"“”’„‘']")
 
@@ -272,17 +315,17 @@ def _plain(message: str) -> str:
 
 #: Who tells of a message or what it led to: the message is reported and does not stand in place of content.
 _TELLS = re.compile(
-    r"(?i)\b(?:failed|ended|stopped|crashed|died|answered|replied|responded|returned|returns|logged|called|complain\w*) (?:with|in|by|that|about|us|me|a|an|the|him|them) (?:\w+ )?$"
-    r"|\b(?:says?|said|saying|showed|shows?|reported|reports|reads?|means?|gave|gives|got|saw|seen|see|explains?|messages?|notices?|warnings?|errors?) (?:(?:with|in|by|that|about|of|us|me|a|an|the|him|them|why) )*$"
+    r"(?i)\b(?:failed|ended|stopped|crashed|died|answered|replied|responded|returned|returns|logged|called|complain\w*) (?:with|in|by|that|about|us|me|him|them) (?:\w+ )?$"
+    r"|\b(?:says?|said|saying|showed|shows?|reported|reports|means?|gave|gives|got|saw|seen|see|explains?) (?:(?:with|in|by|that|about|of|us|me|a|an|the|him|them|why) )*$|\b(?:messages?|notices?|warnings?|errors?) (?:that|about|of|by|why|says|said|saying) (?:\w+ )?$"
 )
 _WHO = re.compile(
     r"(?i)\b(?:i|my|he|she|they|users|people)\b(?! am not)|\bwe\b(?! (?:are|were|can|can't|cannot|could|couldn't|have|looked|need|apolog\w+|noticed|detected)\b)|\bour (?!\w+ (?:is|are|has|have)\b)"
     r"|\bwir\b(?! (?:können|konnten|bitten|haben))|\bnous\b(?! (?:sommes|ne|n|avons été))|\b(?:activamos|hemos|usamos)\b|我们(?!无法|检测|很抱歉|暂时)"
 )
-_WENT_ON = re.compile(r"(?i)^ (?:was|were|is a|that|which)\b|\b(?:so|and|but|until|because|since|after|before) (?:we|i|he|she|it|they|the (?:job|run|transfer|numbers?|calculation)|at|today)\b|\bbecause\b|\bif (?:the|your|a|memory)\b|\bwhen (?:the|a|we)\b|\bso (?:that )?the \w+ can be\b|\bcomes from\b|\bverwendet\b|\bdamit\b|\bweil\b")
+_WENT_ON = re.compile(r"(?i)^ (?:was|were|is a|that|which)\b|\b(?:so|and|but|until|because|since|after|before) (?:we|i|he|she|it|they|the (?:job|run|transfer|calculation) (?:is|was|had|has|went|ended|stopped|finished)|at|today)\b|\bbecause\b|\bif (?:the|your|a|memory)\b|\bwhen (?:the|a|we)\b|\bso (?:that )?the \w+ can be\b|\bcomes from\b|\bverwendet\b|\bdamit\b|\bweil\b")
 _SENTENCE = re.compile(r"[.!?。！？]\s*")
 #: Words beyond which a message is running text that holds a phrase; it counts only where its frame recurs.
-SHORT = 18
+SHORT = 30
 
 
 def _reported(text: str, hit: re.Match) -> bool:
@@ -291,32 +334,40 @@ def _reported(text: str, hit: re.Match) -> bool:
     return bool(_TELLS.search(before) or who and who.start() < len(before) or _WENT_ON.search(after))
 
 
-def rule(message: str) -> tuple[str, bool] | None:
-    """(kind, whether its frame must recur) by all rules in order; None for real content."""
+def rule(message: str, only: set[re.Pattern] | None = None, marks: bool = True) -> tuple[str, bool] | None:
+    """(kind, whether its frame must recur) by all rules in order, or by ``only`` some of them and without placeholders if
+    there are no ``marks``; None for real content."""
     text = _plain(message)
-    said = _QUOTED.sub(" ", text)
-    if not _EXPLAINS.search(text):
-        if _PLACEHOLDER.search(said) or _EMPTY.search(said):
+    said = _QUOTED.sub(" ", text) if _QUOTES.search(text) else text
+
+    def hits(name: str) -> Iterator[re.Match]:
+        return (h for r in _TABLES[name] if only is None or r in only for h in r.finditer(said))
+
+    if marks and _PLACEHOLDER.search(said) or next(hits("placeholder"), None):
+        if not _EXPLAINS.search(text):
             return "placeholder", False
-        if _BRACKET.search(said):
-            return "placeholder", True
+    elif marks and _BRACKET.search(said) and not _EXPLAINS.search(text):
+        return "placeholder", True
     if _latin(said):
         return "filler", False
-    for kind, rules in (("filler", _FILLER), ("notice", _NOTICE), ("error", _ERROR)):
-        for hit in rules.finditer(said):
-            if not _reported(said, hit):
-                return kind, len(_WORD.findall(said)) > SHORT
-    if _TITLES.fullmatch(said) and _WORD.search(said):
+    for kind in ("filler", "notice", "error"):
+        if any(not _reported(said, h) for h in hits(kind)):
+            return kind, len(_WORD.findall(said)) > SHORT
+    if (only is None or _TITLES in only) and _TITLES.fullmatch(said) and _WORD.search(said):
         return "error", False
-    return ("error", True) if _WEAK.search(said) else None
+    return ("error", True) if next(hits("weak"), None) else None
 
 
 def gated(message: str) -> tuple[str, bool] | None:
-    """``rule``, asked only where a literal that every rule needs is there."""
+    """``rule``, asked only for the rules of which the message holds a literal."""
     text = _plain(message)
     low = text.lower()
-    if _MARKS.search(text) or any(x in low for x in _NEEDED) or _WORDS.search(low):
+    if _ODD.search(text) or _WORDS.search(low):
         return rule(message)
+    only = set().union(*(rules for _, rules in _NEEDED.iter(low)))
+    marks = _MARKS.search(text) is not None
+    if only or marks:
+        return rule(message, only, marks)
     # only filler in made-up or stock words is left
     return ("filler", False) if _latin(_QUOTED.sub(" ", text) if _QUOTES.search(text) else text) else None
 
@@ -328,7 +379,7 @@ def classify(message: str, docs: int = 1) -> str | None:
 
 
 #: Words that the rules or running text know; all others are slots of a frame.
-_KNOWN = _COMMON | set(re.findall(r"[a-zà-ÿ]{3,}", " ".join(x.pattern for x in (_EMPTY, _FILLER, _NOTICE, _ERROR, _WEAK))))
+_KNOWN = _COMMON | set(re.findall(r"[a-zà-ÿ]{3,}", " ".join(x.pattern for t in (_EMPTY, _FILLER, _NOTICE, _ERROR, _WEAK) for x in t)))
 _SLOT = re.compile(r"(?:¤\W*)+")
 
 
@@ -347,47 +398,60 @@ def _classified(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(got, columns=["hash", "message", "kind", "recurs", "frame"])
 
 
-def messages(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """(doc, source, block, size, edge, hash, message): the masked lines and sentences of every paragraph of the documents,
-    equal ones of a paragraph once. ``size`` is the letters of all of them, ``edge`` tells the first and last ones."""
+def _masked(text: str) -> Column:
     t = F.regexp_replace(F.col(text), TAGS, "\n")
     t = F.when(F.contains(t, F.lit("@")) | F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")), F.regexp_replace(t, ADDRESS, "0")).otherwise(t)
-    t = F.regexp_replace(F.regexp_replace(F.translate(t, ODD_SPACES, " " * len(ODD_SPACES)), MASK, "0"), " {2,}", " ")
-    blocks = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.posexplode(F.split(t, "\n *\n")).alias("block", "_b"))
-    b = F.regexp_replace(F.regexp_replace("_b", STOPS, "$1\n"), WIDE_STOPS, "$1\n")
-    lines = F.array_distinct(F.filter(F.transform(F.split(b, "\n"), lambda m: F.rtrim(F.ltrim(m, F.lit(" >*•-")))), lambda m: m != ""))
-    held = blocks.select("doc", "source", "block", lines.alias("_l")).select(
-        "doc", "source", "block", F.aggregate("_l", F.lit(0), lambda n, m: n + F.length(m)).alias("size"), F.size("_l").alias("_n"), F.posexplode("_l").alias("_i", "message")
-    )
-    edge = (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1)
-    return held.select("doc", "source", "block", "size", edge.alias("edge"), F.xxhash64(F.lower("message")).alias("hash"), "message")
+    return F.regexp_replace(F.regexp_replace(F.translate(t, ODD_SPACES, " " * len(ODD_SPACES)), MASK, "0"), " {2,}", " ")
+
+
+def _lines(t: Column) -> Column:
+    """Lines and sentences of a masked text, equal ones once."""
+    return F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(t, STOPS, "$1\n"), WIDE_STOPS, "$1\n"), "\n"))
+
+
+def _bare(message: Column) -> Column:
+    return F.rtrim(F.ltrim(message, F.lit(" >*•-")))
+
+
+def messages(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
+    """(doc, source, hash, message): the distinct masked lines and sentences of every document."""
+    rows = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.explode(_lines(_masked(text))).alias("message"))
+    rows = rows.withColumn("message", _bare(F.col("message"))).where("message != ''")
+    return rows.withColumn("hash", F.xxhash64(F.lower("message")))
+
+
+def standing(docs: DataFrame, doc: str, text: str, pages: DataFrame) -> DataFrame:
+    """(doc, kind): pages (doc, hash, kind), the errors and notices of documents, where they stand in place of content: they
+    make up SHARE of their paragraph's letters, or one of them begins or ends it. Other documents are not cut again."""
+    ids = broadcast_if_small(cut(pages.select("doc").distinct()))
+    held = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(ids, F.col("_doc").eqNullSafe(F.col("doc")), "left_semi")
+    blocks = held.select(F.col("_doc").alias("doc"), F.posexplode(F.split(_masked("_text"), "\n *\n")).alias("block", "_b"))
+    lines = F.filter(F.transform(_lines(F.col("_b")), _bare), lambda m: m != "")
+    rows = blocks.select("doc", "block", lines.alias("_l")).select("doc", "block", F.aggregate("_l", F.lit(0), lambda n, m: n + F.length(m)).alias("size"), F.size("_l").alias("_n"), F.posexplode("_l").alias("_i", "message"))
+    rows = rows.select("doc", "block", "size", ((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1)).alias("edge"), F.length("message").alias("letters"), F.xxhash64(F.lower("message")).alias("hash"))
+    kept = rows.join(broadcast_if_small(pages.select("hash", "kind").distinct()), "hash").groupBy("doc", "block").agg(F.collect_set("kind").alias("kinds"), F.sum("letters").alias("held"), F.max("size").alias("size"), F.max("edge").alias("edge"))
+    return kept.where((F.col("held") >= SHARE * F.col("size")) | F.col("edge")).select("doc", F.explode("kinds").alias("kind"))
 
 
 def residue_messages(docs: DataFrame, doc: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """(hits, messages): the classified messages where they stand in place of content (doc, kind), and every classified
-    message (hash, docs, sources, message, kind): documents and whether several sources hold its frame."""
+    """(hits, messages): where classified messages were found (doc, hash, kind), and every classified message with the
+    number of documents and whether several sources hold its frame (hash, docs, sources, message, kind)."""
     rows = cut(messages(docs, doc, text, source))
     seen = rows.groupBy("hash").agg(F.min("message").alias("message"))
     kinds = cut(seen.mapInPandas(_classified, _FOUND))
     # what is left is a small part of the messages; a frame is counted over all documents and sources
-    hits = cut(rows.drop("message").join(broadcast_if_small(kinds.drop("message")), "hash"))
+    hits = cut(rows.drop("message").join(broadcast_if_small(kinds.select("hash", "frame")), "hash"))
     frames = hits.groupBy("frame", "doc").agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
     count = cut(frames.groupBy("frame").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.min("lo") != F.max("hi"), F.lit(False)).alias("sources")))
     wide = cut(kinds.join(broadcast_if_small(count), "frame").where(~F.col("recurs") | (F.col("docs") >= RECURS)).select("hash", "docs", "sources", "message", "kind"))
-    kept = hits.drop("kind").join(broadcast_if_small(wide.select("hash", "kind", F.length("message").alias("letters"))), "hash")
-    page = F.col("kind").isin("notice", "error")
-    # a page's message stands in place of content if it makes up its paragraph or begins or ends it
-    blocks = kept.groupBy("doc", "block").agg(
-        F.collect_set("kind").alias("kinds"),
-        F.sum(F.when(page, F.col("letters")).otherwise(0)).alias("held"), F.max("size").alias("size"), F.max(F.col("edge") & page).alias("edge"),
-    )
-    standing = (F.col("held") >= SHARE * F.col("size")) | F.col("edge")
-    kind = F.explode(F.when(standing, F.col("kinds")).otherwise(F.filter("kinds", lambda k: ~k.isin("notice", "error"))))
-    return blocks.select("doc", kind.alias("kind")).distinct(), wide
+    return hits.select("doc", "hash").join(broadcast_if_small(wide.select("hash", "kind")), "hash"), wide
 
 
 def residue(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc, kinds): documents with residue, filler, error pages or script notices. Null and empty texts are none, a null
     source is a source of its own; repeated rows of a document are one. An empty table gives an empty table."""
     hits, _ = residue_messages(docs, doc, text, source)
-    return hits.groupBy("doc").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("doc", doc)
+    hits = cut(hits)
+    page = F.col("kind").isin("notice", "error")
+    left = hits.where(~page).select("doc", "kind").unionByName(standing(docs, doc, text, hits.where(page)))
+    return left.groupBy("doc").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("doc", doc)

@@ -7,7 +7,7 @@ import pytest
 
 from strandframe.llm import residue as r
 
-RULES = {"placeholder": r._PLACEHOLDER.pattern, "empty": r._EMPTY.pattern, "filler": r._FILLER.pattern, "notice": r._NOTICE.pattern, "error": r._ERROR.pattern, "weak": r._WEAK.pattern, "headings": r._HEADINGS}
+RULES = {"placeholder": r._PLACEHOLDER.pattern} | {k: "|".join(x.pattern for x in t) for k, t in r._TABLES.items() if k != "title"} | {"headings": r._HEADINGS}
 
 
 def examples(parsed):
