@@ -23,8 +23,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = table(spark, sf_dir, "seq_index").where("seq_len is not null").groupBy("seq_id").agg(F.max("seq_len").alias("seq_len"))
     known = skew_join(jobs, lens, ["seq_id"])
     ready = known.select(F.col("job_id").alias("job"), F.col("seq_id").alias("seq"), F.col("win_start").alias("start"), F.least("win_end", "seq_len").alias("end"))
-    joints = table(spark, sf_dir, "contig_tiles").select(F.col("seq_id").alias("seq"), F.col("tile_end").alias("pos"))
-    out = windows.split_windows(ready, joints, LIMIT, OVERLAP)
+    flat = F.lit(0).alias("level"), F.lit(0.0).alias("depth")
+    joints = table(spark, sf_dir, "contig_tiles").select(F.col("seq_id").alias("seq"), F.col("tile_end").alias("pos"), *flat)
+    out = windows.split_items(ready, joints, LIMIT, OVERLAP)
     return out.withColumnRenamed("job", "job_id")
 
 

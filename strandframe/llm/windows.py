@@ -1,12 +1,12 @@
-"""Splitting oversized windows of a sequence at joints, with a fixed overlap.
+"""Splitting oversized items at natural joints, with a fixed overlap.
 
-From a piece start p the piece takes all that is left if that is at most ``limit``, else it ends at the farthest joint b
-with p + overlap < b <= p + limit, or at p + limit if there is none; the next piece starts ``overlap`` before that end.
-All joints of the tables weigh the same, so "deepest valley within the size window" leaves the farthest joint; for text,
-where valleys have a depth, see ``cohesion``.
+From a piece start p the piece takes all that is left if that is at most ``limit``; else it ends at a joint b with p + overlap
+< b <= p + limit: the one of the highest level, of these the deepest valley, of equal ones the farthest. Without a joint there
+it ends at p + limit. The next piece starts ``overlap`` before that end. Levels and depths of texts come from ``cohesion``;
+the joints of contig tiles have no vocabulary and all the same depth.
 
-No sequence is gathered in one task. The step from one joint to the next does not depend on the job, so it is computed
-once per joint; jobs then reach all their joints by doubling (steps of 1, 2, 4 ... joints), with joins on (sequence, joint).
+No item is gathered in one task. The step from one joint to the next does not depend on where the item began, so it is computed
+once per joint; items then reach all their joints by doubling (steps of 1, 2, 4 ... joints), with joins on (sequence, joint).
 """
 
 from __future__ import annotations
@@ -16,53 +16,54 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.session import cut, drop, is_empty, skew_join
+from strandframe.session import cut, drop, is_empty, n_rows, n_where, sized, skew_join
 
 
-def as_of(queries: DataFrame, joints: DataFrame, bucket: int) -> DataFrame:
-    """For distinct (seq, x): ``pred``, the largest joint pos <= x, and ``succ``, the smallest joint pos > x.
+def best_joints(states: DataFrame, joints: DataFrame, width: int) -> DataFrame:
+    """For distinct states (seq, b): ``best``, struct (level, depth, pos) of the best joint in (b, b + width], and ``succ``, the
+    smallest joint beyond b, each null if there is none.
 
-    Windows run over (seq, bucket of positions), so a sort group holds at most ``bucket`` distinct joints and queries;
-    a second level runs over one row per bucket of a sequence."""
-    b = F.expr(f"cast(floor(at / {bucket}) as bigint)")
-    both = (
-        joints.select("seq", F.col("pos").alias("at"), F.lit(0).alias("kind"))
-        .unionByName(queries.select("seq", F.col("x").alias("at"), F.lit(1).alias("kind")))
-        .withColumn("bucket", b)
-    )
-    joint = F.when(F.col("kind") == 0, F.col("at"))
+    Positions are cut into buckets of ``width``. A window of that width covers the rest of one bucket and the beginning of
+    the next, so running maxima from both ends of every bucket hold all answers; a sort group has one bucket's rows only,
+    and a second level runs over one row per bucket of a sequence."""
+    none = F.lit(None).cast("struct<level:int,depth:double,pos:bigint>")
+    item = F.struct(F.col("level").cast("int").alias("level"), F.col("depth").cast("double").alias("depth"), F.col("pos").cast("long").alias("pos"))
+    rows = joints.select("seq", F.col("pos").alias("at"), F.lit(0).alias("kind"), item.alias("joint"))
+    rows = rows.unionByName(states.select("seq", F.explode(F.array(F.struct(F.col("b").alias("at"), F.lit(1).alias("kind")), F.struct((F.col("b") + width).alias("at"), F.lit(2).alias("kind")))).alias("_q")).select("seq", "_q.at", "_q.kind", none.alias("joint")))
+    rows = rows.withColumn("bucket", F.expr(f"cast(floor(at / {width}) as bigint)"))
     part = Window.partitionBy("seq", "bucket")
     up = part.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     down = part.orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    inner = both.withColumn("p", F.last(joint, ignorenulls=True).over(up)).withColumn("s", F.last(joint, ignorenulls=True).over(down)).where("kind = 1")
-    levels = both.groupBy("seq", "bucket").agg(F.min(joint).alias("lo"), F.max(joint).alias("hi"))
-    seq = Window.partitionBy("seq")
-    levels = levels.select(
-        "seq",
-        "bucket",
-        F.last("hi", ignorenulls=True).over(seq.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.last("lo", ignorenulls=True).over(seq.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
+    seen = rows.select("seq", "bucket", "at", "kind", F.max("joint").over(up).alias("u"), F.max("joint").over(down).alias("d"), F.min("joint.pos").over(down).alias("s")).where("kind > 0")
+    levels = rows.where("kind = 0").groupBy("seq", "bucket").agg(F.min("at").alias("lo"))
+    levels = levels.unionByName(states.select("seq", F.expr(f"cast(floor(b / {width}) as bigint)").alias("bucket"), F.lit(None).cast("long").alias("lo"))).groupBy("seq", "bucket").agg(F.min("lo").alias("lo"))
+    after = F.last("lo", ignorenulls=True).over(Window.partitionBy("seq").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    levels = levels.select("seq", "bucket", after.alias("after"))
+    first = F.col("kind") == 1
+    per = seen.groupBy("seq", F.when(first, F.col("at")).otherwise(F.col("at") - width).alias("b")).agg(
+        F.max(F.when(first, F.col("d")).otherwise(F.col("u"))).alias("best"), F.min(F.when(first, F.col("s"))).alias("succ"), F.min(F.when(first, F.col("bucket"))).alias("bucket")
     )
-    return inner.join(levels, ["seq", "bucket"]).select("seq", F.col("at").alias("x"), F.coalesce("p", "before").alias("pred"), F.coalesce("s", "after").alias("succ"))
+    return per.join(levels, ["seq", "bucket"], "left").select("seq", "b", "best", F.coalesce("succ", "after").alias("succ"))
 
 
 def steps(states: DataFrame, joints: DataFrame, limit: int, overlap: int) -> DataFrame:
     """For each state (seq, b), a piece starting at b - overlap: the next joint used as an end, ``nxt``, and the ``hard``
     cuts before it. Without any later joint ``nxt`` is null."""
     adv = limit - overlap
-    near = as_of(states.select("seq", (F.col("b") + adv).alias("x")).distinct(), joints, adv)
-    first = cut(states.withColumn("x", F.col("b") + adv).join(near, ["seq", "x"]))
-    done = first.where("pred > b or succ is null").select("seq", "b", F.expr("case when pred > b then pred end").alias("nxt"), F.lit(0).cast("long").alias("hard"))
-    gap = first.where("(pred is null or pred <= b) and succ is not null").withColumn("hard", F.expr(f"(succ - b - 1) div {adv}"))
-    gap = gap.select("seq", "b", "hard", (F.col("b") + adv * (F.col("hard") + 1)).alias("x"))
-    far = as_of(gap.select("seq", "x").distinct(), joints, adv)
-    return done.unionByName(gap.join(far, ["seq", "x"]).select("seq", "b", F.col("pred").alias("nxt"), "hard"))
+    near = cut(best_joints(states, joints, adv), gap=F.col("best").isNull() & F.col("succ").isNotNull())
+    zero = F.lit(0).cast("long").alias("hard")
+    done = near.where("best is not null or succ is null").select("seq", "b", F.col("best.pos").alias("nxt"), zero)
+    if not n_where(near, "gap"):
+        return sized(done, n_rows(near))
+    gap = near.where("best is null and succ is not null").withColumn("hard", F.expr(f"(succ - b - 1) div {adv}")).withColumn("x", F.col("b") + adv * F.col("hard"))
+    far = best_joints(gap.select("seq", F.col("x").alias("b")).distinct(), joints, adv).select("seq", F.col("b").alias("x"), F.col("best.pos").alias("nxt"))
+    return cut(done.unionByName(gap.select("seq", "b", "hard", "x").join(far, ["seq", "x"]).select("seq", "b", "nxt", "hard")))
 
 
-def split_windows(jobs: DataFrame, joints: DataFrame, limit: int, overlap: int) -> DataFrame:
+def split_items(jobs: DataFrame, joints: DataFrame, limit: int, overlap: int) -> DataFrame:
     """Pieces (job, piece_start, piece_end) of the jobs (job, seq, start, end) longer than ``limit``.
 
-    ``joints`` has (seq, pos), repeats and nulls allowed. Jobs with a null field or not longer than ``limit`` give no
+    ``joints`` has (seq, pos, level, depth), repeats and null positions allowed; a null level or depth ranks lowest. Jobs with a null field or not longer than ``limit`` give no
     row; equal jobs under different ids give rows each; ``job`` must be unique. Empty tables give an empty table."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -73,9 +74,11 @@ def split_windows(jobs: DataFrame, joints: DataFrame, limit: int, overlap: int)
         .withColumn("b", F.col("start") + overlap)
         .drop("start")
     )
-    joints = cut(joints.select("seq", F.col("pos").cast("long").alias("pos")).where("pos is not null").join(jobs.select("seq").distinct(), "seq", "left_semi").distinct())
+    known = joints.where("pos is not null").join(jobs.select("seq").distinct(), "seq", "left_semi")
+    joints = known.groupBy("seq", F.col("pos").cast("long").alias("pos")).agg(F.max(F.struct("level", "depth")).alias("_v")).select("seq", "pos", "_v.level", "_v.depth")
+    joints = cut(joints)
     states = joints.select("seq", F.col("pos").alias("b")).union(jobs.select("seq", "b")).distinct()
-    step = cut(steps(states, joints, limit, overlap))
+    step = steps(states, joints, limit, overlap)
     # jump: the joint 2**k uses on, and the job end above which the last piece before it is not the job's last
     jump = step.where("nxt is not null").select("seq", "b", F.col("nxt").alias("to"), (F.col("b") + adv * (F.col("hard") + 1)).alias("needs"))
     reached = jobs
@@ -85,7 +88,7 @@ def split_windows(jobs: DataFrame, joints: DataFrame, limit: int, overlap: int)
         if is_empty(more):
             break
         parts.append(more)
-        reached = reduce(DataFrame.unionByName, parts)
+        reached = sized(reduce(DataFrame.unionByName, parts), sum(map(n_rows, parts)))
         far = jump.select("seq", F.col("b").alias("to"), F.col("to").alias("to2"), F.col("needs").alias("needs2"))
         last, jump = jump, cut(jump.join(far, ["seq", "to"]).select("seq", "b", F.col("to2").alias("to"), F.col("needs2").alias("needs")))
         drop(last)
