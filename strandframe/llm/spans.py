@@ -4,7 +4,7 @@ Every window of ``k`` letters has a minimiser, the m-mer of least hash in it. Ru
 travel as one packed string (two bits a letter where only A, C, G, T occur) to the minimiser's bucket. Equal windows have
 equal minimisers, so each bucket can be settled alone: its windows are sorted by a 64-bit hash, equal neighbours are
 compared letter by letter, and a window is shared if two record ids hold it. Buckets with more letters than one task
-should hold are cut further: their windows go one by one through a distributed grouping instead.
+should hold are cut further: their windows go one by one through a distributed grouping instead, by hash first.
 """
 
 from __future__ import annotations
@@ -170,6 +170,14 @@ def _unpack(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, ends - size, size
 
 
+def _reached_twice(t: pa.Table) -> pa.Table:
+    """The rows of the buckets, which come one after the other, that several records reach; others share nothing."""
+    key, who = t.column("bucket").to_numpy(), t.column("id").to_numpy()
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    several = np.minimum.reduceat(who, edge) != np.maximum.reduceat(who, edge)
+    return t.filter(pa.array(np.repeat(several, np.diff(np.append(edge, len(key))))))
+
+
 def _settle(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(id, span start, span end) of the runs of shared windows of whole buckets."""
     letters, starts, _ = _unpack(t, k)
@@ -178,7 +186,7 @@ def _settle(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] |
     at = _ragged(starts, windows)
     row = np.repeat(np.arange(len(windows)), windows)
     h = _hashes(letters, k)[at]
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     hs = h[order]
     same = hs[1:] == hs[:-1]
     whole = np.ndarray((len(letters) - k + 1,), dtype=f"V{k}", buffer=letters, strides=(1,))
@@ -224,6 +232,7 @@ def _settle_buckets(k: int):
 
         def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows)
+            t = _reached_twice(t) if t.num_rows else t
             if t.num_rows and (r := _settle(t, k)):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in r], schema=_SPAN)
 
@@ -250,25 +259,56 @@ def _settle_buckets(k: int):
     return run
 
 
-def _explode(k: int):
+def _window_hashes(k: int):
+    """(hash, id, run, place in the run) of every window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            for i in range(0, t.num_rows, 256):
-                part = t.slice(i, 256)
+            for i in range(0, t.num_rows, 1024):
+                part = t.slice(i, 1024)
                 letters, starts, _ = _unpack(part, k)
                 windows = part.column("windows").to_numpy().astype(np.int64)
                 at = _ragged(starts, windows)
                 row = np.repeat(np.arange(len(windows)), windows)
-                pos = part.column("start").to_numpy().astype(np.int64)[row] + at - starts[row]
-                for lo in range(0, len(at), 20_000):
-                    cutout = letters[at[lo : lo + 20_000, None] + np.arange(k)]
+                hashes = _hashes(letters, k)[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(part.column("id").to_numpy()[row]), pa.array(part.column("run").to_numpy()[row]), pa.array((at - starts[row]).astype(np.int32))], names=["hash", "id", "run", "o"])
+
+    return run
+
+
+def _take_windows(k: int):
+    """(id, start, letters) of the windows at the places ``at`` of every run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for i in range(0, t.num_rows, 256):
+                part = t.slice(i, 256).combine_chunks()
+                letters, starts, _ = _unpack(part, k)
+                places = part.column("at").combine_chunks()
+                count = np.diff(places.offsets.to_numpy())
+                o, row = places.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(part.num_rows), count)
+                ids, pos = part.column("id").to_numpy()[row], part.column("start").to_numpy().astype(np.int64)[row] + o
+                for lo in range(0, len(o), 20_000):
+                    cutout = letters[(starts[row] + o)[lo : lo + 20_000, None] + np.arange(k)]
                     text = pa.Array.from_buffers(pa.binary(), len(cutout), [None, pa.py_buffer((np.arange(len(cutout) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(cutout))])
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column("id").to_numpy()[row[lo : lo + 20_000]]), pa.array(pos[lo : lo + 20_000]), text], names=["id", "s", "window"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 20_000]), pa.array(pos[lo : lo + 20_000]), text], names=["id", "s", "window"])
 
     return run
 
 
+def _hot_windows(runs: DataFrame, k: int) -> DataFrame:
+    """(id, s, window) of the windows of hot buckets that other ids may hold: hashes, ids and places are shuffled, and letters
+    only of windows whose hash two ids have. Equal hashes are compared by their letters afterwards."""
+    runs = cut(runs.distinct().withColumn("run", F.monotonically_increasing_id()))
+    places = cut(runs.mapInArrow(_window_hashes(k), "hash long, id long, run long, o int"))
+    several = cut(places.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("hash"))
+    # a run has at most LONGEST_RUN windows
+    wanted = skew_join(places, several, ["hash"]).groupBy("run").agg(F.collect_list("o").alias("at"))
+    return cut(runs.join(wanted, "run").mapInArrow(_take_windows(k), "id long, s long, window binary").distinct())
+
+
 def merge(spans: DataFrame) -> DataFrame:
     """Maximal runs (id, s, e) of the union of spans; touching spans make one run."""
     w = Window.partitionBy("id").orderBy("s", "e")
@@ -292,6 +332,6 @@ def shared_spans(records: DataFrame, id_col: str, seq_col: str, k: int, hot_lett
         return merge(runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle_buckets(k), settle))
     marked = broadcast_if_small(hot)
     usual = runs.join(marked, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle_buckets(k), settle)
-    single = cut(runs.join(marked, "bucket", "left_semi").mapInArrow(_explode(k), "id long, s long, window binary").distinct())
+    single = _hot_windows(runs.join(marked, "bucket", "left_semi"), k)
     held = cut(single.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("window"))
     return merge(usual.unionByName(skew_join(single, held, ["window"]).select("id", "s", (F.col("s") + k).alias("e"))))
