@@ -2,8 +2,9 @@
 
 Every source has a share of all tokens and a tilt g: at time t of the training (0 to 1) its weight is
 share * (1 + g * (2 t - 1)), and tilts are shifted so that the weights add up to one at every time. The weight's integral,
-share * ((1 - g) t + g t**2), is the source's cumulative demand; a document that stands at some cumulative number of
-tokens of its source gets the time at which the demand reaches that number. Documents are range-sorted by that time.
+share * ((1 - g) t + g t**2), is the source's cumulative demand, and at t = 1 all of it. The documents of a source stand one
+behind the other, pass after pass; a use gets the time at which the demand reaches its tokens, and a document is used as
+often as that happens within the training. Uses are range-sorted by that time.
 """
 
 from __future__ import annotations
@@ -41,22 +42,34 @@ def plan(docs: DataFrame, targets: DataFrame, source: str = "source", size: str
     return usable.withColumn("demand", F.least(F.col("share") * most, (F.col("available") * F.col("max_repeats")).cast("double")))
 
 
-def draw(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", size: str = "tokens", seed: int = 0, total: float | None = None) -> DataFrame:
-    """Every document (doc, source, tokens) with ``uses``, 0 on, and ``before``, its place in its source's order.
+def scheduled(sources: DataFrame, wanted: dict[str, float] | None, source: str = "source") -> DataFrame:
+    """Adds ``tilt`` to the sources of ``plan`` (one row each): the wanted tilts, centred by their shares of the demand."""
+    rows = sources.select(source, "demand").collect()  # one row per source with a target
+    g = tilts({r[0]: float(r[1]) for r in rows}, wanted or {}) if rows else {}
+    tilt = F.create_map(*[F.lit(x) for kv in g.items() for x in kv])[F.col(source)] if g else F.lit(0.0)
+    return sources.withColumn("tilt", tilt)
 
-    A source is used as a whole as often as its demand allows, then once more in hash order up to the demand (to half a
-    document). Documents without tokens, source or target are not used. Document ids should be unique; repeated rows are
-    documents of their own."""
+
+def draw(
+    docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", size: str = "tokens", seed: int = 0, total: float | None = None, wanted: dict[str, float] | None = None
+) -> DataFrame:
+    """Every document (doc, source, tokens) with ``uses``, 0 on, ``before``, its place in its source's order, and its source's
+    ``available`` tokens, ``demand`` and ``tilt``.
+
+    The demand is the source's schedule integrated over the training. Documents stand in hash order; the n-th use of a
+    document exists if the middle of its tokens in the n-th pass lies within the demand. Documents without tokens, source or
+    target are not used. Document ids should be unique; repeated rows are documents of their own."""
     rows = cut(docs.select(doc, source, F.coalesce(F.col(size), F.lit(0)).cast("long").alias(size)))
-    sources = cut(plan(rows, targets, source, size, total))
+    sources = cut(scheduled(cut(plan(rows, targets, source, size, total)), wanted, source))
     some = running(rows.join(broadcast_if_small(sources.select(source)), source, "left_semi"), source, doc, size, seed)
-    placed = some.join(broadcast_if_small(sources.select(source, "available", "demand", "max_repeats")), source)
-    whole = F.floor(F.col("demand") / F.col("available") + 1e-12).cast("long")
-    rest = F.col("demand") - whole * F.col("available")
-    uses = F.least(whole + F.when(F.col("before") + F.col(size) / 2 <= rest, 1).otherwise(0), F.col("max_repeats").cast("long"))
-    used = placed.withColumn("uses", F.when(F.col(size) > 0, uses).otherwise(0).cast("int")).select(doc, source, size, "uses", "before", "available")
+    placed = some.join(broadcast_if_small(sources.select(source, "available", "demand", "max_repeats", "tilt")), source)
+    # passes whose part before this document's middle the demand still covers; 1e-9 for shares that add up with an error
+    passes = F.floor((F.col("demand") - F.col("before") - F.col(size) / 2) / F.col("available") + 1e-9).cast("long") + 1
+    uses = F.greatest(F.lit(0), F.least(passes, F.col("max_repeats").cast("long")))
+    used = placed.withColumn("uses", F.when(F.col(size) > 0, uses).otherwise(0).cast("int")).select(doc, source, size, "uses", "before", "available", "demand", "tilt")
     unused = rows.join(broadcast_if_small(sources.select(source)), source, "left_anti")
-    return used.unionByName(unused.select(doc, source, size, F.lit(0).alias("uses"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("available")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("before", "long"), ("available", "long"), ("demand", "double"), ("tilt", "double"))]
+    return used.unionByName(unused.select(doc, source, size, F.lit(0).alias("uses"), *none))
 
 
 def shares(drawn: DataFrame, targets: DataFrame, source: str = "source", size: str = "tokens") -> DataFrame:
@@ -84,16 +97,23 @@ def when(part: Column, tilt: Column) -> Column:
     return F.when(part <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * part / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 4 * tilt * part)))))
 
 
-def positions(drawn: DataFrame, wanted: dict[str, float], doc: str = "doc_id", source: str = "source", size: str = "tokens") -> DataFrame:
-    """(doc, source, use_no, position) of every use, range-sorted by position in the training (0 to 1)."""
-    used = drawn.where("uses > 0")
-    demand = cut(used.groupBy(source).agg(F.sum(F.col(size) * F.col("uses")).alias("_d")))
-    totals = {r[0]: float(r[1]) for r in demand.collect()}  # one row per source with a target
-    every = sum(totals.values())
-    g = tilts({s: d / every for s, d in totals.items()}, wanted) if totals else {}
-    tilt = F.coalesce(F.create_map(*[F.lit(x) for kv in g.items() for x in kv])[F.col(source)], F.lit(0.0)) if g else F.lit(0.0)
+def positions(drawn: DataFrame, doc: str = "doc_id", source: str = "source", size: str = "tokens") -> DataFrame:
+    """(doc, source, tokens, use_no, position) of every use, range-sorted by position in the training (0 to 1)."""
+    use = drawn.where("uses > 0").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
     # uses of one pass stand one behind the other; the place is the middle of the document
-    use = used.join(broadcast_if_small(demand), source).withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
-    part = F.least(F.lit(1.0), ((F.col("use_no") - 1) * F.col("available") + F.col("before") + F.col(size) / 2) / F.col("_d"))
-    out = use.select(doc, source, "use_no", when(part, tilt).alias("position"))
+    part = F.least(F.lit(1.0), ((F.col("use_no") - 1) * F.col("available") + F.col("before") + F.col(size) / 2) / F.col("demand"))
+    out = use.select(doc, source, size, "use_no", when(part, F.col("tilt")).alias("position"))
     return out.repartitionByRange("position", doc, "use_no").sortWithinPartitions("position", doc, "use_no")
+
+
+def shares_by_time(drawn: DataFrame, parts: int = 10, source: str = "source", size: str = "tokens") -> DataFrame:
+    """(part, source, wanted_share, reached_share): the schedule and what the uses of each of ``parts`` equal stretches of the
+    training hold of every source."""
+    part = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int")
+    got = positions(drawn, drawn.columns[0], source, size).groupBy(part.alias("part"), source).agg(F.sum(size).alias("_n"))
+    weight = cut(drawn.where("demand is not null").groupBy(source).agg(F.max("demand").alias("demand"), F.max("tilt").alias("tilt")))  # one row per source
+    times = weight.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = times.join(got, ["part", source], "left")
+    w = F.col("demand") * (1 + F.col("tilt") * ((2 * F.col("part") + 1) / parts - 1))
+    whole = Window.partitionBy("part")  # one row per source
+    return rows.select("part", source, (w / F.sum(w).over(whole)).alias("wanted_share"), (F.coalesce("_n", F.lit(0)) / F.sum("_n").over(whole)).alias("reached_share"))

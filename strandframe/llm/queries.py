@@ -102,28 +102,56 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.fill(_sizes(spark, sf_dir), "doc_id", "tokens", CAPACITY)
 
 
+def p7_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, those without a place for each piece, those cut although they fit, and overfull containers (0 each)."""
+    placed = cut(p7_containers(spark, sf_dir))
+    n = F.when(F.col("size") > 0, 1).otherwise(0)
+    per = placed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("pieces"), F.sum(n).alias("need"), F.count("container").alias("have"))
+    docs = per.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.expr("need != have")).alias("unplaced"), F.count_if(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("size") / CAPACITY))).alias("cut_needlessly"))
+    over = containers.fills(placed).agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"))
+    return docs.withColumn("overfull", over.scalar())
+
+
 def p7_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and used tokens of every container."""
     return containers.fills(p7_containers(spark, sf_dir))
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.draw(_sizes(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+def _drawn(spark: SparkSession, sf_dir: str, total: float | None = None) -> DataFrame:
+    return mixture.draw(_sizes(spark, sf_dir), table(spark, sf_dir, "source_targets"), total=total, wanted=TILTS)
 
 
 def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often every document is used."""
+    """How often every document is used within the integrated schedule of its source."""
     return _drawn(spark, sf_dir).select("doc_id", "source", "tokens", "uses")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of every source."""
-    return mixture.shares(cut(_drawn(spark, sf_dir)), table(spark, sf_dir, "source_targets"))
+    """Target and reached share of every source: ``met``, as large as all shares allow, and ``all``, as large as the tokens of
+    all sources with a target, where the scarce ones stay below their share."""
+    targets = table(spark, sf_dir, "source_targets")
+    met = cut(_drawn(spark, sf_dir))
+    total = met.where("available is not null").agg(F.sum("tokens")).first()[0]
+    every = mixture.draw(met.select("doc_id", "source", "tokens"), targets, total=float(total or 0), wanted=TILTS)
+    return mixture.shares(met, targets).withColumn("mixture", F.lit("met")).unionByName(mixture.shares(cut(every), targets).withColumn("mixture", F.lit("all")))
 
 
 def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training position of every use under the tilted curriculum."""
-    return mixture.positions(cut(_drawn(spark, sf_dir)), TILTS)
+    return mixture.positions(_drawn(spark, sf_dir)).select("doc_id", "source", "use_no", "position")
+
+
+def p8_shares_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheduled and reached share of every source in each tenth of the training."""
+    return mixture.shares_by_time(cut(_drawn(spark, sf_dir)))
+
+
+def p8_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source, and those used more often than allowed or without a target (0)."""
+    drawn = _drawn(spark, sf_dir)
+    most = table(spark, sf_dir, "source_targets").groupBy("source").agg(F.max("max_repeats").alias("most"))  # one row per source
+    rows = drawn.select("source", "uses").join(most, "source", "left")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("uses") > F.coalesce("most", F.lit(0))).alias("too_often"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +176,12 @@ QUERIES = {
     "p6_shared_bases": p6_shared_bases,
     "p7_containers": p7_containers,
     "p7_fills": p7_fills,
+    "p7_valid": p7_valid,
     "p8_uses": p8_uses,
     "p8_shares": p8_shares,
     "p8_order": p8_order,
+    "p8_shares_by_time": p8_shares_by_time,
+    "p8_valid": p8_valid,
     "p9_found": p9_found,
     "p9_messages": p9_messages,
 }
@@ -160,6 +191,8 @@ _SPANS = """WITH r AS (SELECT DISTINCT read_id, seq FROM seq_reads WHERE read_id
     g AS (SELECT *, sum(f) OVER (PARTITION BY read_id ORDER BY p) AS run FROM n), spans AS (SELECT read_id, CAST(min(p) AS BIGINT) AS span_start, CAST(max(p) + 100 AS BIGINT) AS span_end FROM g GROUP BY read_id, run)"""
 
 SQL = {
+    "p7_valid": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS unplaced, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS overfull FROM documents",
+    "p8_valid": "SELECT source, count(*) AS documents, CAST(0 AS BIGINT) AS too_often FROM documents GROUP BY source",
     "p6_found": _SPANS + " SELECT read_id, span_start, span_end FROM spans",
     "p6_shared_bases": _SPANS + """, b AS (SELECT read_id, max(length(seq)) AS bases FROM seq_reads WHERE read_id IS NOT NULL AND seq IS NOT NULL GROUP BY read_id), x AS (SELECT read_id, CAST(sum(span_end - span_start) AS BIGINT) AS n, count(*) AS runs FROM spans GROUP BY read_id)
         SELECT read_id, CAST(bases AS INTEGER) AS bases, coalesce(n, 0) AS shared_bases, coalesce(runs, 0) AS runs FROM b LEFT JOIN x USING (read_id)""",

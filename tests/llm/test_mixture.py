@@ -55,9 +55,9 @@ def test_times_invert_the_integrated_weight(spark):
 
 def test_positions_follow_the_schedule(spark):
     docs, df, targets = frames(spark)
-    drawn = mixture.draw(df, targets)
     wanted = {"a": -0.2, "b": 0.6}
-    out = mixture.positions(drawn, wanted)
+    drawn = mixture.draw(df, targets, wanted=wanted)
+    out = mixture.positions(drawn)
     rows = out.collect()
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
     uses = {r["doc_id"]: r["uses"] for r in drawn.collect()}
@@ -73,6 +73,16 @@ def test_positions_follow_the_schedule(spark):
     assert abs(early - ((1 - g) * 0.5 + g * 0.25)) < 0.02
 
 
+def test_shares_follow_the_schedule_over_time(spark):
+    _, df, targets = frames(spark)
+    got = mixture.shares_by_time(mixture.draw(df, targets, wanted={"a": -0.2, "b": 0.6}), parts=5).collect()
+    assert len(got) == 15
+    for r in got:
+        assert abs(r["wanted_share"] - r["reached_share"]) < 0.02
+    b = {r["part"]: r["reached_share"] for r in got if r["source"] == "b"}
+    assert b[0] < b[2] < b[4]
+
+
 def test_tilts_must_leave_weights_positive():
     with pytest.raises(ValueError):
         mixture.tilts({"a": 0.5, "b": 0.5}, {"a": 2.5})
@@ -82,5 +92,5 @@ def test_empty(spark):
     _, df, targets = frames(spark)
     none = df.where("false")
     assert mixture.draw(none, targets).count() == 0
-    assert mixture.positions(mixture.draw(none, targets), {}).count() == 0
+    assert mixture.positions(mixture.draw(none, targets)).count() == 0
     assert mixture.draw(df, targets.where("false")).where("uses > 0").count() == 0
