@@ -186,6 +186,15 @@ QUERIES = {
     "p9_messages": p9_messages,
 }
 
+_VALUES = """m AS (
+            SELECT lib_name, run_day, 'identity_pct' AS metric, CASE WHEN CAST(identity_pct AS DOUBLE) <= 1 THEN CAST(identity_pct AS DOUBLE) * 100 ELSE CAST(identity_pct AS DOUBLE) END AS x FROM read_stats WHERE identity_pct IS NOT NULL AND NOT isnan(identity_pct)
+            UNION ALL SELECT lib_name, run_day, 'mate_len', mate_len FROM read_stats WHERE mate_len IS NOT NULL
+            UNION ALL SELECT lib_name, run_day, 'overhang_l', CASE WHEN overhang_l < -1 THEN CAST(overhang_l AS INTEGER) + 65536 ELSE overhang_l END FROM read_stats WHERE overhang_l <> -1
+            UNION ALL SELECT lib_name, run_day, 'overhang_r', CASE WHEN overhang_r < -1 THEN CAST(overhang_r AS INTEGER) + 65536 ELSE overhang_r END FROM read_stats WHERE overhang_r <> -1)"""
+#: The leading 20 bits of values of at least 0: the exponent and eight bits of the fraction.
+_PREFIX = """, e0 AS (SELECT *, floor(log2(nullif(x, 0))) AS e FROM m), e1 AS (SELECT * REPLACE (CASE WHEN x / pow(2.0::DOUBLE, e) >= 2 THEN e + 1 WHEN x / pow(2.0::DOUBLE, e) < 1 THEN e - 1 ELSE e END AS e) FROM e0),
+        c AS (SELECT lib_name, run_day, metric, x, CASE WHEN x = 0 THEN 0 ELSE CAST((e + 1023) * 256 + floor((x / pow(2.0::DOUBLE, e) - 1) * 256) AS BIGINT) END AS prefix FROM e1)"""
+_LOW = "(CASE WHEN {0} < 256 THEN {0} * pow(2.0::DOUBLE, -1030) ELSE (1 + ({0} % 256) / 256.0::DOUBLE) * pow(2.0::DOUBLE, {0} // 256 - 1023) END)"
 _SPANS = """WITH r AS (SELECT DISTINCT read_id, seq FROM seq_reads WHERE read_id IS NOT NULL AND length(seq) >= 100), w AS (SELECT read_id, i - 1 AS p, substr(seq, CAST(i AS BIGINT), 100) AS k FROM r, unnest(range(1, length(seq) - 98)) AS t(i)),
     s AS (SELECT k FROM w GROUP BY k HAVING min(read_id) < max(read_id)), c AS (SELECT DISTINCT read_id, p FROM w SEMI JOIN s USING (k)), n AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY read_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS f FROM c),
     g AS (SELECT *, sum(f) OVER (PARTITION BY read_id ORDER BY p) AS run FROM n), spans AS (SELECT read_id, CAST(min(p) AS BIGINT) AS span_start, CAST(max(p) + 100 AS BIGINT) AS span_end FROM g GROUP BY read_id, run)"""
@@ -218,13 +227,13 @@ SQL = {
         c AS (SELECT a, a AS r FROM s UNION SELECT s.a, c.r FROM c JOIN s ON s.b = c.a)
         SELECT a AS read_id, min(r) AS group_id FROM c GROUP BY a""",
     "p5_percentiles": """
-        WITH m AS (
-            SELECT lib_name, run_day, 'identity_pct' AS metric, CASE WHEN CAST(identity_pct AS DOUBLE) <= 1 THEN CAST(identity_pct AS DOUBLE) * 100 ELSE CAST(identity_pct AS DOUBLE) END AS x FROM read_stats WHERE identity_pct IS NOT NULL AND NOT isnan(identity_pct)
-            UNION ALL SELECT lib_name, run_day, 'mate_len', mate_len FROM read_stats WHERE mate_len IS NOT NULL
-            UNION ALL SELECT lib_name, run_day, 'overhang_l', CASE WHEN overhang_l < -1 THEN CAST(overhang_l AS INTEGER) + 65536 ELSE overhang_l END FROM read_stats WHERE overhang_l <> -1
-            UNION ALL SELECT lib_name, run_day, 'overhang_r', CASE WHEN overhang_r < -1 THEN CAST(overhang_r AS INTEGER) + 65536 ELSE overhang_r END FROM read_stats WHERE overhang_r <> -1),
+        WITH """ + _VALUES + """,
         g AS (SELECT lib_name, run_day, 'part' AS level, metric, x FROM m UNION ALL SELECT lib_name, NULL, 'all', metric, x FROM m),
         r AS (SELECT *, row_number() OVER (PARTITION BY level, lib_name, run_day, metric ORDER BY x) AS rn, count(*) OVER (PARTITION BY level, lib_name, run_day, metric) AS n FROM g),
         p AS (SELECT unnest([50, 90, 99]) AS percent)
         SELECT lib_name, run_day, level, metric, CAST(percent AS INTEGER) AS percent, n, x AS value, CAST(0 AS DOUBLE) AS max_error FROM r JOIN p ON rn = greatest(1, (n * percent + 99) // 100)""",
+    "p5_day_summaries": f"WITH {_VALUES}{_PREFIX} SELECT lib_name, run_day, metric, prefix, count(*) AS n FROM c GROUP BY lib_name, run_day, metric, prefix",
+    "p5_bounded": f"""WITH {_VALUES}{_PREFIX}, g AS (SELECT lib_name, run_day, 'part' AS level, metric, prefix FROM c UNION ALL SELECT lib_name, NULL, 'all', metric, prefix FROM c),
+        r AS (SELECT *, row_number() OVER (PARTITION BY level, lib_name, run_day, metric ORDER BY prefix) AS rn, count(*) OVER (PARTITION BY level, lib_name, run_day, metric) AS n FROM g), p AS (SELECT unnest([50, 90, 99]) AS percent)
+        SELECT lib_name, run_day, level, metric, CAST(percent AS INTEGER) AS percent, n, {_LOW.format("prefix")} AS value, {_LOW.format("(prefix + 1)")} - {_LOW.format("prefix")} AS max_error FROM r JOIN p ON rn = greatest(1, (n * percent + 99) // 100)""",
 }
