@@ -1,21 +1,24 @@
 """Bin completion over a histogram of sizes.
 
 Items of equal size are interchangeable, so a packing is a list of patterns (how often, which sizes) over at most
-``capacity`` distinct sizes, whatever the number of items. Around the largest size left, fillings are enumerated from the
-least waste on; a filling that packs into a kept one is dominated and left out. The search is depth first; a branch ends
-when its waste passes what the best packing so far allows. The first incumbent is best fit decreasing.
+``capacity`` distinct sizes, whatever the number of items. Around the largest size left, all fillings are enumerated lazily
+from the least waste on, each as often as it fits and then less often; a filling that packs into a kept one is dominated and
+left out. The search is depth first; a branch ends when its waste passes what the best packing so far allows. The first
+incumbent is best fit decreasing. The number of nodes is the only limit: a search that ends within it has found the fewest bins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-Pattern = tuple[int, tuple[tuple[int, int], ...]]
+Filling = tuple[tuple[int, int], ...]
+Pattern = tuple[int, Filling]
 
 #: Nodes of the search; the best packing found by then is returned.
 NODES = 6_000
-#: Fillings tried at a node.
-WIDTH = 3
+#: Items of a filling up to which it is tested for dominance, and kept fillings it is tested against; searching a dominated
+#: filling all the same costs nodes and loses no packing.
+TESTED, AGAINST = 12, 50
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -85,18 +88,19 @@ def _reach(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
     return out
 
 
-def _largest_first(counts: dict[int, int], sizes: list[int], reach: list[int], target: int, top: int) -> tuple[tuple[int, int], ...]:
-    """The filling of exactly ``target`` from sizes[:top] with the largest sizes possible."""
-    out = []
-    i = top
-    while target:
+def _exact(counts: dict[int, int], sizes: list[int], reach: list[int], target: int, top: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Every filling of exactly ``target`` from sizes[:top], the largest sizes first."""
+    if not target:
+        yield ()
+        return
+    for i in range(top, 0, -1):
+        if not reach[i] >> target & 1:  # nor with fewer sizes
+            return
         s = sizes[i - 1]
-        m = next((m for m in range(1, min(counts[s], target // s) + 1) if reach[i - 1] >> (target - s * m) & 1), 0)
-        if m:
-            out.append((s, m))
-            target -= s * m
-        i -= 1
-    return tuple(out)
+        for m in range(min(counts[s], target // s), 0, -1):
+            if reach[i - 1] >> (target - s * m) & 1:
+                for rest in _exact(counts, sizes, reach, target - s * m, i - 1):
+                    yield ((s, m), *rest)
 
 
 def _fits(items: list[int], bins: list[int]) -> bool:
@@ -116,8 +120,8 @@ def _flat(f: tuple[tuple[int, int], ...]) -> list[int]:
     return sorted((s for s, m in f for _ in range(m)), reverse=True)
 
 
-def fillings(counts: dict[int, int], room: int, width: int = WIDTH) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated (waste, filling) of ``room``, from the least waste on, at most ``width``."""
+def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, Filling] | None]:
+    """Undominated (waste, filling) of ``room``, from the least waste on; None for a dominated one, as it took a look too."""
     if counts.get(room, 0):
         yield 0, ((room, 1),)  # dominates every other filling
         return
@@ -127,25 +131,20 @@ def fillings(counts: dict[int, int], room: int, width: int = WIDTH) -> Iterator[
         return
     reach = _reach(counts, sizes, room)
     kept: list[list[int]] = []
-    target = reach[-1].bit_length() - 1
-    tried = 0
-    while target > 0 and len(kept) < width and tried < 4 * width:
+    for target in range(reach[-1].bit_length() - 1, 0, -1):
         if reach[-1] >> target & 1:
-            for top in range(len(sizes), 0, -1):
-                if not reach[top] >> target & 1 or len(kept) >= width or tried >= 4 * width:
-                    break
-                if reach[top - 1] >> target & 1 and not any(target >= sizes[top - 1] * m and reach[top - 1] >> (target - sizes[top - 1] * m) & 1 for m in range(1, counts[sizes[top - 1]] + 1)):
-                    continue
-                f = _largest_first(counts, sizes, reach, target, top)
+            for f in _exact(counts, sizes, reach, target, len(sizes)):
                 flat = _flat(f)
-                tried += 1
-                if flat not in kept and (len(flat) > 12 or not any(len(k) <= 12 and _fits(flat, k) for k in kept)):
-                    kept.append(flat)
-                    yield room - target, f
-        target -= 1
+                if len(flat) <= TESTED:
+                    if any(_fits(flat, k) for k in kept):
+                        yield None
+                        continue
+                    if len(kept) < AGAINST:
+                        kept.append(flat)
+                yield room - target, f
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
     """Patterns that hold every item once, with as few bins as the search finds; the fewest possible if it ends in time."""
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -160,11 +159,21 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
     path: list[Pattern] = []
     used = wasted = spent = 0
 
-    def options() -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    def options() -> Iterator[tuple[int, Filling, int]]:
+        """(waste, filling, how often) around the largest size left; 0 times for a dominated filling."""
         s = max(left)
         rest = dict(left)
         rest[s] -= 1
-        return ((w, ((s, 1), *f)) for w, f in fillings(rest, capacity - s, width))
+        for found in fillings(rest, capacity - s):
+            if found is None:
+                yield 0, (), 0
+                continue
+            waste, f = found
+            need = dict(f)
+            need[s] = need.get(s, 0) + 1
+            f = tuple(sorted(need.items(), reverse=True))
+            for times in range(min(left[x] // m for x, m in f), 0, -1):
+                yield waste, f, times
 
     def apply(f: tuple[tuple[int, int], ...], times: int) -> None:
         for s, m in f:
@@ -189,17 +198,9 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
                 wasted -= times * waste
             continue
         spent += 1
-        waste, f = choice
-        need: dict[int, int] = {}
-        for s, m in f:
-            need[s] = need.get(s, 0) + m
-        f = tuple(sorted(need.items(), reverse=True))
-        times = min(left[s] // m for s, m in f)
-        # the waste of a bin holds for the rest of the branch, so a branch beyond the allowance can't beat the best
-        if not times or wasted + waste * times > allowed and len(left) > len(f):
-            times = max(1, min(times, (allowed - wasted) // waste if waste else times)) if times else 0
-            if not times or wasted + waste * times > allowed:
-                continue
+        waste, f, times = choice
+        if not times or wasted + waste * times > allowed:  # the waste stays, so the branch can't beat the best
+            continue
         apply(f, times)
         path.append((times, f))
         steps.append((times, waste, f))
