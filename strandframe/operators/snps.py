@@ -56,9 +56,11 @@ def read_votes(alleles: DataFrame, truth: DataFrame) -> DataFrame:
 def linkage(alleles: DataFrame, ctg: str, near: int, reads: int, span: int) -> DataFrame:
     """(ctg, pos0, pos1, n, concordance) of site pairs at least ``near`` and at most ``span`` apart that share ``reads``
     reads: the larger diagonal of their 2 x 2 table over its sum."""
-    ok = alleles.where("choice != -1")
-    x, y = ok.select("read", ctg, F.col("pos").alias("pos0"), F.col("choice").alias("c0")), ok.select("read", ctg, F.col("pos").alias("pos1"), F.col("choice").alias("c1"))
-    both = x.join(y, ["read", ctg]).where((F.col("pos1") - F.col("pos0")).between(near, span))
+    # positions are binned by the span, so a read's sites meet those of their own bin and the next one only
+    ok = alleles.where("choice != -1").withColumn("_b", F.floor(F.col("pos") / span))
+    x = ok.select("read", ctg, F.col("pos").alias("pos0"), F.col("choice").alias("c0"), F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"))
+    y = ok.select("read", ctg, F.col("pos").alias("pos1"), F.col("choice").alias("c1"), "_b")
+    both = x.join(y, ["read", ctg, "_b"]).where((F.col("pos1") - F.col("pos0")).between(near, span))
     t = both.groupBy(ctg, "pos0", "pos1").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("c0") == F.col("c1")).cast("long")).alias("diag"))
     return t.where(F.col("n") >= reads).select(ctg, "pos0", "pos1", "n", (F.greatest(F.col("diag"), F.col("n") - F.col("diag")) / F.col("n")).alias("concordance"))
 

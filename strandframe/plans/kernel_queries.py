@@ -7,37 +7,25 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import align, dna
 from strandframe.functions.overlap import Filter, sides
-from strandframe.operators import consensus, coverage, pairs, phasing
-from strandframe.plans.pair_queries import _alleles, _single
+from strandframe.operators import calls, consensus, coverage, pairs, phasing
+from strandframe.plans.pair_queries import _alleles, _placed, _single
 from strandframe.plans.views import LEN, OV, READS, SIDES, overlaps, reads
 from strandframe.session import table
 
 
-#: The stretches that the SQL of kern_distance names.
-SHORT = "a_end - a_start between 1 and 600 and b_end - b_start between 1 and 600"
-
-
-def _stretches(spark: SparkSession, sf_dir: str, which: str = "a_start < a_end and b_start < b_end") -> DataFrame:
+def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both aligned stretches of every overlap, on the same strand."""
-    got = pairs.with_sequences(overlaps(spark, sf_dir).where(which), reads(spark, sf_dir))
+    got = pairs.with_sequences(overlaps(spark, sf_dir).where("a_start < a_end and b_start < b_end"), reads(spark, sf_dir))
     a = dna.slice_of(F.upper("a_seq"), F.col("a_start"), F.col("a_end"), (F.col("a_strand") != F.col("b_strand")).cast("int"))
     rows = got.select("ol_id", a.alias("a"), F.substring(F.upper("b_seq"), F.col("b_start") + 1, F.col("b_end") - F.col("b_start")).alias("b")).where("a is not null and b is not null")
     # a pair costs far more than its bytes tell, so partitions are not merged by size
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ol_id")
 
 
-def _distances(d: DataFrame) -> DataFrame:
-    return d.select("ol_id", F.length("a").alias("_a"), F.length("b").alias("_b"), align.distance_udf(F.col("a"), F.col("b")).alias("distance")).select("ol_id", "distance", F.round(align.quality_from(F.col("distance"), F.col("_a"), F.col("_b")), 6).alias("quality"))
-
-
 def kern_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance and quality of aligned stretches of at most 600 bases, as its SQL has them."""
-    return _distances(_stretches(spark, sf_dir, SHORT))
-
-
-def kern_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distance and quality of the aligned stretches of every overlap."""
-    return _distances(_stretches(spark, sf_dir))
+    d = _stretches(spark, sf_dir).select("ol_id", F.length("a").alias("_a"), F.length("b").alias("_b"), align.distance_udf(F.col("a"), F.col("b")).alias("distance"))
+    return d.select("ol_id", "distance", F.round(align.quality_from(F.col("distance"), F.col("_a"), F.col("_b")), 6).alias("quality"))
 
 
 def kern_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +35,16 @@ def kern_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kern_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps whose realigned identity passes a filter."""
-    d = kern_distances(spark, sf_dir).where("quality >= 90")
+    d = kern_distance(spark, sf_dir).where("quality >= 90")
     return overlaps(spark, sf_dir).join(d, "ol_id").where(Filter.parse("oh=1000:ohr=0.5").valid()).select("ol_id", "quality")
 
 
+def kern_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of every kind at each position of a read, along the realigned overlaps."""
+    got = _placed(spark, sf_dir).where("length(t) > 0 and length(q) > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ctg", "read", "start")
+    return calls.counts(calls.walk(got.withColumn("cigar", align.align_udf(F.col("q"), F.col("t"), "edit"))))
+
+
 def kern_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus of every read that two others cover."""
     out = consensus.correct_reads(_single(spark, sf_dir), reads(spark, sf_dir))
@@ -90,13 +84,20 @@ def cov_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bases.withColumn("median", med.scalar()).select("bases", "median", F.expr("bases div median").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (kern_distance, kern_distances, kern_align, kern_refined, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_genome)}
+QUERIES = {f.__name__: f for f in (kern_distance, kern_align, kern_refined, kern_calls, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_genome)}
 
 _STRETCH = f"""{OV}, {READS}, st AS (SELECT ol_id, CASE WHEN a_strand <> b_strand THEN translate(reverse(substr(upper(x.seq), a_start + 1, a_end - a_start)), 'ACGT', 'TGCA') ELSE substr(upper(x.seq), a_start + 1, a_end - a_start) END AS a, substr(upper(y.seq), b_start + 1, b_end - b_start) AS b
-    FROM ov JOIN reads x ON x.read_id = a_id JOIN reads y ON y.read_id = b_id WHERE a_end - a_start BETWEEN 1 AND 600 AND b_end - b_start BETWEEN 1 AND 600 AND x.seq IS NOT NULL AND y.seq IS NOT NULL)"""
+    FROM ov JOIN reads x ON x.read_id = a_id JOIN reads y ON y.read_id = b_id WHERE a_end > a_start AND b_end > b_start AND x.seq IS NOT NULL AND y.seq IS NOT NULL)"""
+
+_OHA, _OHB = (f"least(1000, CAST(trunc({x}_len * 0.5::DOUBLE) AS INTEGER))" for x in "ab")
 
 SQL = {
     "kern_distance": f"WITH {_STRETCH} SELECT ol_id, CAST(levenshtein(a, b) AS INTEGER) AS distance, round(100.0::DOUBLE - levenshtein(a, b) * 100.0::DOUBLE / nullif(greatest(length(a), length(b)), 0), 6) AS quality FROM st",
+    "kern_refined": f"""WITH {_STRETCH}, d AS (SELECT ol_id, round(100.0::DOUBLE - levenshtein(a, b) * 100.0::DOUBLE / nullif(greatest(length(a), length(b)), 0), 6) AS quality FROM st)
+        SELECT ol_id, quality FROM ov JOIN d USING (ol_id) WHERE quality >= 90 AND a_id <> b_id AND a_len >= 0 AND b_len >= 0 AND identity >= 0 AND NOT ({LEN} < 0)
+        AND ({LEN} >= 10000000 OR {LEN} >= a_len OR {LEN} >= b_len OR NOT CASE WHEN a_strand = b_strand
+            THEN (a_start > {_OHA} AND b_start > {_OHB}) OR (a_len - a_end > {_OHA} AND b_len - b_end > {_OHB})
+            ELSE (a_start > {_OHA} AND b_len - b_end > {_OHB}) OR (a_len - a_end > {_OHA} AND b_start > {_OHB}) END)""",
     "kern_weights": f"WITH {OV}, {SIDES} SELECT read, other, max(r_end - r_start - 0.5::DOUBLE * (least(r_start, o_start) + least(r_len - r_end, o_len - o_end))) AS weight FROM sides GROUP BY read, other",
     "cov_genome": f"""WITH {OV}, {SIDES}, ev AS (SELECT read, pos, sum(d) AS d FROM (SELECT read, r_start AS pos, 1 AS d FROM sides WHERE r_start < r_end UNION ALL SELECT read, r_end, -1 FROM sides WHERE r_start < r_end UNION ALL SELECT read, 0, 0 FROM sides UNION ALL SELECT read, r_len, 0 FROM sides) WHERE pos IS NOT NULL GROUP BY read, pos),
         s AS (SELECT * FROM (SELECT read, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS depth FROM ev WINDOW w AS (PARTITION BY read ORDER BY pos)) WHERE "end" IS NOT NULL), n AS (SELECT *, max("end") OVER (PARTITION BY read) // 3 AS t FROM s),

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
 from strandframe.functions.overlap import Filter, aligned_length
-from strandframe.operators import grouping, pairs, snps
+from strandframe.operators import calls, grouping, pairs, snps
 from strandframe.plans.column_queries import FILTER, SQL as COLUMN_SQL, _carry, _loc, _rev
 from strandframe.plans.views import AL, LEN, OV, READS, alignments, overlaps, reads
-from strandframe.session import table
+from strandframe.session import cut, table
 
 #: Distance between the positions at which base calls are made up.
-STEP = 500
+#: Coverages that count, and the calls of the second base asked for at the least and the largest of them.
+CONFIRMED = (3, 400, 1, 1)
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +96,22 @@ def join_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.conflicting_classes(overlaps(spark, sf_dir), cls).select("ol_id")
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both reads of every overlap as target (ctg) and query (read): start and end on the target, ``t`` the target's stretch
+    and ``q`` the query's on the same strand."""
+    got = pairs.with_sequences(overlaps(spark, sf_dir).where("a_id != b_id"), reads(spark, sf_dir)).where("a_seq is not null and b_seq is not null")
+    turned = (F.col("a_strand") != F.col("b_strand")).cast("int")
+
+    def side(t: str, q: str) -> Column:
+        stretch = [dna.slice_of(F.upper(f"{x}_seq"), F.col(f"{x}_start"), F.col(f"{x}_end"), turn).alias(n) for x, n, turn in ((t, "t", F.lit(0)), (q, "q", turned))]
+        return F.struct(F.col(f"{t}_id").alias("ctg"), F.col(f"{q}_id").alias("read"), F.col(f"{t}_start").alias("start"), F.col(f"{t}_end").alias("end"), *stretch)
+
+    return got.select(F.explode(F.array(side("b", "a"), side("a", "b"))).alias("_s")).select("_s.*")
+
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base calls at every STEP bases of the alignments: ctg, pos, read, base (made up from ids; 8 is a deletion)."""
-    al = alignments(spark, sf_dir).where("b_start < b_end")
-    first = F.expr(f"(b_start + {STEP - 1}) div {STEP}")
-    rows = al.select(F.col("b_id").alias("ctg"), F.col("a_id").alias("read"), F.explode(F.when(first <= F.expr(f"(b_end - 1) div {STEP}"), F.sequence(first, F.expr(f"(b_end - 1) div {STEP}"))).otherwise(F.array().cast("array<bigint>"))).alias("k"))
-    base = F.when((F.col("read") + F.col("k")) % 17 == 0, 8).otherwise((F.expr("read div 3") + F.col("k")) % 2 + F.when((F.col("read") * 5 + F.col("k")) % 23 == 0, 2).otherwise(0)).cast("int")
-    return rows.select("ctg", (F.col("k") * STEP).alias("pos"), "read", base.alias("base")).distinct()
+    """Base calls of overlapping reads on each other, from their sequences: ctg, pos, read, base."""
+    return calls.between_flanks(_placed(spark, sf_dir)).distinct()
 
 
 def snp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +121,17 @@ def snp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snp_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions with two bases above the threshold."""
-    return snps.confirmed(snp_histogram(spark, sf_dir), 4, 400, 2, 60)
+    return snps.confirmed(snp_histogram(spark, sf_dir), *CONFIRMED)
 
 
 def _alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snps.alleles_of_reads(_calls(spark, sf_dir), snp_confirmed(spark, sf_dir))
+    made = cut(_calls(spark, sf_dir))
+    sites = cut(snps.confirmed(snps.base_histogram(made), *CONFIRMED))
+    return snps.alleles_of_reads(calls.at_sites(made, _placed(spark, sf_dir), sites), sites)
 
 
 def snp_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of reads at confirmed positions."""
+    """Calls of reads at confirmed positions, -1 for a read that has none there."""
     return _alleles(spark, sf_dir)
 
 
@@ -137,7 +149,7 @@ def snp_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snp_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linkage of positions within 2000 bases."""
-    out = snps.linkage(_alleles(spark, sf_dir), "ctg", STEP, 3, 2000)
+    out = snps.linkage(_alleles(spark, sf_dir), "ctg", 1, 3, 2000)
     return out.select("ctg", "pos0", "pos1", "n", F.round("concordance", 9).alias("concordance"))
 
 
@@ -174,8 +186,8 @@ def set_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions confirmed under two thresholds, with the share of the second base."""
-    h = snp_histogram(spark, sf_dir)
-    x, y = (snps.confirmed(h, 4, 400, t, 60).select("ctg", "pos", "var1") for t in (2, 3))
+    h = cut(snp_histogram(spark, sf_dir))
+    x, y = (snps.confirmed(h, *CONFIRMED[:2], t, t).select("ctg", "pos", "var1") for t in (1, 2))
     second = F.element_at(F.array("n_a", "n_c", "n_g", "n_t"), F.col("var1") + 1)
     return x.join(y.select("ctg", "pos", F.lit(True).alias("in_second")), ["ctg", "pos"], "left").join(h, ["ctg", "pos"]).select("ctg", "pos", F.coalesce("in_second", F.lit(False)).alias("in_second"), F.round(second / F.col("cov"), 9).alias("share"))
 
@@ -216,18 +228,25 @@ def _via(p: str, t: str) -> str:
     return x
 
 
-_CALLS = f"""calls AS (SELECT DISTINCT b_id AS ctg, CAST(k AS BIGINT) * {STEP} AS pos, a_id AS read, CAST(CASE WHEN (a_id + k) % 17 = 0 THEN 8 ELSE (a_id // 3 + k) % 2 + CASE WHEN (a_id * 5 + k) % 23 = 0 THEN 2 ELSE 0 END END AS INTEGER) AS base
-    FROM al, unnest(range(CAST((b_start + {STEP - 1}) // {STEP} AS BIGINT), CAST((b_end - 1) // {STEP} AS BIGINT) + 1)) AS t(k) WHERE b_start < b_end)"""
+_TURN = "CASE WHEN a_strand <> b_strand THEN translate(reverse({0}), 'ACGT', 'TGCA') ELSE {0} END"
+_SA, _SB = "substr(upper(x.seq), a_start + 1, a_end - a_start)", "substr(upper(y.seq), b_start + 1, b_end - b_start)"
+_CALLS = f"""pl AS (SELECT row_number() OVER () AS id, * FROM (SELECT b_id AS ctg, a_id AS read, b_start AS "start", b_end AS "end", {_SB} AS t, {_TURN.format(_SA)} AS q FROM ov JOIN reads x ON x.read_id = a_id JOIN reads y ON y.read_id = b_id WHERE a_id <> b_id AND x.seq IS NOT NULL AND y.seq IS NOT NULL
+        UNION ALL SELECT a_id, b_id, a_start, a_end, {_SA}, {_TURN.format(_SB)} FROM ov JOIN reads x ON x.read_id = a_id JOIN reads y ON y.read_id = b_id WHERE a_id <> b_id AND x.seq IS NOT NULL AND y.seq IS NOT NULL)),
+    tw AS (SELECT id, k, min(i) AS i FROM (SELECT id, i, substr(t, i + 1, 8) || substr(t, i + 10, 8) AS k, substr(t, i + 1, 17) AS w FROM pl, unnest(range(CAST(0 AS BIGINT), CAST(length(t) - 16 AS BIGINT))) AS u(i)) WHERE regexp_full_match(w, '[ACGT]+') GROUP BY id, k HAVING count(*) = 1),
+    q1 AS (SELECT id, k, min(instr('ACGT', m) - 1) AS base FROM (SELECT id, substr(q, i + 1, 8) || substr(q, i + 10, 8) AS k, substr(q, i + 9, 1) AS m, substr(q, i + 1, 17) AS w FROM pl, unnest(range(CAST(0 AS BIGINT), CAST(length(q) - 16 AS BIGINT))) AS u(i)) WHERE regexp_full_match(w, '[ACGT]+') GROUP BY id, k HAVING count(*) = 1),
+    q0 AS (SELECT id, k FROM (SELECT id, substr(q, i + 1, 16) AS k FROM pl, unnest(range(CAST(0 AS BIGINT), CAST(length(q) - 15 AS BIGINT))) AS u(i)) WHERE regexp_full_match(k, '[ACGT]+') GROUP BY id, k HAVING count(*) = 1),
+    calls AS (SELECT DISTINCT ctg, "start" + i + 8 AS pos, read, CAST(coalesce(q1.base, 8) AS INTEGER) AS base FROM tw JOIN pl USING (id) LEFT JOIN q1 USING (id, k) LEFT JOIN q0 USING (id, k) WHERE q1.k IS NOT NULL OR q0.k IS NOT NULL)"""
 _HIST = "hist AS (SELECT ctg, pos, count(*) FILTER (base = 0) AS n_a, count(*) FILTER (base = 1) AS n_c, count(*) FILTER (base = 2) AS n_g, count(*) FILTER (base = 3) AS n_t, count(*) FILTER (base = 8) AS n_del, count(*) AS cov FROM calls GROUP BY ctg, pos)"
 
 
 def _conf(name: str, at_low: int) -> str:
-    return f"""{name}l AS (SELECT ctg, pos, cov, b, n, row_number() OVER (PARTITION BY ctg, pos ORDER BY n DESC, b) AS rn FROM (SELECT ctg, pos, cov, 0 AS b, n_a AS n FROM hist UNION ALL SELECT ctg, pos, cov, 1, n_c FROM hist UNION ALL SELECT ctg, pos, cov, 2, n_g FROM hist UNION ALL SELECT ctg, pos, cov, 3, n_t FROM hist) WHERE cov BETWEEN 4 AND 400),
-    {name} AS (SELECT x.ctg, x.pos, x.b AS var0, y.b AS var1 FROM {name}l x JOIN {name}l y ON x.ctg = y.ctg AND x.pos = y.pos AND x.rn = 1 AND y.rn = 2 WHERE y.n >= {at_low} + (y.cov - 4) * (({60 - at_low})::DOUBLE / 396))"""
+    return f"""{name}l AS (SELECT ctg, pos, cov, b, n, row_number() OVER (PARTITION BY ctg, pos ORDER BY n DESC, b) AS rn FROM (SELECT ctg, pos, cov, 0 AS b, n_a AS n FROM hist UNION ALL SELECT ctg, pos, cov, 1, n_c FROM hist UNION ALL SELECT ctg, pos, cov, 2, n_g FROM hist UNION ALL SELECT ctg, pos, cov, 3, n_t FROM hist) WHERE cov BETWEEN 3 AND 400),
+    {name} AS (SELECT x.ctg, x.pos, x.b AS var0, y.b AS var1 FROM {name}l x JOIN {name}l y ON x.ctg = y.ctg AND x.pos = y.pos AND x.rn = 1 AND y.rn = 2 WHERE y.n >= {at_low})"""
 
 
-_ALL = f"alleles AS (SELECT ctg, pos, read, base, CASE base WHEN var0 THEN 0 WHEN var1 THEN 1 ELSE -1 END AS choice FROM calls JOIN conf USING (ctg, pos))"
-_SNP = f"WITH {AL}, {_CALLS}, {_HIST}, {_conf('conf', 2)}, {_ALL}"
+_ALL = """under AS (SELECT DISTINCT conf.ctg, conf.pos, pl.read, var0, var1 FROM conf JOIN pl ON pl.ctg = conf.ctg AND pl."start" <= conf.pos AND conf.pos < pl."end"),
+    alleles AS (SELECT u.ctg, u.pos, u.read, coalesce(base, -1) AS base, CASE base WHEN var0 THEN 0 WHEN var1 THEN 1 ELSE -1 END AS choice FROM under u LEFT JOIN calls c ON c.ctg = u.ctg AND c.pos = u.pos AND c.read = u.read)"""
+_SNP = f"WITH {OV}, {READS}, {_CALLS}, {_HIST}, {_conf('conf', 1)}, {_ALL}"
 
 SQL = {
     "join_inconsistent": _without(150, 0.1, 1),
@@ -244,12 +263,12 @@ SQL = {
     "join_sequences": f"""WITH {OV}, {READS} SELECT ol_id, substr(x.seq, a_start + 1, 12) AS a_part, CASE WHEN b_strand = 1 THEN translate(reverse(substr(y.seq, b_start + 1, 12)), 'ACGTacgt', 'TGCAtgca') ELSE substr(y.seq, b_start + 1, 12) END AS b_part FROM ov LEFT JOIN reads x ON x.read_id = a_id LEFT JOIN reads y ON y.read_id = b_id""",
     "join_names": f"WITH {READS}, o AS (SELECT DISTINCT ol_id, qname FROM read_overlaps) SELECT ol_id, coalesce(read_id, -1) AS read_id FROM o LEFT JOIN reads ON name = qname",
     "join_classes": f"WITH {OV}, {READS}, c AS (SELECT read_id, CASE WHEN len > 1500 THEN 1 WHEN len < 800 THEN -1 ELSE 0 END AS cls FROM reads) SELECT ol_id FROM ov LEFT JOIN c x ON x.read_id = a_id LEFT JOIN c y ON y.read_id = b_id WHERE coalesce(x.cls * y.cls, 0) <> -1",
-    "snp_histogram": f"WITH {AL}, {_CALLS}, {_HIST} SELECT * FROM hist",
-    "snp_confirmed": f"WITH {AL}, {_CALLS}, {_HIST}, {_conf('conf', 2)} SELECT * FROM conf",
+    "snp_histogram": f"WITH {OV}, {READS}, {_CALLS}, {_HIST} SELECT * FROM hist",
+    "snp_confirmed": f"WITH {OV}, {READS}, {_CALLS}, {_HIST}, {_conf('conf', 1)} SELECT * FROM conf",
     "snp_alleles": _SNP + " SELECT * FROM alleles",
-    "snp_agreement": f"{_SNP}, {OV}, p AS (SELECT DISTINCT a_id AS a, b_id AS b FROM ov WHERE a_id <> b_id) SELECT a, b, count(*) FILTER (x.choice = y.choice) AS same, count(*) FILTER (x.choice <> y.choice) AS different FROM p JOIN alleles x ON x.read = a JOIN alleles y ON y.read = b AND x.ctg = y.ctg AND x.pos = y.pos WHERE x.choice <> -1 AND y.choice <> -1 GROUP BY a, b",
+    "snp_agreement": f"{_SNP}, p AS (SELECT DISTINCT a_id AS a, b_id AS b FROM ov WHERE a_id <> b_id) SELECT a, b, count(*) FILTER (x.choice = y.choice) AS same, count(*) FILTER (x.choice <> y.choice) AS different FROM p JOIN alleles x ON x.read = a JOIN alleles y ON y.read = b AND x.ctg = y.ctg AND x.pos = y.pos WHERE x.choice <> -1 AND y.choice <> -1 GROUP BY a, b",
     "snp_vote": f"{_SNP}, m AS (SELECT ctg, pos, CASE WHEN sum(choice) * 2 > count(*) THEN 1 ELSE 0 END AS t FROM alleles WHERE choice <> -1 GROUP BY ctg, pos HAVING sum(choice) * 2 <> count(*)) SELECT read, ctg, count(*) FILTER (choice = t) AS agree, count(*) FILTER (choice <> t) AS disagree FROM alleles JOIN m USING (ctg, pos) WHERE choice <> -1 GROUP BY read, ctg",
-    "snp_linkage": f"{_SNP}, t AS (SELECT x.ctg, x.pos AS pos0, y.pos AS pos1, count(*) AS n, count(*) FILTER (x.choice = y.choice) AS d FROM alleles x JOIN alleles y ON x.read = y.read AND x.ctg = y.ctg AND y.pos - x.pos BETWEEN 500 AND 2000 WHERE x.choice <> -1 AND y.choice <> -1 GROUP BY x.ctg, x.pos, y.pos) SELECT ctg, pos0, pos1, n, round(greatest(d, n - d) / n, 9) AS concordance FROM t WHERE n >= 3",
+    "snp_linkage": f"{_SNP}, t AS (SELECT x.ctg, x.pos AS pos0, y.pos AS pos1, count(*) AS n, count(*) FILTER (x.choice = y.choice) AS d FROM alleles x JOIN alleles y ON x.read = y.read AND x.ctg = y.ctg AND y.pos - x.pos BETWEEN 1 AND 2000 WHERE x.choice <> -1 AND y.choice <> -1 GROUP BY x.ctg, x.pos, y.pos) SELECT ctg, pos0, pos1, n, round(greatest(d, n - d) / n, 9) AS concordance FROM t WHERE n >= 3",
     "snp_nearest": f"""WITH {AL}, d AS (SELECT *, {LEN} AS n, a_start * 3 AS w, abs(a_start * 3 - b_start) AS d FROM al), m AS (SELECT *, min(d) OVER (PARTITION BY a_id, b_id) AS l FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, d, b_start) AS rn FROM m WHERE d <= l + 500)
         SELECT a_id, b_id, b_start, CAST(n AS INTEGER) AS n, a_strand = b_strand AND abs(w - b_start) <= greatest(1000, CAST(trunc(n * 0.1::DOUBLE) AS INTEGER)) AS ok FROM r WHERE rn = 1""",
     "snp_kmer_classes": f"""WITH {READS}, k AS (SELECT DISTINCT read_id AS read, len, substr(upper(seq), CAST(i AS BIGINT), 11) AS kmer FROM reads, unnest(range(1, length(seq) - 9)) AS t(i) WHERE length(seq) >= 11), p AS (SELECT DISTINCT kmer FROM k WHERE len > 1500), m AS (SELECT DISTINCT kmer FROM k WHERE len < 800),
@@ -259,5 +278,5 @@ SQL = {
         SELECT coalesce(r.name, o.name) AS name, CASE WHEN r.name IS NULL THEN 'overlaps' WHEN o.name IS NULL THEN 'reads' ELSE 'both' END AS "where" FROM r FULL JOIN o ON r.name = o.name""",
     "set_contigs": f"""WITH {AL}, {OV}, s AS (SELECT a_id, list(DISTINCT b_id) AS s FROM al GROUP BY a_id), p AS (SELECT DISTINCT a_id AS x, b_id AS y FROM ov WHERE a_id <> b_id), b AS (SELECT x, y, sx.s AS sx, sy.s AS sy FROM p JOIN s sx ON sx.a_id = x JOIN s sy ON sy.a_id = y)
         SELECT x, y, len(list_intersect(sx, sy)) > 0 AS common, CAST(len(list_intersect(sx, sy)) AS INTEGER) AS n, len(sx) = len(list_intersect(sx, sy)) AS subset, CAST(len(sy) - len(list_intersect(sx, sy)) AS INTEGER) AS extra FROM b""",
-    "set_variants": f"WITH {AL}, {_CALLS}, {_HIST}, {_conf('x', 2)}, {_conf('y', 3)} SELECT x.ctg, x.pos, y.ctg IS NOT NULL AS in_second, round((CASE x.var1 WHEN 0 THEN n_a WHEN 1 THEN n_c WHEN 2 THEN n_g ELSE n_t END) / cov, 9) AS share FROM x LEFT JOIN y ON x.ctg = y.ctg AND x.pos = y.pos JOIN hist h ON h.ctg = x.ctg AND h.pos = x.pos",
+    "set_variants": f"WITH {OV}, {READS}, {_CALLS}, {_HIST}, {_conf('x', 1)}, {_conf('y', 2)} SELECT x.ctg, x.pos, y.ctg IS NOT NULL AS in_second, round((CASE x.var1 WHEN 0 THEN n_a WHEN 1 THEN n_c WHEN 2 THEN n_g ELSE n_t END) / cov, 9) AS share FROM x LEFT JOIN y ON x.ctg = y.ctg AND x.pos = y.pos JOIN hist h ON h.ctg = x.ctg AND h.pos = x.pos",
 }
