@@ -22,6 +22,17 @@ def to_blocks(df: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["ol_id", "block"])
 
 
+def with_named_read(df: DataFrame, named: DataFrame) -> DataFrame:
+    """Overlaps with either read among ``named`` (read)."""
+    a, b = (named.select(F.col("read").alias(f"{x}_id")).where(f"{x}_id is not null").distinct().withColumn(f"_{x}", F.lit(True)) for x in "ab")
+    return df.join(a, "a_id", "left").join(b, "b_id", "left").where("_a or _b").drop("_a", "_b")
+
+
+def split_by_sets(df: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Every row once for each of the ``sets`` (part, name) that hold its ``key``."""
+    return df.join(sets.select("part", F.col("name").alias(key)).distinct(), key)
+
+
 def pair_known(df: DataFrame, pairs: DataFrame, how: str = "left_semi") -> DataFrame:
     """Overlaps whose two reads are in ``pairs`` (t, q) in either order."""
     lo, hi = F.least("a_id", "b_id"), F.greatest("a_id", "b_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.prefix import running_sum
+from strandframe.session import cut
 
 
 def length_for_total(df: DataFrame, length: str, total: int) -> int:
@@ -120,3 +121,15 @@ def neighbour_groups(neighbours: dict[object, list[object]], sizes: dict[object,
             queue.extend(sorted((x for x in neighbours.get(n, ()) if x in left), key=lambda x: (-left[x], str(x))))
         out.append(group)
     return out
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: the rank of every row from 0 on in the order of ``order``, ties in any order.
+
+    Rows are sorted by ranges; ranges are counted and each starts where the ones before it end, so no task sees all rows."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_p")
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = ranged.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return out.select(*df.columns, (F.col("_before") + F.col("_at") - F.shiftleft("_p", 33)).alias(name))
