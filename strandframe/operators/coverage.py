@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.operators.prefix import next_position, running_sum
+from strandframe.operators.prefix import haloed, next_position, running_count, running_max_before, running_sum
 
 
 def segments(intervals: DataFrame, keys: Sequence[str], start: Column, end: Column, length: Column | None = None) -> DataFrame:
@@ -27,22 +27,30 @@ def segments(intervals: DataFrame, keys: Sequence[str], start: Column, end: Colu
 ends_type = "array<struct<pos:bigint,d:int>>"
 
 
-def core(segs: DataFrame, keys: Sequence[str], lo: Column, hi: Column) -> DataFrame:
-    """(keys, min_depth, max_depth, bases, sum_depth) within [lo, hi) of every key."""
-    a, b = F.greatest(F.col("start"), lo), F.least(F.col("end"), hi)
-    cut = segs.withColumn("_n", b - a).where("_n > 0")
-    return cut.groupBy(*keys).agg(F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.sum("_n").alias("bases"), F.sum(F.col("depth") * F.col("_n")).alias("sum_depth"))
-
-
-def thirds(segs: DataFrame, keys: Sequence[str], length: Column) -> DataFrame:
-    """(keys, c0, c1, c2): mean depth in the three thirds, truncated; the last third takes the rest of the length."""
+def _thirds() -> list[Column]:
+    """Mean depths in the three thirds of ``_len``, truncated; the last third takes the rest."""
     third = F.expr("_len div 3")
 
     def part(k: int) -> Column:
         a, b = F.greatest(F.col("start"), third * k), F.least(F.col("end"), third * (k + 1) if k < 2 else F.col("_len"))
         return F.call_function("div", F.sum(F.greatest(F.lit(0), b - a) * F.col("depth")), F.nullif(F.max(third), F.lit(0))).alias(f"c{k}")
 
-    return segs.withColumn("_len", length.cast("long")).groupBy(*keys).agg(*[part(k) for k in range(3)])
+    return [part(k) for k in range(3)]
+
+
+def core(segs: DataFrame, keys: Sequence[str], lo: Column, hi: Column, length: Column | None = None) -> DataFrame:
+    """(keys, min_depth, max_depth, bases, sum_depth) within [lo, hi) of every key, and with ``length`` the columns of
+    ``thirds`` from the same grouping. Keys without a base inside are left out."""
+    n = F.least(F.col("end"), hi) - F.greatest(F.col("start"), lo)
+    rows = segs.withColumn("_n", F.when(n > 0, n)).withColumn("_len", (F.lit(None) if length is None else length).cast("long"))
+    inside = F.when(F.col("_n").isNotNull(), F.col("depth"))
+    got = rows.groupBy(*keys).agg(F.min(inside).alias("min_depth"), F.max(inside).alias("max_depth"), F.sum("_n").alias("bases"), F.sum(inside * F.col("_n")).alias("sum_depth"), *([] if length is None else _thirds()))
+    return got.where("min_depth is not null")
+
+
+def thirds(segs: DataFrame, keys: Sequence[str], length: Column) -> DataFrame:
+    """(keys, c0, c1, c2): mean depth in the three thirds, truncated; the last third takes the rest of the length."""
+    return segs.withColumn("_len", length.cast("long")).groupBy(*keys).agg(*_thirds())
 
 
 def longest_run(segs: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
@@ -54,38 +62,50 @@ def longest_run(segs: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
 
 
 def merge(intervals: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFrame:
-    """(keys, start, end, n): intervals joined where the next starts at most ``gap`` after the ones before end."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.select(*keys, "start", "end").withColumn("_new", (before.isNull() | (F.col("start") > before + gap)).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    """(keys, start, end, n): intervals joined where the next starts at most ``gap`` after the ones before end.
+
+    Starts and ends must not be null. Runs are found in buckets of starts, so a key with very many intervals is no single
+    task's work."""
+    order = ["start", "end"]
+    rows = running_max_before(intervals.select(*keys, "start", "end"), keys, order, "end", "_reach")
+    rows = rows.withColumn("_new", (F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap)).cast("int"))
+    # a run opens at the least of its starts, so runs can be told by the number of openings up to a start
+    rows = running_count(rows.drop("_reach"), keys, order, "_new", "_run")
     return rows.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
 def moving_mean(rows: DataFrame, keys: Sequence[str], pos: str, value: str, size: int, name: str = "mean") -> DataFrame:
-    """Mean of ``value`` over this and the next ``size`` - 1 rows; rows with fewer are left out."""
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, size - 1)
-    return rows.withColumn(name, F.avg(value).over(w)).withColumn("_k", F.count(value).over(w)).where(F.col("_k") == size).drop("_k")
+    """Mean of ``value`` over this and the next ``size`` - 1 rows; rows with fewer are left out. (keys, pos) must be unique."""
+    ranked = haloed(running_sum(rows.withColumn("_one", F.lit(1)), keys, pos, "_one", "_k").drop("_one"), keys, "_k", 0, size - 1)
+    w = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(0, size - 1)
+    out = ranked.withColumn(name, F.avg(value).over(w)).withColumn("_n", F.count(value).over(w))
+    return out.where(F.col("_real") & (F.col("_n") == size)).drop("_k", "_n", "_b", "_real")
+
+
+def _summed(rows: DataFrame, keys: Sequence[str], pos: str, value: str, width: int) -> DataFrame:
+    """Adds ``_s``: the sum of ``value`` over rows within ``width`` up to a row, in buckets with a halo."""
+    w = Window.partitionBy(*keys, "_b").orderBy(pos).rangeBetween(-width, 0)
+    return haloed(rows.select(*keys, pos, value), keys, pos, width).withColumn("_s", F.sum(value).over(w)).where("_real")
 
 
 def sliding_min(rows: DataFrame, keys: Sequence[str], pos: str, value: str, width: int) -> DataFrame:
     """(keys, least, at): the smallest sum of ``value`` over rows within ``width`` up to a row, and the row's position."""
-    w = Window.partitionBy(*keys).orderBy(pos).rangeBetween(-width, 0)
-    sums = rows.withColumn("_s", F.sum(value).over(w))
+    sums = _summed(rows, keys, pos, value, width)
     return sums.groupBy(*keys).agg(F.min(F.struct(F.col("_s").alias("s"), F.col(pos).alias("p"))).alias("_m")).select(*keys, F.col("_m.s").alias("least"), F.col("_m.p").alias("at"))
 
 
 def best_window(rows: DataFrame, keys: Sequence[str], pos: str, score: str, width: int) -> DataFrame:
     """(keys, best, at): the largest sum of ``score`` over positions within ``width`` up to a row, the first of equal ones."""
-    w = Window.partitionBy(*keys).orderBy(pos).rangeBetween(-width, 0)
-    sums = rows.withColumn("_s", F.sum(score).over(w))
+    sums = _summed(rows, keys, pos, score, width)
     return sums.groupBy(*keys).agg(F.max(F.struct(F.col("_s").alias("s"), (-F.col(pos)).alias("p"))).alias("_m")).select(*keys, F.col("_m.s").alias("best"), (-F.col("_m.p")).alias("at"))
 
 
 def crowded(rows: DataFrame, keys: Sequence[str], pos: str, width: int, least: int) -> DataFrame:
     """Rows that lie in some stretch of ``width`` with at least ``least`` rows."""
-    w = Window.partitionBy(*keys).orderBy(pos)
-    n = rows.withColumn("_n", F.count(pos).over(w.rangeBetween(-width, 0)))
-    return n.withColumn("_most", F.max("_n").over(w.rangeBetween(0, width))).where(F.col("_most") >= least).drop("_n", "_most")
+    w = Window.partitionBy(*keys, "_b").orderBy(pos)
+    # rows up to ``width`` behind a row matter, and for their counts those up to ``width`` before them
+    both = haloed(rows, keys, pos, width, width).withColumn("_n", F.count(pos).over(w.rangeBetween(-width, 0)))
+    return both.withColumn("_most", F.max("_n").over(w.rangeBetween(0, width))).where(F.col("_real") & (F.col("_most") >= least)).drop("_n", "_most", "_b", "_real")
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.overlap import LEFT, RIGHT, location
+from strandframe.operators.pairs import triangles
 from strandframe.session import cut, drop, is_empty
 
 EDGE = ["in_node", "out_node"]
@@ -69,12 +70,24 @@ def _with_mirrors(reduced: DataFrame, reason: str) -> DataFrame:
 
 
 def transitive(edges: DataFrame, fuzz: int = 500) -> DataFrame:
-    """Edges v -> x that v -> w -> x explains with a length within ``fuzz``."""
-    one = edges.select(F.col("in_node").alias("v"), F.col("out_node").alias("w"), F.col("len").alias("_l1"))
-    two = edges.select(F.col("in_node").alias("w"), F.col("out_node").alias("x"), F.col("len").alias("_l2"))
-    far = edges.select(F.col("in_node").alias("v"), F.col("out_node").alias("x"), F.col("len").alias("_l0"))
-    hit = far.join(one, "v").join(two, ["w", "x"]).where((F.abs(F.col("_l0") - F.col("_l1") - F.col("_l2")) <= fuzz) & (F.col("w") != F.col("x")))
-    return _with_mirrors(hit.select(F.col("v").alias("in_node"), F.col("x").alias("out_node")), "transitive")
+    """Edges v -> x that v -> w -> x explains with a length within ``fuzz``.
+
+    Triangles are listed at their vertex of least degree, see ``pairs.triangles``, so a hub's edges are not paired."""
+    ahead = F.col("in_node") < F.col("out_node")
+    links = edges.where("in_node != out_node").select(F.least(*EDGE).alias("lo"), F.greatest(*EDGE).alias("hi"), F.struct(ahead.alias("ahead"), F.col("len")).alias("item"))
+    items = enumerate(("ab", "ac", "bc"))
+    t = triangles(links).select("lo", "mid", "hi", *[c for i, x in items for c in (F.col(f"{x}.ahead").alias(f"d{i}"), F.col(f"{x}.len").alias(f"l{i}"))])
+    # ways out of the three nodes: the edges are lo-mid, lo-hi and mid-hi
+    d = [F.col(f"d{i}").cast("int") for i in range(3)]
+    outs = {"lo": d[0] + d[1], "mid": 1 - d[0] + d[2], "hi": 2 - d[1] - d[2]}
+
+    def node(n: int) -> Column:
+        return F.when(outs["lo"] == n, F.col("lo")).when(outs["mid"] == n, F.col("mid")).when(outs["hi"] == n, F.col("hi"))
+
+    # the long edge joins the node with two ways out to the one with none; where each has one they are a ring
+    far = F.when(outs["lo"] == 1, F.col("l2")).when(outs["mid"] == 1, F.col("l1")).otherwise(F.col("l0"))
+    hit = t.where(~((outs["lo"] == 1) & (outs["mid"] == 1))).select(node(2).alias("in_node"), node(0).alias("out_node"), far.alias("_l0"), (F.col("l0") + F.col("l1") + F.col("l2") - far).alias("_l12"))
+    return _with_mirrors(hit.where(F.abs(F.col("_l0") - F.col("_l12")) <= fuzz), "transitive")
 
 
 def repeats(edges: DataFrame) -> DataFrame:

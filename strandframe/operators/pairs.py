@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions.overlap import LEFT, RIGHT, _carry, location, mapping
 from strandframe.operators.grouping import both_sides
+from strandframe.session import cut, n_rows, sized, skew_join
 
 
 def with_sequences(df: DataFrame, reads: DataFrame) -> DataFrame:
@@ -96,32 +97,56 @@ def rescued(all_overlaps: DataFrame, kept: DataFrame, err: int = 0) -> DataFrame
     return missing.groupBy("read", "end").agg(F.min_by("ol_id", F.struct(-F.col("n"), F.col("ol_id"))).alias("ol_id")).select("ol_id").distinct()
 
 
+def triangles(links: DataFrame) -> DataFrame:
+    """(lo, mid, hi, ab, ac, bc): every three links (lo, hi, item) among three vertices, lo < hi, with the items of the links
+    from lo to mid, lo to hi and mid to hi. Several links of the same two vertices make several rows.
+
+    Every link belongs to its end of fewer links, of equal ones the smaller; a triangle is found at the vertex that owns two
+    of its links. A vertex owns no more links than the square root of twice their number, however many it has, so the pairs
+    that are looked up stay far below the square of the degrees."""
+    links = cut(links.select("lo", "hi", "item"))
+    ends = links.select(F.col("lo").alias("v")).unionByName(links.select(F.col("hi").alias("v")))
+    deg = cut(ends.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    known = skew_join(links, deg.select(F.col("v").alias("lo"), F.col("n").alias("_nl")), ["lo"])
+    known = skew_join(sized(known, n_rows(links)), deg.select(F.col("v").alias("hi"), F.col("n").alias("_nh")), ["hi"])
+    low = F.col("_nl") <= F.col("_nh")
+    owned = known.select(F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("v"), F.when(low, F.col("hi")).otherwise(F.col("lo")).alias("far"), "item")
+    wedge = owned.select("v", F.col("far").alias("lo"), F.col("item").alias("x")).join(owned.select("v", F.col("far").alias("hi"), F.col("item").alias("y")), "v").where("lo < hi")
+    closed = wedge.join(links.withColumnRenamed("item", "z"), ["lo", "hi"])
+    # the owner v stands before, between or behind the two others
+    first, last = F.col("v") < F.col("lo"), F.col("v") > F.col("hi")
+    mid = F.when(first, F.col("lo")).when(last, F.col("hi")).otherwise(F.col("v"))
+    ab, ac, bc = F.when(last, F.col("z")).otherwise(F.col("x")), F.when(first, F.col("y")).when(last, F.col("x")).otherwise(F.col("z")), F.when(first, F.col("z")).otherwise(F.col("y"))
+    # rows of their own, as the choices would be repeated in every later use of a link otherwise
+    row = F.struct(F.least("v", "lo").alias("lo"), mid.alias("mid"), F.greatest("v", "hi").alias("hi"), ab.alias("ab"), ac.alias("ac"), bc.alias("bc"))
+    return closed.select(F.explode(F.array(row)).alias("t")).select("t.*")
+
+
 def consistent_triangles(df: DataFrame, err: int) -> DataFrame:
     """(a, b, c, ok) of reads that overlap each other, a < b < c: whether b's ends carried to a directly and by way of c
     agree within ``err``. One overlap per pair is expected."""
-    view = both_sides(df).withColumn("_side", F.col("read") == F.col("a_id"))
-
-    def side(name: str) -> Column:
-        return F.when(F.col("_side"), F.col(f"a_{name}")).otherwise(F.col(f"b_{name}"))
+    turned = F.col("a_id") > F.col("b_id")
+    names = ("start", "end", "len")
 
-    def other(name: str) -> Column:
-        return F.when(F.col("_side"), F.col(f"b_{name}")).otherwise(F.col(f"a_{name}"))
+    def view(x: str, y: str) -> Column:
+        """The overlap as seen from read x."""
+        return F.struct(*[F.col(f"{x}_{n}").alias(f"x_{n}") for n in names], *[F.col(f"{y}_{n}").alias(f"y_{n}") for n in names], (F.col("a_strand") == F.col("b_strand")).alias("same"))
 
-    rows = view.select("read", "other", *[side(n).alias(f"x_{n}") for n in ("start", "end", "len")], *[other(n).alias(f"y_{n}") for n in ("start", "end", "len")], (F.col("a_strand") == F.col("b_strand")).alias("same"))
+    links = df.where("a_id != b_id").select(F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"), F.when(turned, view("b", "a")).otherwise(view("a", "b")).alias("item"))
+    tri = triangles(links).select(F.col("lo").alias("a"), F.col("mid").alias("b"), F.col("hi").alias("c"), "ab", "ac", "bc")
 
-    def named(prefix: str, x: str, y: str) -> DataFrame:
-        return rows.select(F.col("read").alias(x), F.col("other").alias(y), *[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns[2:]])
+    def carry(pos: Column, p: str, x: str = "x", y: str = "y") -> Column:
+        return _carry(pos, F.col(f"{p}.{x}_start"), F.col(f"{p}.{x}_end"), F.col(f"{p}.{y}_start"), F.col(f"{p}.{y}_end"), F.col(f"{p}.same"))
 
-    ab, ac, cb = named("ab", "a", "b").where("a < b"), named("ac", "a", "c"), named("cb", "c", "b")
-    tri = ab.join(ac, "a").where("b < c").join(cb, ["b", "c"])
+    ends = {"p0": F.lit(0), "p1": F.col("ab.y_len")}
 
-    def carry(pos: Column, p: str) -> Column:
-        return _carry(pos, F.col(f"{p}_x_start"), F.col(f"{p}_x_end"), F.col(f"{p}_y_start"), F.col(f"{p}_y_end"), F.col(f"{p}_same"))
+    def rows(at: dict[str, Column], *keep: str) -> DataFrame:
+        """Positions as values of their own: nested, the rules would be repeated within one another."""
+        return tri.select("a", "b", "c", *keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in at.items()]))).alias("_p")).select("a", "b", "c", *keep, "_p.*")
 
-    ok = F.lit(True)
-    for pos in (F.lit(0), F.col("ab_y_len")):
-        ok = ok & (F.abs(carry(pos, "ab") - carry(carry(pos, "cb"), "ac")) <= err)
-    return tri.select("a", "b", "c", ok.alias("ok"))
+    tri = rows({n: carry(p, "bc", "y", "x") for n, p in ends.items()}, "ab", "ac")
+    tri = rows({f"by_{n}": carry(F.col(n), "ac") for n in ends} | {n: carry(p, "ab") for n, p in ends.items()})
+    return tri.select("a", "b", "c", (F.greatest(*[F.abs(F.col(n) - F.col(f"by_{n}")) for n in ends]) <= err).alias("ok"))
 
 
 def shared_reads(alignments: DataFrame) -> DataFrame:

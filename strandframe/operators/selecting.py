@@ -34,10 +34,10 @@ def sample_to_total(df: DataFrame, key: Column, length: str, total: int, seed: i
 
 
 def serpentine(df: DataFrame, order: Sequence[Column], bins: int) -> DataFrame:
-    """Items in order dealt to ``bins`` bins forth and back. For as many items as there are contigs: ranks are global."""
-    r = F.row_number().over(Window.orderBy(*order)) - 1
+    """Items in order dealt to ``bins`` bins forth and back."""
+    r = F.col("_r")
     turn, k = F.floor(r / bins), r % bins
-    return df.withColumn("bin", F.when(turn % 2 == 0, k).otherwise(bins - 1 - k).cast("int"))
+    return numbered(df, order, "_r").withColumn("bin", F.when(turn % 2 == 0, k).otherwise(bins - 1 - k).cast("int")).drop("_r")
 
 
 def blocks(df: DataFrame, order: str, size: str, block: int, shards: int = 64) -> DataFrame:
@@ -123,7 +123,7 @@ def neighbour_groups(neighbours: dict[object, list[object]], sizes: dict[object,
     return out
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
     """Adds ``name``: the rank of every row from 0 on in the order of ``order``, ties in any order.
 
     Rows are sorted by ranges; ranges are counted and each starts where the ones before it end, so no task sees all rows."""

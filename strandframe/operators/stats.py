@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.prefix import running_sum
@@ -68,9 +68,10 @@ def binned_identity(sides: DataFrame, width: int = 1000) -> DataFrame:
     """(read, bin, n, identity, threshold): per stretch of ``width`` bases the rounded mean identity of the overlaps over
     it, and the mean less six mean deviations by the usual factor."""
     rows = sides.where("identity is not null and r_end > r_start").select("read", "identity", F.explode(F.sequence(F.call_function("div", "r_start", F.lit(width)), F.call_function("div", F.col("r_end") - 1, F.lit(width)))).alias("bin"))
-    stat = mean_deviation(rows, ["read", "bin"], "identity")
-    n = rows.groupBy("read", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(stat, ["read", "bin"]).select("read", "bin", "n", F.round("mean", 6).alias("identity"), F.round(F.col("mean") - F.lit(6 * 1.253) * F.col("mad"), 6).alias("threshold"))
+    # the mean by a window and the deviations by a grouping on the same keys: one shuffle; a place's rows are its coverage
+    rows = rows.withColumn("_m", F.avg("identity").over(Window.partitionBy("read", "bin")))
+    got = rows.groupBy("read", "bin").agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("_m"), F.avg(F.abs(F.col("identity") - F.col("_m"))).alias("_d"))
+    return got.select("read", "bin", "n", F.round("_m", 6).alias("identity"), F.round(F.col("_m") - F.lit(6 * 1.253) * F.col("_d"), 6).alias("threshold"))
 
 
 def mapping_accuracy(best: DataFrame, matches: str, aligned: str, length: str) -> DataFrame:

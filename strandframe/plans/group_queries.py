@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.functions.overlap import aligned_length, sides
 from strandframe.operators import coverage, grouping, intervals, selecting, stats, weighted
 from strandframe.plans.views import AL, LEN, OV, READS, SIDES, alignments, overlaps, reads
-from strandframe.session import table
+from strandframe.session import cut, skew_join, table
 
 
 def grp_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,8 @@ def grp_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grp_best_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and the best alignment of every contig and read (A4)."""
     al = alignments(spark, sf_dir)
-    best = grouping.best_per_group(al.withColumn("aligned", aligned_length()), ["b_id", "a_id"], [F.col("aligned")], "ol_id")
-    n = al.groupBy("b_id", "a_id").agg(F.count(F.lit(1)).alias("n"))
-    return best.select("b_id", "a_id", "ol_id", "aligned").join(n, ["b_id", "a_id"])
+    top = F.max(F.struct(aligned_length().alias("aligned"), (-F.col("ol_id")).alias("id")))
+    return al.groupBy("b_id", "a_id").agg(F.count(F.lit(1)).alias("n"), top.alias("t")).select("b_id", "a_id", (-F.col("t.id")).alias("ol_id"), "t.aligned", "n")
 
 
 def grp_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +71,11 @@ def cov_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cov_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least and most coverage inside the trimmed core, and the means of the thirds."""
-    segs = _read_segments(spark, sf_dir)
-    last = segs.groupBy("read").agg(F.max("end").alias("len"))
-    s = segs.join(last, "read")
+    segs = cut(_read_segments(spark, sf_dir))
+    s = skew_join(segs, segs.groupBy("read").agg(F.max("end").alias("len")), ["read"])
     lo = F.least(F.lit(500), F.expr("(len + 1) div 10"))
-    core = coverage.core(s, ["read"], lo, F.col("len") - lo)
-    return core.join(coverage.thirds(s, ["read"], F.col("len")), "read").where("min_depth >= 0")
+    # reads covered too thinly or too deeply in their core are left out
+    return coverage.core(s, ["read"], lo, F.col("len") - lo, F.col("len")).where("min_depth >= 1 and max_depth <= 12")
 
 
 def cov_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +316,7 @@ SQL = {
     "cov_core": f"""WITH {OV}, {SIDES}, {_READ_SEGS}, n AS (SELECT *, max("end") OVER (PARTITION BY read) AS len FROM segs), c AS (SELECT *, least(500, (len + 1) // 10) AS lo, len // 3 AS t FROM n),
         k AS (SELECT read, min(depth) AS min_depth, max(depth) AS max_depth, CAST(sum(least("end", len - lo) - greatest(start, lo)) AS BIGINT) AS bases, CAST(sum(depth * (least("end", len - lo) - greatest(start, lo))) AS BIGINT) AS sum_depth FROM c WHERE least("end", len - lo) > greatest(start, lo) GROUP BY read),
         h AS (SELECT read, CAST(sum(depth * greatest(0, least("end", t) - start)) // nullif(max(t), 0) AS BIGINT) AS c0, CAST(sum(depth * greatest(0, least("end", 2 * t) - greatest(start, t))) // nullif(max(t), 0) AS BIGINT) AS c1, CAST(sum(depth * greatest(0, "end" - greatest(start, 2 * t))) // nullif(max(t), 0) AS BIGINT) AS c2 FROM c GROUP BY read)
-        SELECT * FROM k JOIN h USING (read) WHERE min_depth >= 0""",
+        SELECT * FROM k JOIN h USING (read) WHERE min_depth >= 1 AND max_depth <= 12""",
     "cov_percentile": f"WITH {AL}, {_CTG_SEGS}, h AS (SELECT depth, count(*) AS k FROM segs GROUP BY depth), c AS (SELECT depth, sum(k) OVER (ORDER BY depth) AS cum, sum(k) OVER () AS n FROM h) SELECT min(depth) AS value FROM c WHERE cum >= n * 99.99::DOUBLE / 100",
     "cov_longest": f"""WITH {AL}, {_CTG_SEGS}, ok AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY b_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM segs WHERE depth >= 2), g AS (SELECT *, sum(f) OVER (PARTITION BY b_id ORDER BY start) AS r FROM ok),
         m AS (SELECT b_id, min(start) AS start, max("end") AS "end" FROM g GROUP BY b_id, r) SELECT b_id, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY "end" - start DESC, start) AS rn FROM m) WHERE rn = 1""",
