@@ -264,23 +264,83 @@ def grouped_contigs(members: DataFrame, inconsistent: DataFrame, share: float) -
     return hit.join(size.withColumnRenamed("ctg", "a"), "a").withColumn("rate", F.col("n") / F.col("size")).where((F.col("rate") >= share) & (F.col("n") >= 3) | (F.col("rate") >= 1)).select("a", "b", "n", "rate")
 
 
-def simplify(edges: DataFrame, strategy: str, registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
+#: Reductions of the string graph when none are asked for.
+STRATEGY = "transitive:fuzz=500|quality|spur|best|spur|extend|phase|unreliable|spur|bridge|"
+
+
+def data_threshold(edges: DataFrame, quality: str) -> float | None:
+    """``quality_threshold`` from the edges' own mean and median and the deviations from them; None without a value.
+
+    Qualities are rounded to four places, so their histogram is what the median is found in."""
+    from strandframe.operators import stats, weighted
+
+    rows = edges.where(F.col(quality).isNotNull()).select(F.lit(1).alias("one"), F.col(quality).alias("q"))
+    mean = stats.mean_deviation(rows, ["one"], "q").first()
+    if mean is None:
+        return None
+    mid = weighted.median_deviation(weighted.compress(rows, ["one"], F.round(F.col("q") * 10_000).cast("long")), ["one"]).first()
+    return quality_threshold(mean["mean"], mean["mad"], mid["median"] / 10_000, mid["mad"] / 10_000)
+
+
+def extended(edges: DataFrame, spare: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges with the best ``spare`` edge (same columns) out of every dead end and its mirror, up to ``rounds`` times."""
+    edges = cut(edges)
+    for _ in range(rounds):
+        ends = degrees(edges).where("n_out = 0 and n_in > 0").select(F.col("node").alias("in_node"))
+        rest = [c for c in edges.columns if c not in EDGE]
+        on = spare.join(ends, "in_node").join(edges.select(*EDGE), EDGE, "left_anti")
+        top = on.groupBy("in_node").agg(F.max_by(F.struct("out_node", *rest), F.struct("score", "out_node")).alias("_e")).select("in_node", "_e.*")
+        new = cut(mirrored(top.select(*EDGE, *rest)).join(edges.select(*EDGE), EDGE, "left_anti").select(*edges.columns))
+        if is_empty(new):
+            break
+        edges = cut(edges.unionByName(new))
+    return edges
+
+
+def phased(edges: DataFrame, links: DataFrame, least: int = 2) -> DataFrame:
+    """Ways out of a node with ``least`` more different than same alleles where another way agrees more than it differs.
+    ``links`` has (in_node, out_node, same, diff)."""
+    rows = edges.select(*EDGE).join(links, EDGE)
+    good = F.max((F.col("same") > F.col("diff")).cast("int")).over(Window.partitionBy("in_node"))
+    return _with_mirrors(rows.withColumn("_g", good).where((F.col("_g") == 1) & (F.col("diff") - F.col("same") >= least)), "phase")
+
+
+def simplify(edges: DataFrame, strategy: str, registry: dict | None = None, spare: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges left, reduced with reasons) after the steps of ``name:key=value:...|name|...``, in order.
 
-    Known names: transitive (fuzz), spur (n, l), best, repeat, unreliable (r)."""
+    Known names: transitive (fuzz), quality (th; else from the data, where there is a column ``quality``), spur (n, l), best,
+    extend (adds ``spare`` edges), phase (by ``links`` of alleles), unreliable (r), bridge (f), repeat. A step whose table is
+    not given reduces nothing."""
+    from strandframe.operators.condensed import bridges
+
+    def quality(e: DataFrame, p: dict[str, str]) -> DataFrame | None:
+        if "quality" not in e.columns:
+            return None
+        th = float(p["th"]) if "th" in p else data_threshold(e, "quality")
+        return None if th is None else low_quality(e, "quality", th)
+
     known = {
         "transitive": lambda e, p: transitive(e, int(p.get("fuzz", 500))),
+        "quality": quality,
         "spur": lambda e, p: spurs(e, int(p.get("n", 3)), int(p.get("l", 10_000))),
         "best": lambda e, p: best(e, [F.col("score")]),
+        "phase": lambda e, p: None if links is None else phased(e, links, int(p.get("sc", 2))),
         "repeat": lambda e, p: repeats(e),
         "unreliable": lambda e, p: unreliable(e, "score", float(p.get("r", 0.5))),
+        "bridge": lambda e, p: bridges(e, float(p.get("f", 2))),
     } | (registry or {})
     gone = None
     for part in filter(None, strategy.split("|")):
         name, *params = part.split(":")
+        if name == "extend" and "extend" not in known:
+            edges = edges if spare is None else extended(edges, spare)
+            continue
         if name not in known:
             raise ValueError(f"unknown step: {name}")
-        off = cut(known[name](edges, dict(p.split("=", 1) for p in params)).join(edges.select(*EDGE), EDGE, "left_semi"))
+        off = known[name](edges, dict(p.split("=", 1) for p in params))
+        if off is None:
+            continue
+        off = cut(off.join(edges.select(*EDGE), EDGE, "left_semi"))
         edges = cut(remaining(edges, off))
         gone = off if gone is None else gone.unionByName(off)
     return edges, gone if gone is not None else edges.select(*EDGE, F.lit("").alias("reason")).where("false")

@@ -193,12 +193,13 @@ class PathGraph:
                 out.append((n, *b))
         return out
 
-    def pop_bubbles(self) -> int:
-        """Of every bubble only the path with the best score, then the longest, stays."""
+    def pop_bubbles(self, clear: bool = False) -> int:
+        """Of every bubble only the path with the best score, then the longest, stays. ``clear`` leaves bubbles alone whose ways
+        through share an edge."""
         gone: list[Edge] = []
         for s, t, inner in self.bubbles():
             paths = self.all_paths(s, t, inner)
-            if len(paths) < 2:
+            if len(paths) < 2 or clear and any(len(self.ins[n]) > 1 or len(self.outs[n]) > 1 for n in inner):
                 continue
             keep = max(paths, key=lambda p: (sum(self.score[e] for e in zip(p, p[1:], strict=False)), sum(self.length[e] for e in zip(p, p[1:], strict=False)), p))
             kept = set(zip(keep, keep[1:], strict=False))
@@ -356,12 +357,30 @@ class PathGraph:
                 out.append(p)
         yield from sorted(out, key=lambda p: (-sum(self.length[e] for e in zip(p, p[1:], strict=False)), p))
 
+    def duplicates(self) -> int:
+        """Of paths of one or two edges between the same nodes, with inner nodes on no other path, the best one stays."""
+        gone: list[Edge] = []
+        for n in self.nodes:
+            ways: dict[str, list[tuple[float, int, str, list[Edge]]]] = defaultdict(list)
+            for w in self.outs[n]:
+                ways[w].append((self.score[n, w], self.length[n, w], "", [(n, w)]))
+                if len(self.ins[w]) == 1 and len(self.outs[w]) == 1 and (x := self.outs[w][0]) != n:
+                    ways[x].append((min(self.score[n, w], self.score[w, x]), self.length[n, w] + self.length[w, x], w, [(n, w), (w, x)]))
+            for paths in ways.values():
+                for *_, edges in sorted(paths, key=lambda p: (-p[0], -p[1], p[2]))[1:]:
+                    gone += edges
+        return self.reduce(gone, "duplicate")
+
     def simplify(self, strategy: str) -> dict[str, int]:
-        """Steps of ``bubble|semi|spur|loop|transitive|cross|bridge`` in order, with the edges each reduced."""
-        known = {"bubble": self.pop_bubbles, "semi": self.semi_bubbles, "spur": self.tips, "loop": self.small_loops, "transitive": self.covered_branches, "cross": self.resolve_crosses, "bridge": self.bridges}
+        """Steps of ``bubble:s=1|semi|spur|loop|transitive|cross|bridge|duplicate`` in order, with the edges each reduced."""
+        known = {
+            "bubble": lambda p: self.pop_bubbles(p.get("s", "0") == "1"), "semi": lambda p: self.semi_bubbles(float(p.get("r", 2))), "spur": lambda p: self.tips(float(p.get("r", 2))), "loop": lambda p: self.small_loops(),
+            "transitive": lambda p: self.covered_branches(), "cross": lambda p: self.resolve_crosses(float(p.get("f", 2))), "bridge": lambda p: self.bridges(float(p.get("f", 2))), "duplicate": lambda p: self.duplicates(),
+        }
         done: dict[str, int] = {}
-        for i, name in enumerate(filter(None, strategy.split("|"))):
-            done[f"{name}-{i}"] = known[name]()
+        for i, part in enumerate(filter(None, strategy.split("|"))):
+            name, *params = part.split(":")
+            done[f"{name}-{i}"] = known[name](dict(x.split("=", 1) for x in params))
         return done
 
 

@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.overlap import Filter, extended
-from strandframe.operators import graph, grouping
+from strandframe.operators import condensed, graph, grouping
 from strandframe.session import cut
 
 
 @dataclass(frozen=True)
 class Options:
     """Rules of the stages. ``overlap`` is in the filter language, ``max_overhang`` the bases by which ends are snapped,
-    ``strategy`` the reductions of the string graph."""
+    ``strategy`` the reductions of the string graph and ``paths`` those of the condensed graph."""
 
     overlap: str = ""
     max_overhang: int = 100
-    strategy: str = "transitive:fuzz=500|spur:n=2:l=2000|best"
+    strategy: str = graph.STRATEGY
+    paths: str = condensed.STRATEGY
 
     @classmethod
     def parse(cls, text: str) -> Options:
@@ -41,9 +42,10 @@ class Options:
         return cls(**got)
 
 
-def assemble(overlaps: DataFrame, reads: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
+def assemble(overlaps: DataFrame, reads: DataFrame, options: Options | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables by stage: kept (overlaps), contained (read, container), edges, reduced (edges and reasons), paths, tiles and
-    contigs (ctg, seq). ``overlaps`` has the columns of the filter, ``reads`` (read_id, seq)."""
+    contigs (ctg, seq). ``overlaps`` has the columns of the filter, ``reads`` (read_id, seq); ``links`` (in_node, out_node, same,
+    diff) are alleles for the phase step."""
     o = options or Options()
     good = overlaps.where(Filter.parse(o.overlap).valid())
     one = grouping.duplicates(good).where("rank = 1").drop("rank", "n")
@@ -54,11 +56,20 @@ def assemble(overlaps: DataFrame, reads: DataFrame, options: Options | None = No
     gone = contained.select(F.col("read").alias("a_id")).distinct()
     alive = kept.join(gone, "a_id", "left_anti").join(gone.withColumnRenamed("a_id", "b_id"), "b_id", "left_anti")
     edges = cut(graph.string_edges(alive))
-    left, reduced = graph.simplify(edges, o.strategy)
+    # contained reads may lead on from dead ends
+    spare = cut(graph.string_edges(kept))
+    left, reduced = graph.simplify(edges, o.strategy, spare=spare, links=links)
+    first = cut(graph.unitigs(left))
+    whole = cut(graph.condensed(left, first))
+    _, off = condensed.simplify(whole.select("in_node", "out_node", "len", "score"), o.paths)
+    # an edge of the condensed graph stands for all edges of its unitig
+    fallen = whole.join(off, ["in_node", "out_node"]).select("unitig", "reason")
+    by_path = cut(first.join(fallen, "unitig").select("in_node", "out_node", "reason"))
+    left = cut(graph.remaining(left, by_path))
     paths = cut(graph.unitigs(left))
     tiles = cut(path_tiles(left, paths, reads))
     seqs = reads.select(F.col("read_id").cast("string").alias("read"), "seq")
-    return {"kept": kept, "contained": contained, "edges": edges, "reduced": reduced, "paths": paths, "tiles": tiles, "contigs": graph.contig_sequences(tiles, seqs)}
+    return {"kept": kept, "contained": contained, "edges": edges, "reduced": reduced.unionByName(by_path), "paths": paths, "tiles": tiles, "contigs": graph.contig_sequences(tiles, seqs)}
 
 
 def path_tiles(edges: DataFrame, paths: DataFrame, reads: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandframe.operators import graph
+from strandframe.operators import condensed, graph
 from strandframe.plans.column_queries import _loc
 from strandframe.plans.views import EDGES, LEN, OV, edges, overlaps
 from strandframe.session import table
@@ -60,7 +60,7 @@ def graph_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of low identity, with a way out left to every node."""
     df = table(spark, sf_dir, "graph_edges").where("in_node is not null and out_node is not null and in_node != out_node and identity_pct is not null")
     q = graph.mirrored(df.groupBy("in_node", "out_node").agg(F.max("identity_pct").alias("quality")))
-    return graph.low_quality(q, "quality", graph.quality_threshold(99.5, 0.1, 99.6, 0.02))
+    return graph.low_quality(q, "quality", graph.data_threshold(q, "quality"))
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,68 @@ def graph_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.simplify(e, "transitive:fuzz=500|unreliable:r=0.5|best")[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (graph_string_edges, graph_degrees, graph_mirrored, graph_transitive, graph_repeats, graph_best, graph_loops, graph_duplicates, graph_unreliable, graph_quality, graph_spurs, graph_unitigs, graph_condensed, graph_near, graph_simplified)}
+def _mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mirrored(edges(spark, sf_dir))
+
+
+def path_spurs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tips shorter by half than another way into their node."""
+    return condensed.tips(_mirrored(spark, sf_dir))
+
+
+def path_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead ends at forks with a branch twice as long."""
+    return condensed.semi(_mirrored(spark, sf_dir))
+
+
+def path_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between a fork and a join that are both better served."""
+    return condensed.bridges(_mirrored(spark, sf_dir), 1.5)
+
+
+def path_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings of two ways with the scores of both pairings."""
+    return condensed.crossings(_thin(spark, sf_dir))
+
+
+def path_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel paths of one or two edges, but for the best."""
+    return condensed.duplicates(_thin(spark, sf_dir))
+
+
+def path_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weaker of two edges that lead to each other."""
+    return condensed.back_edges(_mirrored(spark, sf_dir))
+
+
+def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best edges out of every node, and their mirrors."""
+    m = _mirrored(spark, sf_dir)
+    w = Window.partitionBy("in_node").orderBy(F.col("score").desc_nulls_last(), F.col("out_node"))
+    return graph.mirrored(m.withColumn("_r", F.row_number().over(w)).where("_r <= 2").drop("_r"))
+
+
+def path_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected clusters of reads of the cleaned graph."""
+    return condensed.clusters(_clean(spark, sf_dir))
+
+
+def path_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superbubbles of the thinned graph."""
+    return condensed.bubbles(_thin(spark, sf_dir))
+
+
+def path_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge-disjoint and shortest paths through the superbubbles."""
+    return condensed.flows(_thin(spark, sf_dir))
+
+
+def path_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contig paths by best edges over the simplified condensed graph."""
+    return condensed.contig_paths(condensed.simplify(_clean(spark, sf_dir))[0])
+
+
+QUERIES = {f.__name__: f for f in (path_spurs, path_semi, path_bridges, path_crossings, path_duplicates, path_loops, path_clusters, path_bubbles, path_flows, path_contigs, graph_string_edges, graph_degrees, graph_mirrored, graph_transitive, graph_repeats, graph_best, graph_loops, graph_duplicates, graph_unreliable, graph_quality, graph_spurs, graph_unitigs, graph_condensed, graph_near, graph_simplified)}
 
 
 def _rev(x: str) -> str:
@@ -128,7 +189,23 @@ _LINE = """dg AS (SELECT node, sum(o) AS n_out, sum(i) AS n_in FROM (SELECT in_n
     low AS (SELECT e, min(x) AS unitig FROM reach GROUP BY e), rw AS (SELECT in_node, out_node, unitig, 0 AS place, len, score FROM ring JOIN low ON e = in_node || '>' || out_node WHERE e = unitig UNION ALL SELECT g.in_node, g.out_node, r.unitig, r.place + 1, g.len, g.score FROM rw r JOIN ring g ON g.in_node = r.out_node WHERE g.in_node || '>' || g.out_node <> r.unitig),
     u AS (SELECT * FROM w UNION ALL SELECT * FROM rw)"""
 
+_THIN = f"th AS (SELECT in_node, out_node, len, score FROM (SELECT *, row_number() OVER (PARTITION BY in_node ORDER BY score DESC NULLS LAST, out_node) AS rn FROM m) WHERE rn <= 2), k AS (SELECT in_node, out_node, max(len) AS len, max(score) AS score FROM (SELECT * FROM th UNION ALL SELECT {_rev('out_node')}, {_rev('in_node')}, len, score FROM th) GROUP BY in_node, out_node)"
+_DEGK = _DEG.replace("FROM m", "FROM k")
+
 SQL = {
+    "path_spurs": f"WITH {_M}, {_DEG}, t AS (SELECT m.*, max(len) OVER (PARTITION BY out_node) AS top FROM m) {_both('SELECT in_node, out_node FROM t JOIN d ON node = in_node WHERE n_in = 0 AND n_out = 1 AND len * 2 <= top', 'spur')}",
+    "path_semi": f"""WITH {_M}, {_DEG}, o AS (SELECT in_node AS w, max(len) AS n FROM m GROUP BY in_node), t AS (SELECT m.*, max(len + coalesce(n, 0)) OVER (PARTITION BY in_node) AS top, count(*) OVER (PARTITION BY in_node) AS ways FROM m LEFT JOIN o ON w = out_node)
+        {_both('SELECT in_node, out_node FROM t JOIN d ON node = out_node WHERE ways > 1 AND n_out = 0 AND n_in = 1 AND len * 2 <= top', 'semi')}""",
+    "path_bridges": f"""WITH {_M}, x AS (SELECT * FROM m WHERE score IS NOT NULL), y AS (SELECT x.in_node, x.out_node, x.score, (SELECT max(o.score) FROM x o WHERE o.in_node = x.in_node AND o.out_node <> x.out_node) AS o, (SELECT max(i.score) FROM x i WHERE i.out_node = x.out_node AND i.in_node <> x.in_node) AS i FROM x)
+        {_both('SELECT in_node, out_node FROM y WHERE o >= score * 1.5::DOUBLE AND i >= score * 1.5::DOUBLE', 'bridge')}""",
+    "path_crossings": f"""WITH {_M}, {_THIN}, o AS (SELECT in_node, min(out_node) AS x, max(out_node) AS y FROM k GROUP BY in_node HAVING count(*) = 2), i AS (SELECT out_node, min(in_node) AS a, max(in_node) AS b FROM k GROUP BY out_node HAVING count(*) = 2)
+        SELECT a, b, x, y, CAST(sum(CASE WHEN (in_node = a) = (out_node = x) THEN coalesce(score, 0) ELSE 0 END) AS BIGINT) AS straight, CAST(sum(CASE WHEN (in_node = a) = (out_node = x) THEN 0 ELSE coalesce(score, 0) END) AS BIGINT) AS crossed
+        FROM k JOIN o USING (in_node) JOIN i USING (out_node) GROUP BY a, b, x, y HAVING count(*) = 4""",
+    "path_duplicates": f"""WITH {_M}, {_THIN}, {_DEGK}, p AS (SELECT in_node, out_node, NULL AS node, len, score FROM k UNION ALL SELECT f.in_node, s.out_node, f.out_node, f.len + s.len, least(f.score, s.score) FROM k f JOIN d ON d.node = f.out_node AND n_in = 1 AND n_out = 1 JOIN k s ON s.in_node = f.out_node WHERE f.in_node <> s.out_node),
+        gd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY in_node, out_node ORDER BY score DESC NULLS LAST, len DESC, node NULLS FIRST) AS rn FROM p) WHERE rn > 1), ge AS (SELECT in_node, coalesce(node, out_node) AS out_node FROM gd UNION SELECT node, out_node FROM gd WHERE node IS NOT NULL) {_both("SELECT * FROM ge", "duplicate")}""",
+    "path_loops": f"WITH {_M}, l AS (SELECT x.in_node AS u, x.out_node AS v, coalesce(x.score, 0) AS s, coalesce(y.score, 0) AS t FROM m x JOIN m y ON x.in_node = y.out_node AND x.out_node = y.in_node WHERE x.in_node < x.out_node) {_both('SELECT CASE WHEN s >= t THEN v ELSE u END AS in_node, CASE WHEN s >= t THEN u ELSE v END AS out_node FROM l', 'loop')}",
+    "path_clusters": f"""WITH RECURSIVE {_M}, {_CLEAN}, n AS (SELECT DISTINCT left(in_node, length(in_node) - 2) AS u, left(out_node, length(out_node) - 2) AS v FROM g), bb AS (SELECT u, v FROM n UNION SELECT v, u FROM n), c AS (SELECT u AS read, u AS l FROM bb UNION SELECT bb.u, c.l FROM c JOIN bb ON bb.v = c.read)
+        SELECT read, min(l) AS cluster FROM c GROUP BY read""",
     "graph_string_edges": f"""WITH {OV}, l AS (SELECT *, {_loc(100)} AS loc, {LEN} AS n FROM ov), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY n DESC, ol_id) AS rn FROM l WHERE loc IN ('left', 'right') AND a_id <> b_id) WHERE rn = 1),
         x AS (SELECT *, a_strand = b_strand AS same, (loc = 'left') = (a_strand = b_strand) AS r FROM o), y AS (SELECT *, CASE WHEN r = same THEN 'E' ELSE 'B' END AS bf FROM x)
         SELECT a_id || ':' || CASE WHEN r THEN 'E' ELSE 'B' END AS in_node, b_id || ':' || bf AS out_node, CASE bf WHEN 'E' THEN b_len - b_end ELSE b_start END AS len, n AS score FROM y
@@ -143,7 +220,9 @@ SQL = {
     "graph_duplicates": "WITH d AS (SELECT DISTINCT edge_id, in_node, out_node, score FROM graph_edges WHERE in_node IS NOT NULL AND out_node IS NOT NULL) SELECT edge_id, score, CAST(row_number() OVER (PARTITION BY in_node, out_node ORDER BY score DESC NULLS LAST, edge_id) AS INTEGER) AS rank FROM d",
     "graph_unreliable": f"WITH {_M} {_both(_UNREL.format('m', 0.6), 'unreliable')}",
     "graph_quality": f"""WITH q0 AS (SELECT in_node, out_node, max(identity_pct) AS q FROM graph_edges WHERE in_node IS NOT NULL AND out_node IS NOT NULL AND in_node <> out_node AND identity_pct IS NOT NULL GROUP BY in_node, out_node),
-        m AS (SELECT in_node, out_node, max(q) AS q FROM (SELECT * FROM q0 UNION ALL SELECT {_rev('out_node')}, {_rev('in_node')}, q FROM q0) GROUP BY in_node, out_node), t AS (SELECT (99.5::DOUBLE - 6 * 1.253::DOUBLE * 0.1::DOUBLE + 2 * (99.6::DOUBLE - 6 * 1.4826::DOUBLE * 0.02::DOUBLE)) / 3 AS th),
+        m AS (SELECT in_node, out_node, max(q) AS q FROM (SELECT * FROM q0 UNION ALL SELECT {_rev('out_node')}, {_rev('in_node')}, q FROM q0) GROUP BY in_node, out_node), mn AS (SELECT avg(q) AS mean FROM m), md AS (SELECT mean, avg(abs(q - mean)) AS dev FROM m, mn GROUP BY mean), v AS (SELECT CAST(round(q * 10000) AS BIGINT) AS z FROM m), c AS (SELECT count(*) AS n FROM v),
+        me AS (SELECT z AS med, n FROM (SELECT z, row_number() OVER (ORDER BY z) AS rn FROM v), c WHERE rn = n // 2 + 1), ad AS (SELECT y FROM (SELECT abs(z - med) AS y, row_number() OVER (ORDER BY abs(z - med)) AS rn, n FROM v, me) WHERE rn = n // 2 + 1),
+        t AS (SELECT (mean - 6 * 1.253::DOUBLE * dev + 2 * (med / 10000 - 6 * 1.4826::DOUBLE * (y / 10000))) / 3 AS th FROM md, me, ad),
         x AS (SELECT *, max(q) OVER (PARTITION BY in_node) AS top FROM m, t) {_both('SELECT in_node, out_node FROM x WHERE q < th AND (top >= th OR q < top)', 'quality')}""",
     "graph_unitigs": f"WITH RECURSIVE {_M}, {_CLEAN}, {_LINE} SELECT in_node, out_node, unitig, place FROM u",
     "graph_condensed": f"WITH RECURSIVE {_M}, {_CLEAN}, {_LINE} SELECT unitig, arg_min(in_node, place) AS in_node, arg_max(out_node, place) AS out_node, count(*) AS n, CAST(sum(len) AS BIGINT) AS len, min(score) AS score FROM u GROUP BY unitig",
