@@ -29,6 +29,34 @@ def with_named_read(df: DataFrame, named: DataFrame) -> DataFrame:
     return df.join(a, "a_id", "left").join(b, "b_id", "left").where("_a or _b").drop("_a", "_b")
 
 
+def opposite_counts(members: DataFrame, listed: DataFrame) -> DataFrame:
+    """(ctg, read, n): reads of each contig, ``members`` (ctg, read), that are listed with ``read`` as inconsistent, in either
+    order of ``listed`` (t, q)."""
+    both = listed.select("t", "q").union(listed.select("q", "t")).distinct()
+    return members.select("ctg", F.col("read").alias("t")).distinct().join(both, "t").groupBy("ctg", F.col("q").alias("read")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_opposite(df: DataFrame, members: DataFrame, listed: DataFrame, count: int) -> DataFrame:
+    """Reads on contigs (a_id on b_id) less those that at least ``count`` of the contig's reads are inconsistent with."""
+    bad = opposite_counts(members, listed).where(F.col("n") >= count).select(F.col("ctg").alias("b_id"), F.col("read").alias("a_id"))
+    return df.join(bad, ["a_id", "b_id"], "left_anti")
+
+
+def without_outvoted(df: DataFrame, votes: DataFrame) -> DataFrame:
+    """Reads on contigs (a_id on b_id) less those whose calls disagree with the contig's majority more often than they agree;
+    ``votes`` has (read, ctg, agree, disagree)."""
+    bad = votes.where("disagree > agree").select(F.col("read").alias("a_id"), F.col("ctg").alias("b_id"))
+    return df.join(bad, ["a_id", "b_id"], "left_anti")
+
+
+def supported_ways(links: DataFrame) -> DataFrame:
+    """(node, before, after, reads): reads that a contig's way in and way out share, over links (a, b, read) from a to b. A read
+    is on few contigs, so the join runs on (contig, read)."""
+    one = links.select("a", "b", "read").distinct()
+    x, y = one.select(F.col("a").alias("before"), F.col("b").alias("node"), "read"), one.select(F.col("a").alias("node"), F.col("b").alias("after"), "read")
+    return x.join(y, ["node", "read"]).where("before != after").groupBy("node", "before", "after").agg(F.count_distinct("read").alias("reads"))
+
+
 def split_by_sets(df: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """Every row once for each of the ``sets`` (part, name) that hold its ``key``."""
     return df.join(sets.select("part", F.col("name").alias(key)).distinct(), key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
@@ -192,9 +192,61 @@ def set_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y.select("ctg", "pos", F.lit(True).alias("in_second")), ["ctg", "pos"], "left").join(h, ["ctg", "pos"]).select("ctg", "pos", F.coalesce("in_second", F.lit(False)).alias("in_second"), F.round(second / F.col("cov"), 9).alias("share"))
 
 
+def join_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments split by kind of contig."""
+    sets = table(spark, sf_dir, "contigs").select(F.col("ctg_kind").alias("part"), F.col("ctg_name").alias("name")).where("part is not null")
+    al = table(spark, sf_dir, "alignments").select("aln_id", "tname").distinct()
+    return pairs.split_by_sets(al, sets, "tname").select("part", "aln_id")
+
+
+def join_outvoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps less those of reads that a target's majority speaks against."""
+    al = cut(_alleles(spark, sf_dir))
+    return pairs.without_outvoted(overlaps(spark, sf_dir), snps.read_votes(al, snps.majority_vote(al))).select("ol_id")
+
+
+def join_opposite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments less those of reads that two reads of the contig or more are listed against."""
+    al = alignments(spark, sf_dir)
+    listed = _listed(spark, sf_dir)
+    return pairs.without_opposite(al, al.select(F.col("b_id").alias("ctg"), F.col("a_id").alias("read")), listed, 2).select("ol_id")
+
+
+def join_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that are one of the two alleles of a confirmed position, with the depth there."""
+    made = cut(_calls(spark, sf_dir))
+    hist = cut(snps.base_histogram(made))
+    sites = snps.confirmed(hist, *CONFIRMED)
+    return made.join(sites, ["ctg", "pos"]).where("base in (var0, var1)").join(hist.select("ctg", "pos", "cov"), ["ctg", "pos"]).select("ctg", "pos", "read", "base", "cov")
+
+
+def join_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads shared by the ways in and out of a contig, where contigs follow each other along a read."""
+    al = alignments(spark, sf_dir).groupBy(F.col("a_id").alias("read"), F.col("b_id").alias("ctg")).agg(F.min("a_start").alias("at"))
+    after = Window.partitionBy("read").orderBy("at", "ctg")
+    links = al.withColumn("b", F.lead("ctg").over(after)).where("b is not null").select(F.col("ctg").alias("a"), "b", "read")
+    return pairs.supported_ways(links)
+
+
+def snp_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean offset of every read on every contig over its alignments."""
+    al = alignments(spark, sf_dir)
+    same = F.col("a_strand") == F.col("b_strand")
+    return al.groupBy("a_id", "b_id").agg(dna.mean_offset(F.col("b_start"), F.col("a_start"), same).alias("offset"))
+
+
+def vec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order and equality of the contig lists of the reads of an overlap, and whether their hashes agree."""
+    on = alignments(spark, sf_dir).groupBy("a_id").agg(F.sort_array(F.collect_set("b_id")).alias("s"))  # a read is on few contigs
+    p = overlaps(spark, sf_dir).where("a_id != b_id").select("ol_id", "a_id", "b_id")
+    both = p.join(on.withColumnRenamed("s", "x"), "a_id").join(on.select(F.col("a_id").alias("b_id"), F.col("s").alias("y")), "b_id")
+    return both.select("ol_id", (F.col("x") == F.col("y")).alias("equal"), (F.col("x") < F.col("y")).alias("less"), (F.xxhash64("x") == F.xxhash64("y")).alias("same_hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        join_split, join_outvoted, join_opposite, join_variants, join_ways, snp_offsets, vec_compare,
         join_inconsistent, join_inconsistent_strict, join_distance, join_known, join_blocks, join_rescued, join_triangles, join_shared, join_hanging, join_sequences, join_names, join_classes,
         snp_histogram, snp_confirmed, snp_alleles, snp_agreement, snp_vote, snp_linkage, snp_nearest, snp_kmer_classes, set_names, set_contigs, set_variants,
     )
@@ -248,7 +300,18 @@ _ALL = """under AS (SELECT DISTINCT conf.ctg, conf.pos, pl.read, var0, var1 FROM
     alleles AS (SELECT u.ctg, u.pos, u.read, coalesce(base, -1) AS base, CASE base WHEN var0 THEN 0 WHEN var1 THEN 1 ELSE -1 END AS choice FROM under u LEFT JOIN calls c ON c.ctg = u.ctg AND c.pos = u.pos AND c.read = u.read)"""
 _SNP = f"WITH {OV}, {READS}, {_CALLS}, {_HIST}, {_conf('conf', 1)}, {_ALL}"
 
+_VOTES = "mj AS (SELECT ctg, pos, CASE WHEN sum(choice) * 2 > count(*) THEN 1 ELSE 0 END AS t FROM alleles WHERE choice <> -1 GROUP BY ctg, pos HAVING sum(choice) * 2 <> count(*)), vt AS (SELECT read, ctg, count(*) FILTER (choice = t) AS agree, count(*) FILTER (choice <> t) AS disagree FROM alleles JOIN mj USING (ctg, pos) WHERE choice <> -1 GROUP BY read, ctg)"
+
 SQL = {
+    "join_split": "SELECT ctg_kind AS part, aln_id FROM (SELECT DISTINCT aln_id, tname FROM alignments) JOIN (SELECT DISTINCT ctg_kind, ctg_name FROM contigs WHERE ctg_kind IS NOT NULL) ON ctg_name = tname",
+    "join_outvoted": f"{_SNP}, {_VOTES} SELECT ol_id FROM ov WHERE NOT EXISTS (SELECT 1 FROM vt WHERE read = a_id AND ctg = b_id AND disagree > agree)",
+    "join_opposite": f"""WITH {OV}, {_OFF}, {_LIST}, {AL}, bo AS (SELECT t, q FROM listed UNION SELECT q, t FROM listed), mb AS (SELECT DISTINCT b_id AS ctg, a_id AS t FROM al), n AS (SELECT ctg, q FROM mb JOIN bo USING (t) GROUP BY ctg, q HAVING count(*) >= 2)
+        SELECT ol_id FROM al WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.ctg = b_id AND n.q = a_id)""",
+    "join_variants": f"{_SNP} SELECT c.ctg, c.pos, c.read, c.base, h.cov FROM calls c JOIN conf f ON f.ctg = c.ctg AND f.pos = c.pos JOIN hist h ON h.ctg = c.ctg AND h.pos = c.pos WHERE c.base IN (var0, var1)",
+    "join_ways": f"""WITH {AL}, s AS (SELECT a_id AS read, b_id AS ctg, min(a_start) AS pos0 FROM al GROUP BY a_id, b_id), l AS (SELECT * FROM (SELECT read, ctg AS a, lead(ctg) OVER (PARTITION BY read ORDER BY pos0, ctg) AS b FROM s) WHERE b IS NOT NULL)
+        SELECT x.b AS node, x.a AS "before", y.b AS "after", count(DISTINCT x.read) AS reads FROM l x JOIN l y ON y.a = x.b AND y.read = x.read WHERE x.a <> y.b GROUP BY x.b, x.a, y.b""",
+    "snp_offsets": f'WITH {AL} SELECT a_id, b_id, CAST(trunc((CASE WHEN max(CASE WHEN a_strand = b_strand THEN 1 ELSE 0 END) = 1 THEN sum(b_start - a_start) ELSE sum(b_start + a_start) END)::DOUBLE / count(*)) AS BIGINT) AS "offset" FROM al GROUP BY a_id, b_id',
+    "vec_compare": f"""WITH {AL}, {OV}, s AS (SELECT a_id, list_sort(list(DISTINCT b_id)) AS s FROM al GROUP BY a_id) SELECT ol_id, x.s = y.s AS equal, x.s < y.s AS "less", x.s = y.s AS same_hash FROM ov JOIN s x ON x.a_id = ov.a_id JOIN s y ON y.a_id = ov.b_id WHERE ov.a_id <> ov.b_id""",
     "join_inconsistent": _without(150, 0.1, 1),
     "join_inconsistent_strict": _without(200, 0.05, 2),
     "join_distance": f"WITH {OV}, {_OFF}, {_LIST}, {_WAYS} SELECT ol_id, min(d) AS distance FROM near GROUP BY ol_id",
