@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.prefix import haloed, next_position, running_count, running_max_before, running_sum
+from strandframe.session import cut
 
 
 def segments(intervals: DataFrame, keys: Sequence[str], start: Column, end: Column, length: Column | None = None) -> DataFrame:
@@ -119,37 +120,42 @@ def hist_percentile(hist: DataFrame, percent: float) -> DataFrame:
     return run.where(F.col("_c") >= total * F.lit(percent) / 100).agg(F.min("value").alias("value"))
 
 
-def first_trough(counts: Sequence[int], last: int, k: int) -> int:
-    """The first trough of a histogram smoothed over ``k`` entries, looked for before entry ``last``.
-
-    From the first descent the smoothed value is followed down; the lowest entry under the smoothing window is then moved
-    back while its neighbours stay within 15 % of each other and 50 % of the lowest. At least 1."""
-    if k % 2 == 0 or len(counts) < k:
-        raise ValueError("k must be odd and at most the length of the histogram")
-    c = [*counts, *[0] * (2 * k)]
-    n = len(counts)
-    start = next((i - 1 for i in range(1, min(last // 10, n)) if c[i - 1] > c[i]), 0)
-    low, at, value = sum(c[start : start + k]), start, sum(c[start : start + k])
-    for i in range(start + 1, min(n, last)):
-        value += c[i + k - 1] - c[i - 1]
-        if value >= low:
-            break
-        low, at = value, i
-    bottom = min(range(at, at + k), key=lambda i: (c[i], i))
-    pick = bottom
-    while pick >= 1 and 0.85 * c[pick] <= c[pick - 1] <= 1.15 * c[pick] and 0.5 * c[bottom] <= c[pick - 1] <= 1.5 * c[bottom]:
-        pick -= 1
-    return max(pick, 1)
-
-
-def trough_of(df: DataFrame, value: str, last: int, k: int) -> int:
-    """``first_trough`` of a column; at most last + 2 k histogram rows reach the driver. Counts start at the least value."""
-    hist = histogram(df, value)
-    low = hist.agg(F.min("value")).first()[0]
-    if low is None:
-        return 1
-    got = dict(hist.where(F.col("value") < low + last + 2 * k).collect())
-    return first_trough([got.get(low + i, 0) for i in range(max(k, max(got) - low + 1))], last, k)
+def first_trough(hist: DataFrame, last: int, k: int) -> DataFrame:
+    """One row (trough): the first trough of a histogram (value, freq) smoothed over ``k`` values, looked for within ``last``
+    values from the least one on; counted from there, at least 1.
+
+    The search begins where a count first falls within the first tenth. The smoothed line is lowest where it next fails to
+    fall, and the trough is the least count in that window, moved back over neighbours that lie within 15 % of the next and
+    50 % of the least. No more than ``last`` + 2 ``k`` rows are looked at, so these windows have no keys."""
+    if k % 2 == 0 or k < 1:
+        raise ValueError("k must be odd")
+    spark = hist.sparkSession
+    low = hist.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    near = hist.join(F.broadcast(low)).select((F.col("value") - F.col("low")).alias("i"), "freq").where(F.col("i") < last + 2 * k)
+    c = spark.range(last + 2 * k).withColumnRenamed("id", "i").join(near, "i", "left").select("i", F.coalesce("freq", F.lit(0)).alias("c"))
+    w = Window.orderBy("i")
+    n = low.select(F.greatest(F.col("high") - F.col("low") + 1, F.lit(k)).alias("n"))
+    line = c.join(F.broadcast(n)).select("i", "n", "c", F.lag("c").over(w).alias("p"), F.sum("c").over(w.rowsBetween(0, k - 1)).alias("s"), F.sum("c").over(w.rowsBetween(1, k)).alias("s1"))
+    line = cut(line)
+    start = line.where((F.col("p") > F.col("c")) & (F.col("i") < F.least(F.lit(last // 10), F.col("n")))).agg(F.coalesce(F.min(F.col("i") - 1), F.lit(0)).alias("start"))
+    end = (F.col("s1") >= F.col("s")) | (F.col("i") + 1 >= F.least("n", F.lit(last)))
+    at = line.join(F.broadcast(start)).where((F.col("i") >= F.col("start")) & end).agg(F.min("i").alias("at"))
+    bottom = line.join(F.broadcast(at)).where(F.col("i").between(F.col("at"), F.col("at") + k - 1)).agg(F.min(F.struct("c", "i")).alias("b"))
+    flat = F.col("p").between(F.col("c") * 0.85, F.col("c") * 1.15) & F.col("p").between(F.col("b.c") * 0.5, F.col("b.c") * 1.5)
+    stop = line.join(F.broadcast(bottom)).where((F.col("i") <= F.col("b.i")) & ((F.col("i") == 0) | ~flat)).agg(F.max("i").alias("i"))
+    return stop.select(F.greatest(F.coalesce("i", F.lit(1)), F.lit(1)).cast("int").alias("trough"))
+
+
+def trough_of(df: DataFrame, value: str, last: int, k: int) -> DataFrame:
+    """``first_trough`` of a column; nulls do not count."""
+    return first_trough(histogram(df, value), last, k)
+
+
+def least_cover(intervals: DataFrame, keys: Sequence[str], start: str, end: str, trim: int) -> DataFrame:
+    """(keys, least, from, to): the least coverage by intervals trimmed at both ends, between the first trimmed start and the
+    last trimmed end of the key; keys of whose intervals nothing is left give no row."""
+    segs = segments(intervals, keys, F.col(start) + trim, F.col(end) - trim)
+    return segs.groupBy(*keys).agg(F.min("depth").alias("least"), F.min("start").alias("from"), F.max("end").alias("to"))
 
 
 def cliffs(mean: Sequence[float], step: int) -> tuple[int, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions.overlap import LEFT, RIGHT, _carry, location, mapping
+from strandframe.functions.overlap import ABNORMAL, LEFT, RIGHT, _carry, location, mapping
 from strandframe.operators.grouping import both_sides
 from strandframe.session import cut, n_rows, sized, skew_join
 
@@ -186,11 +186,16 @@ def shared_reads(alignments: DataFrame) -> DataFrame:
 
 
 def joining_reads(alignments: DataFrame, err: int) -> DataFrame:
-    """(ctg0, ctg1, read) where a read hangs over the right end of one contig and the left end of another, ctg0 < ctg1."""
+    """(ctg0, ctg1, read) where a read can join two contigs, ctg0 < ctg1: it hangs over the right end of one and the left end of
+    the other, or lies properly on both and covers one of them or is covered by it."""
     loc = location(err)
-    ends = alignments.where(loc.isin(LEFT, RIGHT)).select(F.col("a_id").alias("read"), F.col("b_id").alias("ctg"), loc.alias("end")).distinct()
-    x, y = ends.select("read", F.col("ctg").alias("ctg0"), F.col("end").alias("e0")), ends.select("read", F.col("ctg").alias("ctg1"), F.col("end").alias("e1"))
-    return x.join(y, "read").where("ctg0 < ctg1 and e0 != e1").select("ctg0", "ctg1", "read").distinct()
+    ends = alignments.where(loc != ABNORMAL).select(F.col("a_id").alias("read"), F.col("b_id").alias("ctg"), F.when(loc == LEFT, 2).when(loc == RIGHT, 4).otherwise(1).alias("end")).distinct()
+    # of each read and contig the ends seen, as bits: 1 covered, 2 left, 4 right
+    seen = ends.groupBy("read", "ctg").agg(F.sum("end").cast("int").alias("e"))
+    x, y = seen.select("read", F.col("ctg").alias("ctg0"), F.col("e").alias("e0")), seen.select("read", F.col("ctg").alias("ctg1"), F.col("e").alias("e1"))
+    bit = lambda c, n: F.col(c).bitwiseAND(F.lit(n)) != 0
+    ok = bit("e0", 1) | bit("e1", 1) | (bit("e0", 2) & bit("e1", 4)) | (bit("e0", 4) & bit("e1", 2))
+    return x.join(y, "read").where("ctg0 < ctg1").where(ok).select("ctg0", "ctg1", "read")
 
 
 def conflicting_classes(df: DataFrame, classes: DataFrame) -> DataFrame:

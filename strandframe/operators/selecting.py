@@ -24,13 +24,19 @@ def longest_to_total(df: DataFrame, length: str, total: int) -> DataFrame:
     return df.where(F.col(length) >= length_for_total(df, length, total))
 
 
+def drawn(key: Column, seed: int = 0) -> Column:
+    """A number from 0 to 2**30 - 1 that depends on the key and the seed alone and is the same in any engine: the first eight
+    digits of the MD5 of ``key:seed``, less two bits."""
+    return F.shiftright(F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long"), 2)
+
+
 def sample_to_total(df: DataFrame, key: Column, length: str, total: int, seed: int = 0) -> DataFrame:
     """Items drawn by a seeded hash of ``key`` with the share that gives about ``total`` in sum; the draw of an item does
     not depend on the others or on the partitioning."""
     whole = df.agg(F.sum(length)).first()[0] or 0
     if whole <= total:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(total / whole * (1 << 30)))
+    return df.where(drawn(key, seed) < int(total / whole * (1 << 30)))
 
 
 def serpentine(df: DataFrame, order: Sequence[Column], bins: int) -> DataFrame:
@@ -45,7 +51,7 @@ def blocks(df: DataFrame, order: str, size: str, block: int, shards: int = 64) -
 
     This is a walk, not a division of the running sum, so it runs per shard (by hash of ``order``) over sorted batches and
     keeps no more than a running sum; numbers are unique as (shard, block)."""
-    rows = df.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(shards)).cast("int"))
+    rows = df.withColumn("shard", F.pmod(drawn(F.col(order)), F.lit(shards)).cast("int"))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, block int"
 
     def walk(parts):

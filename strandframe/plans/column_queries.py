@@ -118,7 +118,31 @@ def cigar_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.select("ol_id", F.size("cigar").alias("ops"), cigar.query_length(F.col("cigar")).alias("q"), cigar.target_length(F.col("cigar")).alias("t"), cigar.clips(F.col("cigar")).lead.alias("lead"), F.round(cigar.identity_ignoring_indels(10), 6).alias("without_large"))
 
 
-QUERIES = {f.__name__: f for f in (ov_filter, ov_filter_one_sided, ov_geometry, ov_mapping, ov_extended, ov_threshold, ov_exact, read_bases, read_kmers, read_names, vectors, cigar_identity)}
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments with the spans of a CIGAR of their own lengths: matches, mismatches, an insertion, matches, a deletion."""
+    al = alignments(spark, sf_dir).where("b_end - b_start > 60")
+    n = F.expr("b_end - b_start")
+    parts = [(F.expr("(b_end - b_start) div 3"), "="), (F.expr("2 + ol_id % 9"), "X"), (F.expr("3 + ol_id % 5"), "I"), (n - F.expr("(b_end - b_start) div 3 + 2 + ol_id % 9 + ol_id % 13"), "="), (F.expr("ol_id % 13"), "D")]
+    text = F.concat(*[F.when(k > 0, F.concat(k.cast("int").cast("string"), F.lit(op))).otherwise("") for k, op in parts])
+    return al.withColumn("_s", cigar.spans(cigar.parse(text)))
+
+
+def cigar_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst 1000 columns of every alignment, as errors and as local identity."""
+    got = _made(spark, sf_dir).select("ol_id", cigar.worst_window(F.col("_s"), 1000).alias("errors"))
+    return got.select("ol_id", "errors", F.round(1 - F.col("errors") / 1000, 6).alias("identity"))
+
+
+def cigar_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches, mismatches and indels of alignments inside a region of every contig."""
+    region = table(spark, sf_dir, "contigs").select(F.col("ctg_id").alias("b_id"), F.expr("ctg_len div 4").alias("r_start"), F.expr("ctg_len div 4 + 20000").alias("r_end"))
+    al = _made(spark, sf_dir).join(region, "b_id").where("r_end > b_start and r_start < b_end")
+    s, e = F.greatest("r_start", "b_start") - F.col("b_start"), F.least("r_end", "b_end") - F.col("b_start")
+    got = al.select("b_id", cigar.in_region(F.col("_s"), s, e).alias("_d"))
+    return got.groupBy("b_id").agg(*[F.sum(f"_d.{k}").alias(k) for k in ("mat", "mis", "ins", "del")])
+
+
+QUERIES = {f.__name__: f for f in (cigar_worst, cigar_regions, ov_filter, ov_filter_one_sided, ov_geometry, ov_mapping, ov_extended, ov_threshold, ov_exact, read_bases, read_kmers, read_names, vectors, cigar_identity)}
 
 
 def _loc(err: int) -> str:
@@ -152,7 +176,20 @@ def _carry(p: str) -> str:
 _A_OH, _B_OH = "least(300, CAST(trunc(a_len * 0.2::DOUBLE) AS INTEGER))", "least(300, CAST(trunc(b_len * 0.2::DOUBLE) AS INTEGER))"
 _F32 = "CAST(CAST(0.99 AS FLOAT) AS DOUBLE)"
 
+_OPS = """o AS (SELECT ol_id, b_id, b_start, b_end, (b_end - b_start) // 3 AS n, 2 + ol_id % 9 AS x, 3 + ol_id % 5 AS i, ol_id % 13 AS d, b_end - b_start AS l FROM al WHERE b_end - b_start > 60)"""
+
+
+def _common(a: str, b: str, c: str, d: str) -> str:
+    return f"greatest(0, least({b}, {d}) - greatest({a}, {c}))"
+
+
+_WORST = " , ".join(f"({_common('n', 'n + x + i', w, w + ' + 1000')} + {_common('l + i - d', 'l + i', w, w + ' + 1000')})" for w in ("n", "(l + i - d)", "greatest(0, n + x + i - 1000)", "greatest(0, l + i - 1000)", "0"))
+
 SQL = {
+    "cigar_worst": f"WITH {AL}, {_OPS}, e AS (SELECT ol_id, CAST(greatest({_WORST}) AS INTEGER) AS errors FROM o) SELECT ol_id, errors, round(1 - errors / 1000::DOUBLE, 6) AS identity FROM e",
+    "cigar_regions": f"""WITH {AL}, {_OPS}, r AS (SELECT o.*, greatest(ctg_len // 4, b_start) - b_start AS s, least(ctg_len // 4 + 20000, b_end) - b_start AS e FROM o JOIN contigs ON ctg_id = b_id WHERE ctg_len // 4 + 20000 > b_start AND ctg_len // 4 < b_end)
+        SELECT b_id, CAST(sum({_common('0', 'n', 's + 1', 'e + 1')} + {_common('n + x', 'l - d', 's + 1', 'e + 1')}) AS BIGINT) AS mat, CAST(sum({_common('n', 'n + x', 's + 1', 'e + 1')}) AS BIGINT) AS mis,
+            CAST(sum(CASE WHEN n + x > s AND n + x <= e THEN i ELSE 0 END) AS BIGINT) AS ins, CAST(sum({_common('l - d', 'l', 's + 1', 'e + 1')}) AS BIGINT) AS del FROM r GROUP BY b_id""",
     "ov_filter": f"""WITH {OV} SELECT ol_id FROM ov WHERE a_id <> b_id AND a_len >= 500 AND b_len >= 500 AND identity >= 90 AND NOT ({LEN} < 400 AND {LEN} < a_len * 0.5::DOUBLE AND {LEN} < b_len * 0.5::DOUBLE)
         AND ({LEN} >= 6000 OR {LEN} >= a_len * {_F32} OR {LEN} >= b_len * {_F32} OR NOT CASE WHEN a_strand = b_strand
             THEN (a_start > {_A_OH} AND b_start > {_B_OH}) OR (a_len - a_end > {_A_OH} AND b_len - b_end > {_B_OH})

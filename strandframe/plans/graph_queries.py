@@ -193,6 +193,9 @@ _THIN = f"th AS (SELECT in_node, out_node, len, score FROM (SELECT *, row_number
 _DEGK = _DEG.replace("FROM m", "FROM k")
 
 SQL = {
+    "graph_simplified": f"""WITH {_M}, t AS MATERIALIZED (SELECT in_node, out_node FROM ({_both(_trans('m', 500), 't')}) SEMI JOIN m USING (in_node, out_node)), m1 AS MATERIALIZED (SELECT m.* FROM m ANTI JOIN t USING (in_node, out_node)), ur AS MATERIALIZED (SELECT in_node, out_node FROM ({_both(_UNREL.format('m1', 0.5), 'u')}) SEMI JOIN m1 USING (in_node, out_node)),
+        m2 AS MATERIALIZED (SELECT m1.* FROM m1 ANTI JOIN ur USING (in_node, out_node)), bt AS (SELECT in_node, out_node FROM ({_both(_best('m2', 'score DESC NULLS LAST'), 'b')}) SEMI JOIN m2 USING (in_node, out_node))
+        SELECT 'transitive' AS reason, count(*) AS n FROM t UNION ALL SELECT 'unreliable', count(*) FROM ur UNION ALL SELECT 'best', count(*) FROM bt""",
     "path_spurs": f"WITH {_M}, {_DEG}, t AS (SELECT m.*, max(len) OVER (PARTITION BY out_node) AS top FROM m) {_both('SELECT in_node, out_node FROM t JOIN d ON node = in_node WHERE n_in = 0 AND n_out = 1 AND len * 2 <= top', 'spur')}",
     "path_semi": f"""WITH {_M}, {_DEG}, o AS (SELECT in_node AS w, max(len) AS n FROM m GROUP BY in_node), t AS (SELECT m.*, max(len + coalesce(n, 0)) OVER (PARTITION BY in_node) AS top, count(*) OVER (PARTITION BY in_node) AS ways FROM m LEFT JOIN o ON w = out_node)
         {_both('SELECT in_node, out_node FROM t JOIN d ON node = out_node WHERE ways > 1 AND n_out = 0 AND n_in = 1 AND len * 2 <= top', 'semi')}""",

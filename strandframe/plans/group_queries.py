@@ -107,7 +107,7 @@ def win_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_least(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stretch of 1000 bases with the fewest aligned bases begun."""
+    """The stretch of 1000 bases with the fewest aligned bases begun."""
     al = alignments(spark, sf_dir).withColumn("n", aligned_length())
     return coverage.sliding_min(al, ["b_id"], "b_start", "n", 1000)
 
@@ -119,12 +119,12 @@ def win_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles that do not begin where the one before ends."""
+    """Tiles that do not go on from the node where the one before ends."""
     from pyspark.sql import Window
 
-    t = table(spark, sf_dir, "contig_tiles").where("seq_id is not null and tile_no is not null").groupBy("seq_id", "tile_no").agg(F.max(F.struct("tile_start", "tile_end")).alias("t")).select("seq_id", "tile_no", "t.*")
-    before = F.lag("tile_end").over(Window.partitionBy("seq_id").orderBy("tile_no"))
-    return t.withColumn("before", before).where("before != tile_start").select("seq_id", "tile_no", (F.col("tile_start") - F.col("before")).alias("gap"))
+    t = table(spark, sf_dir, "contig_tiles").where("seq_id is not null and tile_no is not null").groupBy("seq_id", "tile_no").agg(F.max("edge_path").alias("edge"))
+    before = F.lag("edge").over(Window.partitionBy("seq_id").orderBy("tile_no"))
+    return t.withColumn("before", before).where(F.element_at(F.split("before", "~"), 2) != F.element_at(F.split("edge", "~"), 1)).select("seq_id", "tile_no", "before", "edge")
 
 
 def win_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ def win_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned bases within a region of every contig by interval join."""
+    """Aligned bases within a region of every contig by interval join."""
     regions = table(spark, sf_dir, "contigs").select(F.col("ctg_id").alias("b_id"), F.expr("ctg_len div 4").alias("r_start"), F.expr("ctg_len div 4 + 20000").alias("r_end"))
     al = alignments(spark, sf_dir).select("ol_id", "b_id", F.col("b_start").cast("long").alias("l_start"), F.col("b_end").cast("long").alias("l_end"))
     got = intervals.interval_join(al, regions, "b_id").withColumn("n", intervals.common_bases())
@@ -213,7 +213,7 @@ def stat_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat_pair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like and unlike pairs by a class of read ids."""
+    """Like and unlike pairs by a class of read ids."""
     ov = overlaps(spark, sf_dir).withColumn("x", (F.col("a_id") % 3 - 1)).withColumn("y", (F.col("b_id") % 3 - 1))
     return stats.pair_classes(ov, "x", "y")
 
@@ -303,7 +303,17 @@ _MAD = """v AS (SELECT lib_name, CAST(aligned_len AS BIGINT) AS x FROM read_stat
     d AS (SELECT lib_name, abs(x - median) AS y, median, n FROM v JOIN m USING (lib_name)), mad AS (SELECT lib_name, n, median, y AS mad FROM (SELECT *, row_number() OVER (PARTITION BY lib_name ORDER BY y) AS rn FROM d) WHERE rn = n // 2 + 1)"""
 _MEAN = "mn AS (SELECT lib_name, avg(aligned_len) AS mean FROM read_stats WHERE lib_name IS NOT NULL GROUP BY lib_name), md AS (SELECT lib_name, mean, avg(abs(aligned_len - mean)) AS mad FROM read_stats JOIN mn USING (lib_name) WHERE aligned_len IS NOT NULL GROUP BY lib_name, mean)"
 
+_DRAWN = "(CAST('0x' || substr(md5(CAST(read_id AS VARCHAR) || ':{0}'), 1, 8) AS BIGINT) >> 2)"
+
 SQL = {
+    "top_sample": f"WITH {READS}, w AS (SELECT sum(len) AS w FROM reads) SELECT read_id, CAST(len AS INTEGER) AS len FROM reads, w WHERE w <= 200000 OR {_DRAWN.format(7)} < CAST(trunc(200000 / w * (1 << 30)) AS BIGINT)",
+    "top_blocks": f"""WITH RECURSIVE {READS}, r AS (SELECT read_id, len, CAST({_DRAWN.format(0)} % 4 AS INTEGER) AS shard FROM reads), o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY read_id) AS k FROM r),
+        w AS (SELECT shard, k, len, CAST(len AS BIGINT) AS held, 0 AS block FROM o WHERE k = 1 UNION ALL SELECT o.shard, o.k, o.len, CASE WHEN w.held >= 50000 THEN o.len ELSE w.held + o.len END, CASE WHEN w.held >= 50000 THEN w.block + 1 ELSE w.block END FROM w JOIN o ON o.shard = w.shard AND o.k = w.k + 1)
+        SELECT shard, block, count(*) AS reads, CAST(sum(len) AS BIGINT) AS bases FROM w GROUP BY shard, block""",
+    "top_placements": f"""WITH RECURSIVE {AL}, p AS (SELECT a_id, a_start AS s, a_end AS e, row_number() OVER (PARTITION BY a_id ORDER BY a_end - a_start DESC, a_start, a_end) AS k FROM al WHERE a_start < a_end),
+        g AS (SELECT a_id, k, [{{'s': s, 'e': e}}] AS t FROM p WHERE k = 1 UNION ALL
+            SELECT p.a_id, p.k, CASE WHEN len(t) < 3 AND len(list_filter(t, lambda x: least(p.e, x.e) - greatest(p.s, x.s) > 0.5::DOUBLE * (p.e - p.s))) = 0 THEN list_append(t, {{'s': p.s, 'e': p.e}}) ELSE t END FROM g JOIN p ON p.a_id = g.a_id AND p.k = g.k + 1),
+        l AS (SELECT a_id, arg_max(t, k) AS t FROM g GROUP BY a_id) SELECT a_id, CAST(len(t) AS BIGINT) AS kept, CAST(list_sum(list_transform(t, lambda x: x.e - x.s)) AS BIGINT) AS bases FROM l""",
     "grp_best_pair": f"WITH {OV}, s AS (SELECT a_id AS read, b_id AS other, ol_id, {LEN} AS aligned FROM ov UNION ALL SELECT b_id, a_id, ol_id, {LEN} FROM ov) SELECT read, other, ol_id, CAST(aligned AS INTEGER) AS aligned FROM (SELECT *, row_number() OVER (PARTITION BY read, other ORDER BY aligned DESC NULLS LAST, ol_id) AS rn FROM s) WHERE rn = 1",
     "grp_best_by_target": f"WITH {AL} SELECT b_id, a_id, ol_id, CAST(n0 AS INTEGER) AS aligned, n FROM (SELECT *, {LEN} AS n0, row_number() OVER (PARTITION BY b_id, a_id ORDER BY {LEN} DESC NULLS LAST, ol_id) AS rn, count(*) OVER (PARTITION BY b_id, a_id) AS n FROM al) WHERE rn = 1",
     "grp_duplicates": f"WITH {OV} SELECT ol_id, CAST(row_number() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY {LEN} * identity DESC NULLS LAST, ol_id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id)) AS n FROM ov",
@@ -326,7 +336,7 @@ SQL = {
     "win_crowded": f"WITH {AL}, n AS (SELECT *, count(*) OVER (PARTITION BY b_id ORDER BY b_start RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW) AS k FROM al) SELECT ol_id FROM (SELECT *, max(k) OVER (PARTITION BY b_id ORDER BY b_start RANGE BETWEEN CURRENT ROW AND 10000 FOLLOWING) AS m FROM n) WHERE m >= 6",
     "win_least": f"WITH {AL}, w AS (SELECT b_id, b_start, CAST(sum({LEN}) OVER (PARTITION BY b_id ORDER BY b_start RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM al) SELECT b_id, min(s) AS least, min(b_start) FILTER (s = m) AS at FROM (SELECT *, min(s) OVER (PARTITION BY b_id) AS m FROM w) GROUP BY b_id",
     "win_mean": f"WITH {_TILES} SELECT seq_id, tile_no, round(m, 6) AS mean FROM (SELECT *, avg(n) OVER w AS m, count(n) OVER w AS k FROM t WINDOW w AS (PARTITION BY seq_id ORDER BY tile_no ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE k = 5",
-    "win_breaks": f"WITH {_TILES} SELECT seq_id, tile_no, tile_start - b AS gap FROM (SELECT *, lag(tile_end) OVER (PARTITION BY seq_id ORDER BY tile_no) AS b FROM t) WHERE b <> tile_start",
+    "win_breaks": "WITH t AS (SELECT seq_id, tile_no, max(edge_path) AS edge FROM contig_tiles WHERE seq_id IS NOT NULL AND tile_no IS NOT NULL GROUP BY seq_id, tile_no), b AS (SELECT *, lag(edge) OVER (PARTITION BY seq_id ORDER BY tile_no) AS \"before\" FROM t) SELECT * FROM b WHERE split_part(\"before\", '~', 2) <> split_part(edge, '~', 1)",
     "win_analysis": "SELECT ctg_id, CAST(s AS BIGINT) AS win_start, least(ctg_len, CAST(s AS BIGINT) + 4000) AS win_end FROM contigs, unnest(range(0, ctg_len, 3000)) AS t(s) WHERE ctg_len > 0",
     "win_regions": f"WITH {AL}, g AS (SELECT ctg_id, ctg_len // 4 AS s, ctg_len // 4 + 20000 AS e FROM contigs) SELECT b_id, count(*) AS alignments, CAST(sum(least(b_end, e) - greatest(b_start, s)) AS BIGINT) AS bases FROM al JOIN g ON b_id = ctg_id AND b_start < e AND s < b_end WHERE b_start < b_end GROUP BY b_id",
     "stat_n50": f"WITH {READS}, x AS (SELECT len, read_id AS id FROM reads), " + _N.format("25, 50, 75", ">"),

@@ -9,7 +9,7 @@ from strandframe.functions import align, dna
 from strandframe.functions.overlap import Filter, sides
 from strandframe.operators import calls, consensus, coverage, pairs, phasing
 from strandframe.plans.pair_queries import _alleles, _placed, _single
-from strandframe.plans.views import LEN, OV, READS, SIDES, overlaps, reads
+from strandframe.plans.views import AL, LEN, OV, READS, SIDES, alignments, overlaps, reads
 from strandframe.session import table
 
 
@@ -67,9 +67,13 @@ def phase_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cov_trough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first trough of the reads' lengths in steps of 100 bases."""
-    r = reads(spark, sf_dir).select(F.expr("len div 100").alias("v"))
-    return spark.range(1).select(F.lit(coverage.trough_of(r, "v", 100, 9)).alias("trough"))
+    """The first trough of the contigs' coverages."""
+    return coverage.trough_of(coverage.segments(alignments(spark, sf_dir), ["b_id"], F.col("b_start"), F.col("b_end")), "depth", 100, 3)
+
+
+def cov_group_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least coverage of every contig between its trimmed alignments."""
+    return coverage.least_cover(alignments(spark, sf_dir), ["b_id"], "b_start", "b_end", 100)
 
 
 def cov_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,26 @@ def cov_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bases.withColumn("median", med.scalar()).select("bases", "median", F.expr("bases div median").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (kern_distance, kern_align, kern_refined, kern_calls, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_genome)}
+QUERIES = {f.__name__: f for f in (kern_distance, kern_align, kern_refined, kern_calls, kern_corrected, kern_weights, phase_pairs, phase_masked, cov_trough, cov_group_least, cov_genome)}
 
 _STRETCH = f"""{OV}, {READS}, st AS (SELECT ol_id, CASE WHEN a_strand <> b_strand THEN translate(reverse(substr(upper(x.seq), a_start + 1, a_end - a_start)), 'ACGT', 'TGCA') ELSE substr(upper(x.seq), a_start + 1, a_end - a_start) END AS a, substr(upper(y.seq), b_start + 1, b_end - b_start) AS b
     FROM ov JOIN reads x ON x.read_id = a_id JOIN reads y ON y.read_id = b_id WHERE a_end > a_start AND b_end > b_start AND x.seq IS NOT NULL AND y.seq IS NOT NULL)"""
 
 _OHA, _OHB = (f"least(1000, CAST(trunc({x}_len * 0.5::DOUBLE) AS INTEGER))" for x in "ab")
 
+def _events(trim: int) -> str:
+    """Coverage of contigs by alignments trimmed at both ends."""
+    iv = f"iv AS (SELECT b_id, CAST(b_start AS BIGINT) + {trim} AS s, CAST(b_end AS BIGINT) - {trim} AS e FROM al)"
+    ev = "ev AS (SELECT b_id, pos, CAST(sum(d) AS BIGINT) AS d FROM (SELECT b_id, s AS pos, 1 AS d FROM iv WHERE s < e UNION ALL SELECT b_id, e, -1 FROM iv WHERE s < e) GROUP BY b_id, pos)"
+    return iv + ", " + ev + ', segs AS (SELECT * FROM (SELECT b_id, pos AS start, lead(pos) OVER w AS "end", CAST(sum(d) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY b_id ORDER BY pos)) WHERE "end" IS NOT NULL)'
+
+
 SQL = {
+    "cov_group_least": f'WITH {AL}, {_events(100)} SELECT b_id, min(depth) AS least, min(start) AS "from", max("end") AS "to" FROM segs GROUP BY b_id',
+    "cov_trough": f"""WITH {AL}, {_events(0)}, h AS (SELECT depth AS v, count(*) AS f FROM segs GROUP BY depth), lo AS (SELECT min(v) AS lo, greatest(max(v) - min(v) + 1, 3) AS n FROM h),
+        c AS (SELECT i, n, coalesce(f, 0) AS c FROM unnest(range(CAST(0 AS BIGINT), CAST(106 AS BIGINT))) AS t(i), lo LEFT JOIN h ON v = lo + i), l AS (SELECT *, lag(c) OVER (ORDER BY i) AS p, sum(c) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s, sum(c) OVER (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS s1 FROM c),
+        st AS (SELECT coalesce(min(i - 1), 0) AS st FROM l WHERE p > c AND i < least(10, n)), at_ AS (SELECT min(i) AS a FROM l, st WHERE i >= st AND (s1 >= s OR i + 1 >= least(n, 100))), bt AS (SELECT i AS bi, c AS bc FROM l, at_ WHERE i BETWEEN a AND a + 2 ORDER BY c, i LIMIT 1)
+        SELECT CAST(greatest(coalesce(max(i), 1), 1) AS INTEGER) AS trough FROM l, bt WHERE i <= bi AND (i = 0 OR NOT (p BETWEEN c * 0.85::DOUBLE AND c * 1.15::DOUBLE AND p BETWEEN bc * 0.5::DOUBLE AND bc * 1.5::DOUBLE))""",
     "kern_distance": f"WITH {_STRETCH} SELECT ol_id, CAST(levenshtein(a, b) AS INTEGER) AS distance, round(100.0::DOUBLE - levenshtein(a, b) * 100.0::DOUBLE / nullif(greatest(length(a), length(b)), 0), 6) AS quality FROM st",
     "kern_refined": f"""WITH {_STRETCH}, d AS (SELECT ol_id, round(100.0::DOUBLE - levenshtein(a, b) * 100.0::DOUBLE / nullif(greatest(length(a), length(b)), 0), 6) AS quality FROM st)
         SELECT ol_id, quality FROM ov JOIN d USING (ol_id) WHERE quality >= 90 AND a_id <> b_id AND a_len >= 0 AND b_len >= 0 AND identity >= 0 AND NOT ({LEN} < 0)

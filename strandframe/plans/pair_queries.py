@@ -322,7 +322,8 @@ SQL = {
     "join_triangles": f"""WITH {OV}, {_SINGLE}, {_VIEW} SELECT ab.r AS a, ab.o AS b, ac.o AS c, abs({_via('0', 'ab')} - {_via('(' + _via('0', 'cb') + ')', 'ac')}) <= 100 AND abs({_via('ab.yl', 'ab')} - {_via('(' + _via('ab.yl', 'cb') + ')', 'ac')}) <= 100 AS ok
         FROM v ab JOIN v ac ON ac.r = ab.r AND ab.o < ac.o JOIN v cb ON cb.r = ac.o AND cb.o = ab.o WHERE ab.r < ab.o""",
     "join_shared": f"WITH {AL}, o AS (SELECT DISTINCT a_id, b_id FROM al) SELECT x.b_id AS ctg0, y.b_id AS ctg1, count(*) AS reads FROM o x JOIN o y ON x.a_id = y.a_id AND x.b_id < y.b_id GROUP BY x.b_id, y.b_id",
-    "join_hanging": f"WITH {AL}, e AS (SELECT DISTINCT a_id, b_id, {_loc(400)} AS l FROM al) SELECT DISTINCT x.b_id AS ctg0, y.b_id AS ctg1, x.a_id AS read FROM e x JOIN e y ON x.a_id = y.a_id AND x.b_id < y.b_id AND x.l <> y.l WHERE x.l IN ('left', 'right') AND y.l IN ('left', 'right')",
+    "join_hanging": f"""WITH {AL}, e AS (SELECT DISTINCT a_id, b_id, {_loc(400)} AS l FROM al) SELECT DISTINCT x.b_id AS ctg0, y.b_id AS ctg1, x.a_id AS read FROM e x JOIN e y ON x.a_id = y.a_id AND x.b_id < y.b_id
+        WHERE x.l <> 'abnormal' AND y.l <> 'abnormal' AND ((x.l = 'left' AND y.l = 'right') OR (x.l = 'right' AND y.l = 'left') OR x.l NOT IN ('left', 'right') OR y.l NOT IN ('left', 'right'))""",
     "join_sequences": f"""WITH {OV}, {READS} SELECT ol_id, substr(x.seq, a_start + 1, 12) AS a_part, CASE WHEN b_strand = 1 THEN translate(reverse(substr(y.seq, b_start + 1, 12)), 'ACGTacgt', 'TGCAtgca') ELSE substr(y.seq, b_start + 1, 12) END AS b_part FROM ov LEFT JOIN reads x ON x.read_id = a_id LEFT JOIN reads y ON y.read_id = b_id""",
     "join_names": f"WITH {READS}, o AS (SELECT DISTINCT ol_id, qname FROM read_overlaps) SELECT ol_id, coalesce(read_id, -1) AS read_id FROM o LEFT JOIN reads ON name = qname",
     "join_classes": f"WITH {OV}, {READS}, c AS (SELECT read_id, CASE WHEN len > 1500 THEN 1 WHEN len < 800 THEN -1 ELSE 0 END AS cls FROM reads) SELECT ol_id FROM ov LEFT JOIN c x ON x.read_id = a_id LEFT JOIN c y ON y.read_id = b_id WHERE coalesce(x.cls * y.cls, 0) <> -1",

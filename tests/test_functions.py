@@ -106,3 +106,25 @@ def test_udfs(spark):
     df = spark.createDataFrame([("ACGT", "AGT"), (None, "A"), ("", "")], "a string, b string")
     got = [tuple(r) for r in df.select(align.distance_udf(F.col("a"), F.col("b")), align.align_udf(F.col("a"), F.col("b")), align.quality_of(F.col("a"), F.col("b"))).collect()]
     assert got == [(1, "1=1I2=", 75.0), (None, None, None), (0, "", None)]
+
+
+def test_worst_window_and_regions(spark):
+    rnd = random.Random(4)
+    data, want = [], []
+    for _ in range(30):
+        ops = [(rnd.randrange(1, 30), rnd.choice("=XID=")) for _ in range(rnd.randrange(1, 12))]
+        columns = "".join(op * n for n, op in ops)
+        bad = max(sum(c in "XID" for c in columns[i : i + 20]) for i in range(len(columns)))
+        s, e = sorted((rnd.randrange(0, 80), rnd.randrange(0, 80)))
+        at, count = 0, dict.fromkeys("=XID", 0)
+        for c in columns:
+            if s < at <= e:
+                count[c] += 1
+            at += c != "I"
+        data.append((len(data), "5S" + "".join(f"{n}{op}" for n, op in ops) + "2H", s, e))
+        want.append((bad, *count.values()))
+    df = spark.createDataFrame(data, "id int, c string, s int, e int").withColumn("o", cigar.spans(cigar.parse(F.col("c"))))
+    d = cigar.in_region(F.col("o"), F.col("s"), F.col("e"))
+    got = df.orderBy("id").select(cigar.worst_window(F.col("o"), 20), d.mat, d.mis, d.ins, d["del"]).collect()
+    assert [tuple(r) for r in got] == want
+    assert spark.createDataFrame([("",), (None,)], "c string").select(cigar.worst_window(cigar.spans(cigar.parse(F.col("c"))), 5)).collect() == [(0,), (0,)]

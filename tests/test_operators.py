@@ -98,13 +98,34 @@ def test_coverage(spark, rows):
         assert runs[k] == (-best[1], -best[1] + best[0])
 
 
-def test_troughs_and_cliffs():
-    assert coverage.first_trough([9, 5, 2, 1, 2, 6, 9, 6, 2, 0, 0], 11, 3) >= 1
-    assert coverage.first_trough([50, 30, 10, 4, 3, 4, 10, 30, 50, 30, 10, 0], 12, 3) in (3, 4, 5)
+def plain_trough(c, last, k):
+    """Steps one value at a time, on a histogram from its least value on."""
+    n = max(k, len(c))
+    c = [*c, *[0] * (3 * k + last)]
+    start = next((i - 1 for i in range(1, min(last // 10, n)) if c[i - 1] > c[i]), 0)
+    at = start
+    while at + 1 < min(n, last) and sum(c[at + 1 : at + 1 + k]) < sum(c[at : at + k]):
+        at += 1
+    low = min(range(at, at + k), key=lambda i: (c[i], i))
+    pick = low
+    while pick >= 1 and 0.85 * c[pick] <= c[pick - 1] <= 1.15 * c[pick] and 0.5 * c[low] <= c[pick - 1] <= 1.5 * c[low]:
+        pick -= 1
+    return max(pick, 1)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_trough(spark, seed):
+    rnd = random.Random(seed)
+    c = [[9, 5, 2, 1, 2, 6, 9, 6, 2, 1], [50, 30, 10, 4, 3, 4, 10, 30, 50, 30, 10, 1]][seed] if seed < 2 else [rnd.choice([1, 2, 5, 5, 5, 6, 40]) for _ in range(rnd.randrange(1, 60))]
+    hist = spark.createDataFrame([(7 + i, n) for i, n in enumerate(c)], "value long, freq long")
+    assert coverage.first_trough(hist, 40, 3).first()[0] == plain_trough(c, 40, 3)
+
+
+def test_cliffs(spark):
     assert coverage.cliffs([0] * 5 + [10] * 40, 10) == (10, -1)
     assert coverage.cliffs([10] * 40 + [0] * 5, 10)[1] >= 30
     with pytest.raises(ValueError):
-        coverage.first_trough([1, 2], 2, 4)
+        coverage.first_trough(spark.createDataFrame([], "value long, freq long"), 2, 4)
 
 
 @pytest.mark.parametrize(("lens", "strict", "want"), [([5, 3, 2], True, (3, 2)), ([5, 3, 2], False, (5, 1)), ([4, 4, 4, 4], True, (4, 3)), ([4, 4, 4, 4], False, (4, 2)), ([7], True, (7, 1)), ([10, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], True, (1, 2))])
