@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Letters of a batch whose k-mers are coded at a time.
+LETTERS = 4_000_000
+_BASE = np.full(256, 4, np.uint8)
+_BASE[[65, 67, 71, 84]] = _BASE[[97, 99, 103, 116]] = np.arange(4)
+
 
 def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGTacgt", "TGCAtgca")
@@ -106,3 +115,71 @@ def vector_counts(a: Column, b: Column) -> Column:
 def mean_offset(t_pos: Column, q_pos: Column, same: Column) -> Column:
     """The mean offset of a query on a target over shared sites (an aggregate): t - q on the same strand, else t + q."""
     return F.when(F.max(same.cast("int")) == 1, F.call_function("div", F.sum(t_pos - q_pos), F.count(t_pos))).otherwise(F.call_function("div", F.sum(t_pos + q_pos), F.count(t_pos)))
+
+
+def _codes(letters: np.ndarray, k: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, code) of the windows of k letters A, C, G, T; with ``both`` the smaller code of the two strands."""
+    base = _BASE[letters]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ahead, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(k):
+        digit = (base[i : i + n] & 3).astype(np.int64)
+        ahead = (ahead << 2) | digit
+        if both:
+            back |= (3 - digit) << (2 * i)
+    bad = np.concatenate([[0], np.cumsum(base > 3)])
+    at = np.flatnonzero(bad[k:] == bad[: n])
+    return at, np.minimum(ahead, back)[at] if both else ahead[at]
+
+
+def _parts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(letters, row of each window's start or -1, rows) of some sequences at a time, joined by a letter that is no base."""
+    texts = batch.column(batch.num_columns - 1).to_pylist()
+    held: list[bytes] = []
+    rows: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t and len(t) >= k:
+            held.append(t.encode("latin-1", "replace"))
+            rows.append(i)
+            size += len(t) + 1
+        if held and (size >= LETTERS or i == len(texts) - 1):
+            lens = np.array([len(x) + 1 for x in held])
+            yield np.frombuffer(b"-".join(held) + b"-", np.uint8), np.repeat(np.arange(len(held)), lens), np.array(rows)
+            held, rows, size = [], [], 0
+    if held:
+        lens = np.array([len(x) + 1 for x in held])
+        yield np.frombuffer(b"-".join(held) + b"-", np.uint8), np.repeat(np.arange(len(held)), lens), np.array(rows)
+
+
+def count_codes(df: DataFrame, seq: str, k: int, both: bool = True) -> DataFrame:
+    """(code, n): how often each k-mer (k to 31, see ``encode``) stands in the sequences, either case; with ``both`` the smaller
+    code of the two strands. Counted within a batch first, so codes and counts are shuffled and no strings."""
+    if not 1 <= k <= 31:
+        raise ValueError("k must lie between 1 and 31")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for letters, _, _ in _parts(batch, k):
+                code, n = np.unique(_codes(letters, k, both)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    return df.select(seq).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def read_codes(df: DataFrame, key: str, seq: str, k: int, both: bool = True) -> DataFrame:
+    """(key, kmer): the distinct codes of the k-mers of every row; ``key`` is a whole number."""
+    if not 1 <= k <= 31:
+        raise ValueError("k must lie between 1 and 31")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for letters, row, rows in _parts(batch, k):
+                at, code = _codes(letters, k, both)
+                pairs = np.unique(np.stack([keys[rows[row[at]]].astype(np.int64), code], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=[key, "kmer"])
+
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), seq).mapInArrow(run, f"`{key}` long, kmer long").distinct()

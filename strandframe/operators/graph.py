@@ -7,12 +7,14 @@ where rev swaps B and E; every reduction is closed under mirrors. Nothing is del
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.overlap import LEFT, RIGHT, location
 from strandframe.operators.pairs import triangles
-from strandframe.session import cut, drop, is_empty
+from strandframe.session import cut, is_empty, n_rows, n_where, sized
 
 EDGE = ["in_node", "out_node"]
 
@@ -187,19 +189,24 @@ def unitigs(edges: DataFrame) -> DataFrame:
     e = cut(edges.select(*EDGE, name.alias("e")))
     before = e.select(F.col("out_node").alias("in_node"), F.col("e").alias("up")).join(inner, "in_node")
     # up: an earlier edge on the path; dist: steps to it; low: the least edge passed on the way
-    state = cut(e.join(before, "in_node", "left").select("e", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("dist"), F.col("e").alias("low"), F.coalesce("up", "e").alias("top")))
-    rounds = 0
-    limit = max(1, e.count()).bit_length() + 1
-    while rounds < limit:
-        far = state.select(F.col("e").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.col("top").alias("t2"))
-        moved = state.where("up is not null").join(far, "up").select("e", F.col("up2").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("low", "l2").alias("low"), F.coalesce("t2", "top").alias("top"))
-        last, state = state, cut(state.where("up is null").unionByName(moved))
-        drop(last)
-        rounds += 1
-        if is_empty(state.where("up is not null")):
+    first = e.join(before, "in_node", "left").select("e", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("dist"), F.col("e").alias("low"), F.coalesce("up", "e").alias("top"))
+    state = cut(first, open=F.col("up").isNotNull())
+    done: list[DataFrame] = []
+    limit = max(1, n_rows(e)).bit_length() + 1
+    for _ in range(limit):
+        done.append(state.where("up is null"))
+        if not n_where(state, "open"):
             break
-    lines = state.where("up is null").select("e", F.col("top").alias("unitig"), F.col("dist").alias("place"))
-    rings = state.where("up is not null").select("e", "low")
+        # edges that have come to the beginning of their path stay where they are; only the others go on
+        walking = state.where("up is not null")
+        at = walking.unionByName(reduce(DataFrame.unionByName, done))
+        far = at.select(F.col("e").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.col("top").alias("t2"))
+        moved = walking.join(far, "up").select("e", F.col("up2").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("low", "l2").alias("low"), F.coalesce("t2", "top").alias("top"))
+        state = cut(moved, open=F.col("up").isNotNull())
+    else:
+        done.append(state.where("up is null"))
+    lines = reduce(DataFrame.unionByName, done).select("e", F.col("top").alias("unitig"), F.col("dist").alias("place"))
+    rings = sized(state.where("up is not null").select("e", "low"), n_where(state, "open"))
     if not is_empty(rings):
         # cut the ring before its least edge and rank again
         heads = rings.where("e = low").select(F.col("low").alias("e"))

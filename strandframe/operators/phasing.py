@@ -186,7 +186,7 @@ def phase(alleles: DataFrame, least_shared: int = 3, most: int = 200, options: O
     ok = alleles.where("choice != -1").select("ctg", "read", "pos", "choice").distinct()
     x = ok.select("ctg", "pos", F.col("read").alias("t"), F.col("choice").alias("_c"))
     y = ok.select("ctg", "pos", F.col("read").alias("q"), F.col("choice").alias("_d"))
-    shared = x.join(y, ["ctg", "pos"]).where("t != q").select("ctg", "t", "q", "pos", F.when(F.col("_c") == F.col("_d"), 1).otherwise(-1).alias("v"))
+    shared = cut(x.join(y, ["ctg", "pos"]).where("t != q").select("ctg", "t", "q", "pos", F.when(F.col("_c") == F.col("_d"), 1).otherwise(-1).alias("v")))
     n = shared.groupBy("ctg", "t", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared)
     w = Window.partitionBy("ctg", "t")
     near = cut(n.withColumn("_r", F.row_number().over(w.orderBy(F.col("n").desc(), "q"))).withColumn("_more", F.count(F.lit(1)).over(w) > most).select("ctg", "t", "q", (F.col("_r") <= most).alias("_in"), "_more"))

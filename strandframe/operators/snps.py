@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.overlap import threshold
+from strandframe.session import cut, n_rows
 
 
 def base_histogram(calls: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def compatible(offset_a: Column, offset_b: Column, same: Column, length: Column)
 def kmer_classes(read_kmers: DataFrame, pat: DataFrame, mat: DataFrame, margin: float = 1.0) -> DataFrame:
     """(read, pat, mat, cls): distinct windows of every read in two k-mer sets, and the class (1 or -1) of the larger share
     of its set, 0 within the margin. ``read_kmers`` has (read, kmer); sets have kmer, counted once."""
-    sizes = {n: max(1, s.select("kmer").distinct().count()) for n, s in (("pat", pat), ("mat", mat))}
+    pat, mat = (cut(s.select("kmer").distinct()) for s in (pat, mat))
+    sizes = {n: max(1, n_rows(s)) for n, s in (("pat", pat), ("mat", mat))}
     flags = pat.select("kmer", F.lit(1).alias("p"), F.lit(0).alias("m")).union(mat.select("kmer", F.lit(0), F.lit(1))).groupBy("kmer").agg(F.max("p").alias("p"), F.max("m").alias("m"))
     got = read_kmers.join(flags, "kmer").groupBy("read").agg(F.sum("p").alias("pat"), F.sum("m").alias("mat"))
     x, y = F.col("pat") / sizes["pat"], F.col("mat") / sizes["mat"]

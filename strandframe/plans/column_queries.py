@@ -85,9 +85,8 @@ def read_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of canonical 9-mers over all reads, with their numbers."""
-    k = dna.explode_kmers(reads(spark, sf_dir).select(F.upper("seq").alias("s")), "s", 9, "k").where(dna.is_dna(F.col("k"), n=False))
-    out = k.groupBy(dna.canonical(F.col("k")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("kmer", "n", dna.encode(F.col("kmer")).alias("code"), (dna.decode(dna.encode(F.col("kmer")), 9) == F.col("kmer")).alias("round_trip"))
+    out = dna.count_codes(reads(spark, sf_dir), "seq", 9).select(dna.decode(F.col("code"), 9).alias("kmer"), "n", "code")
+    return out.select("kmer", "n", "code", (dna.encode(F.col("kmer")) == F.col("code")).alias("round_trip"))
 
 
 def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:

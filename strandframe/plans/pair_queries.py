@@ -162,9 +162,10 @@ def snp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snp_kmer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of every read by two k-mer sets."""
-    k = dna.explode_kmers(reads(spark, sf_dir).select(F.col("read_id").alias("read"), "len", F.upper("seq").alias("s")), "s", 11).distinct()
-    pat, mat = (k.where(w).select("kmer").distinct() for w in ("len > 1500", "len < 800"))
+    """Class of every read by two sets of k-mers of either strand."""
+    r = reads(spark, sf_dir).select(F.col("read_id").alias("read"), "len", "seq")
+    k = cut(dna.read_codes(r, "read", "seq", 11))
+    pat, mat = (k.join(r.where(w).select("read"), "read", "left_semi").select("kmer") for w in ("len > 1500", "len < 800"))
     return snps.kmer_classes(k, pat, mat)
 
 
@@ -335,7 +336,7 @@ SQL = {
     "snp_linkage": f"{_SNP}, t AS (SELECT x.ctg, x.pos AS pos0, y.pos AS pos1, count(*) AS n, count(*) FILTER (x.choice = y.choice) AS d FROM alleles x JOIN alleles y ON x.read = y.read AND x.ctg = y.ctg AND y.pos - x.pos BETWEEN 1 AND 2000 WHERE x.choice <> -1 AND y.choice <> -1 GROUP BY x.ctg, x.pos, y.pos) SELECT ctg, pos0, pos1, n, round(greatest(d, n - d) / n, 9) AS concordance FROM t WHERE n >= 3",
     "snp_nearest": f"""WITH {AL}, d AS (SELECT *, {LEN} AS n, a_start * 3 AS w, abs(a_start * 3 - b_start) AS d FROM al), m AS (SELECT *, min(d) OVER (PARTITION BY a_id, b_id) AS l FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, d, b_start) AS rn FROM m WHERE d <= l + 500)
         SELECT a_id, b_id, b_start, CAST(n AS INTEGER) AS n, a_strand = b_strand AND abs(w - b_start) <= greatest(1000, CAST(trunc(n * 0.1::DOUBLE) AS INTEGER)) AS ok FROM r WHERE rn = 1""",
-    "snp_kmer_classes": f"""WITH {READS}, k AS (SELECT DISTINCT read_id AS read, len, substr(upper(seq), CAST(i AS BIGINT), 11) AS kmer FROM reads, unnest(range(1, length(seq) - 9)) AS t(i) WHERE length(seq) >= 11), p AS (SELECT DISTINCT kmer FROM k WHERE len > 1500), m AS (SELECT DISTINCT kmer FROM k WHERE len < 800),
+    "snp_kmer_classes": f"""WITH {READS}, k0 AS (SELECT DISTINCT read_id AS read, len, substr(upper(seq), CAST(i AS BIGINT), 11) AS w FROM reads, unnest(range(1, length(seq) - 9)) AS t(i) WHERE length(seq) >= 11), k AS (SELECT DISTINCT read, len, least(w, translate(reverse(w), 'ACGT', 'TGCA')) AS kmer FROM k0 WHERE regexp_full_match(w, '[ACGT]+')), p AS (SELECT DISTINCT kmer FROM k WHERE len > 1500), m AS (SELECT DISTINCT kmer FROM k WHERE len < 800),
         c AS (SELECT read, count(p.kmer) AS pat, count(m.kmer) AS mat FROM k LEFT JOIN p ON p.kmer = k.kmer LEFT JOIN m ON m.kmer = k.kmer GROUP BY read), s AS (SELECT greatest(1, (SELECT count(*) FROM p)) AS np, greatest(1, (SELECT count(*) FROM m)) AS nm)
         SELECT read, pat, mat, CASE WHEN pat / np > mat / nm THEN 1 WHEN mat / nm > pat / np THEN -1 ELSE 0 END AS cls FROM c, s WHERE pat + mat > 0""",
     "set_names": """WITH r AS (SELECT DISTINCT read_name AS name FROM seq_reads WHERE read_name IS NOT NULL), o AS (SELECT qname AS name FROM read_overlaps WHERE qname IS NOT NULL UNION SELECT tname FROM read_overlaps WHERE tname IS NOT NULL)

@@ -96,6 +96,11 @@ def drop(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table of ``cut`` of this application. For long applications, between runs whose results are written."""
+    _delete(spark, shared_folder(spark))
+
+
 def n_rows(df: DataFrame) -> int:
     """Rows of ``df``, without a job if it comes from ``cut``."""
     n = getattr(df, "_strandframe_rows", None)
