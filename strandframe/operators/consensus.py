@@ -121,19 +121,21 @@ def correct_reads(overlaps: DataFrame, reads: DataFrame, most: int = 60, least:
     ``reads`` has (read_id, seq)."""
     top = overlaps.where("a_id != b_id").withColumn("_n", F.expr("(a_end - a_start + b_end - b_start) div 2"))
     q = reads.select(F.col("read_id").alias("a_id"), F.upper("seq").alias("_q"))
-    t = reads.select(F.col("read_id").alias("b_id"), F.upper("seq").alias("_t"))
-    rows = top.join(q, "a_id").join(t, "b_id").where("_q is not null and _t is not null")
-    rows = rows.select("b_id", "a_id", F.col("b_start").alias("s"), F.col("b_end").alias("e"), slice_of(F.col("_q"), F.col("a_start"), F.col("a_end"), (F.col("a_strand") != F.col("b_strand")).cast("int")).alias("bases"), "_t", "_n")
+    rows = top.join(q, "a_id").where("_q is not null")
+    rows = rows.select("b_id", "a_id", F.col("b_start").alias("s"), F.col("b_end").alias("e"), slice_of(F.col("_q"), F.col("a_start"), F.col("a_end"), (F.col("a_strand") != F.col("b_strand")).cast("int")).alias("bases"), "_n")
+    targets = reads.select(F.col("read_id").alias("b_id"), F.upper("seq").alias("_t")).where("_t is not null")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        target = p["_t"].iloc[0]
+    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if t.empty or p.empty:
+            return pd.DataFrame({"read": [0], "seq": [""], "range_start": [0], "range_end": [0], "used": [0]}).iloc[:0]
         p = p.sort_values(["_n", "a_id"], ascending=[False, True], kind="stable")
-        seq, a, b, scores = correct(target, list(zip(p["a_id"], p["bases"], p["s"], p["e"], strict=True)), least, deep=most)
+        seq, a, b, scores = correct(t["_t"].iloc[0], list(zip(p["a_id"], p["bases"], p["s"], p["e"], strict=True)), least, deep=most)
         return pd.DataFrame({"read": [p["b_id"].iloc[0]], "seq": [seq], "range_start": [a], "range_end": [b], "used": [sum(s[2] for s in scores)]})
 
-    # a group costs far more than its bytes tell, so partitions are not merged by size
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b_id")
-    return rows.groupBy("b_id").applyInPandas(run, "read long, seq string, range_start int, range_end int, used int")
+    # a target's bases meet its queries once; a group costs far more than its bytes tell, so partitions are not merged by size
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.repartition(parts, "b_id").groupBy("b_id") for x in (targets, rows))
+    return left.cogroup(right).applyInPandas(run, "read long, seq string, range_start int, range_end int, used int")
 
 
 def candidate_weights(sides: DataFrame, overhang_weight: float = 0.5) -> DataFrame:
