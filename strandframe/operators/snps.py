@@ -41,6 +41,14 @@ def agreement(pairs: DataFrame, alleles: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum((F.col("_x") == F.col("_y")).cast("long")).alias("same"), F.sum((F.col("_x") != F.col("_y")).cast("long")).alias("different"))
 
 
+def shared_sites(alleles: DataFrame, least: int) -> DataFrame:
+    """(ctg, t, q, n) of reads of a contig with calls at ``least`` sites in common, t < q. Reads that overlap on the contig meet at
+    its sites, so the pairs of a site are bounded by the coverage there."""
+    ok = alleles.where("choice != -1").select("ctg", "pos", "read").distinct()
+    both = ok.select("ctg", "pos", F.col("read").alias("t")).join(ok.select("ctg", "pos", F.col("read").alias("q")), ["ctg", "pos"]).where("t < q")
+    return both.groupBy("ctg", "t", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
 def majority_vote(alleles: DataFrame) -> DataFrame:
     """(ctg, pos, choice) by more than half of the calls other than -1."""
     n = alleles.where("choice != -1").groupBy("ctg", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("choice").alias("ones"))

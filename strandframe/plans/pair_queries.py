@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import dna
 from strandframe.functions.overlap import Filter, aligned_length
-from strandframe.operators import calls, grouping, pairs, snps
+from strandframe.operators import calls, graph, grouping, pairs, snps
 from strandframe.plans.column_queries import FILTER, SQL as COLUMN_SQL, _carry, _loc, _rev
 from strandframe.plans.views import AL, LEN, OV, READS, alignments, overlaps, reads
 from strandframe.session import cut, table
@@ -141,6 +141,45 @@ def snp_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snps.agreement(listed, _alleles(spark, sf_dir))
 
 
+def snp_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of a target with three sites in common or more."""
+    return snps.shared_sites(_alleles(spark, sf_dir), 3)
+
+
+def ctg_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of which a fifth of the reads are listed against reads of another contig."""
+    al = alignments(spark, sf_dir).select(F.col("b_id").alias("ctg"), F.col("a_id").alias("read")).distinct()
+    return graph.grouped_contigs(al, _listed(spark, sf_dir).select("t", "q"), 0.2).select("a", "b", "n", F.round("rate", 9).alias("rate"))
+
+
+def _contig_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs one behind the other along a read: a, b, the place on a where the read leaves it, and aligned bases."""
+    al = alignments(spark, sf_dir).groupBy(F.col("a_id").alias("read"), F.col("b_id").alias("ctg")).agg(F.min(F.struct("a_start", "b_end", aligned_length().alias("n"))).alias("t")).select("read", "ctg", "t.*")
+    w = Window.partitionBy("read").orderBy("a_start", "ctg")
+    return al.withColumns({"b": F.lead("ctg").over(w), "m": F.lead("n").over(w)}).where("b is not null").select(F.col("ctg").alias("a"), "b", F.col("b_end").alias("pos"), F.least("n", "m").alias("score"))
+
+
+def ctg_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of links between two contigs."""
+    return graph.link_scores(_contig_links(spark, sf_dir), 2000)
+
+
+def ctg_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best way out of every contig by supporting reads."""
+    n = _contig_links(spark, sf_dir).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("reads"))
+    return n.groupBy("a").agg(F.max(F.struct("reads", (-F.col("b")).alias("b"))).alias("t")).select("a", (-F.col("t.b")).alias("b"), "t.reads")
+
+
+def ctg_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences spelled from the first 60 bases of the reads of a contig's tiles."""
+    t = table(spark, sf_dir, "contig_tiles").where("seq_name is not null and tile_no is not null and edge_path is not null").groupBy("seq_name", "tile_no").agg(F.max("edge_path").alias("e"))
+    node = F.element_at(F.split("e", "~"), 2)
+    tiles = t.select(F.col("seq_name").alias("ctg"), "tile_no", F.expr("substring(split(e, '~')[1], 1, length(split(e, '~')[1]) - 2)").alias("read"), F.when(F.endswith(node, F.lit("E")), 0).otherwise(1).alias("strand"), F.lit(0).alias("start"), F.lit(60).alias("end"))
+    r = reads(spark, sf_dir).where("name is not null").select(F.col("name").alias("read"), F.upper(F.coalesce("seq", F.lit(""))).alias("seq"))
+    got = graph.contig_sequences(tiles, r)
+    return got.select("ctg", F.length("seq").alias("bases"), F.md5("seq").alias("md5"))
+
+
 def snp_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads against their contigs' majority."""
     al = _alleles(spark, sf_dir)
@@ -247,7 +286,7 @@ def vec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        join_split, join_outvoted, join_opposite, join_variants, join_ways, snp_offsets, vec_compare,
+        snp_shared, ctg_grouped, ctg_links, ctg_best_links, ctg_sequences, join_split, join_outvoted, join_opposite, join_variants, join_ways, snp_offsets, vec_compare,
         join_inconsistent, join_inconsistent_strict, join_distance, join_known, join_blocks, join_rescued, join_triangles, join_shared, join_hanging, join_sequences, join_names, join_classes,
         snp_histogram, snp_confirmed, snp_alleles, snp_agreement, snp_vote, snp_linkage, snp_nearest, snp_kmer_classes, set_names, set_contigs, set_variants,
     )
@@ -303,7 +342,18 @@ _SNP = f"WITH {OV}, {READS}, {_CALLS}, {_HIST}, {_conf('conf', 1)}, {_ALL}"
 
 _VOTES = "mj AS (SELECT ctg, pos, CASE WHEN sum(choice) * 2 > count(*) THEN 1 ELSE 0 END AS t FROM alleles WHERE choice <> -1 GROUP BY ctg, pos HAVING sum(choice) * 2 <> count(*)), vt AS (SELECT read, ctg, count(*) FILTER (choice = t) AS agree, count(*) FILTER (choice <> t) AS disagree FROM alleles JOIN mj USING (ctg, pos) WHERE choice <> -1 GROUP BY read, ctg)"
 
+_CTG_LINKS = f"""pa AS (SELECT * FROM (SELECT a_id AS read, b_id AS ctg, a_start AS s, b_end AS pos, {LEN} AS n, row_number() OVER (PARTITION BY a_id, b_id ORDER BY a_start, b_end, {LEN}) AS rn FROM al) WHERE rn = 1),
+    cl AS (SELECT ctg AS a, b, pos, least(n, m) AS score FROM (SELECT *, lead(ctg) OVER w AS b, lead(n) OVER w AS m FROM pa WINDOW w AS (PARTITION BY read ORDER BY s, ctg)) WHERE b IS NOT NULL)"""
+
 SQL = {
+    "snp_shared": f"{_SNP} SELECT x.ctg, x.read AS t, y.read AS q, count(*) AS n FROM alleles x JOIN alleles y ON x.ctg = y.ctg AND x.pos = y.pos AND x.read < y.read WHERE x.choice <> -1 AND y.choice <> -1 GROUP BY x.ctg, x.read, y.read HAVING count(*) >= 3",
+    "ctg_grouped": f"""WITH {OV}, {_OFF}, {_LIST}, {AL}, mb AS (SELECT DISTINCT b_id AS ctg, a_id AS read FROM al), sz AS (SELECT ctg, count(*) AS size FROM mb GROUP BY ctg), li AS (SELECT DISTINCT t, q FROM listed),
+        h AS (SELECT x.ctg AS a, y.ctg AS b, count(DISTINCT t) AS n FROM li JOIN mb x ON x.read = t JOIN mb y ON y.read = q WHERE x.ctg <> y.ctg GROUP BY x.ctg, y.ctg) SELECT a, b, n, round(n / size, 9) AS rate FROM h JOIN sz ON ctg = a WHERE (n / size >= 0.2::DOUBLE AND n >= 3) OR n / size >= 1""",
+    "ctg_links": f"WITH {AL}, {_CTG_LINKS}, w AS (SELECT a, b, pos, CAST(sum(score) OVER (PARTITION BY a, b ORDER BY pos RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM cl WHERE a <> b) SELECT a, b, max(s) AS best, min(pos) FILTER (s = m) AS at FROM (SELECT *, max(s) OVER (PARTITION BY a, b) AS m FROM w) GROUP BY a, b",
+    "ctg_best_links": f"WITH {AL}, {_CTG_LINKS}, n AS (SELECT a, b, count(*) AS reads FROM cl WHERE a <> b GROUP BY a, b) SELECT a, b, reads FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY reads DESC, b) AS rn FROM n) WHERE rn = 1",
+    "ctg_sequences": f"""WITH {READS}, t AS (SELECT seq_name AS ctg, tile_no, split_part(max(edge_path), '~', 2) AS node FROM contig_tiles WHERE seq_name IS NOT NULL AND tile_no IS NOT NULL AND edge_path IS NOT NULL GROUP BY seq_name, tile_no),
+        p AS (SELECT ctg, tile_no, CASE WHEN node LIKE '%E' THEN substr(upper(coalesce(seq, '')), 1, 60) ELSE translate(reverse(substr(upper(coalesce(seq, '')), 1, 60)), 'ACGT', 'TGCA') END AS s FROM t JOIN reads ON name = left(node, length(node) - 2)), g AS (SELECT ctg, string_agg(s, '' ORDER BY tile_no) AS s FROM p GROUP BY ctg)
+        SELECT ctg, CAST(length(s) AS INTEGER) AS bases, md5(s) AS md5 FROM g""",
     "join_split": "SELECT ctg_kind AS part, aln_id FROM (SELECT DISTINCT aln_id, tname FROM alignments) JOIN (SELECT DISTINCT ctg_kind, ctg_name FROM contigs WHERE ctg_kind IS NOT NULL) ON ctg_name = tname",
     "join_outvoted": f"{_SNP}, {_VOTES} SELECT ol_id FROM ov WHERE NOT EXISTS (SELECT 1 FROM vt WHERE read = a_id AND ctg = b_id AND disagree > agree)",
     "join_opposite": f"""WITH {OV}, {_OFF}, {_LIST}, {AL}, bo AS (SELECT t, q FROM listed UNION SELECT q, t FROM listed), mb AS (SELECT DISTINCT b_id AS ctg, a_id AS t FROM al), n AS (SELECT ctg, q FROM mb JOIN bo USING (t) GROUP BY ctg, q HAVING count(*) >= 2)
