@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.functions.overlap import sides
 from strandframe.operators.prefix import haloed, next_position, running_count, running_max_before, running_sum
-from strandframe.session import cut
+from strandframe.session import cut, skew_join
 
 
 def segments(intervals: DataFrame, keys: Sequence[str], start: Column, end: Column, length: Column | None = None) -> DataFrame:
@@ -109,6 +110,14 @@ def crowded(rows: DataFrame, keys: Sequence[str], pos: str, width: int, least: i
     return both.withColumn("_most", F.max("_n").over(w.rangeBetween(0, width))).where(F.col("_real") & (F.col("_most") >= least)).drop("_n", "_most", "_b", "_real")
 
 
+def covers(overlaps: DataFrame) -> DataFrame:
+    """(read, least, middle): of every read of the overlaps the least and the middle of the mean coverages of its thirds, its id as
+    text."""
+    segs = cut(segments(sides(overlaps, "ol_id"), ["read"], F.col("r_start"), F.col("r_end"), F.col("r_len")))
+    third = thirds(skew_join(segs, segs.groupBy("read").agg(F.max("end").alias("len")), ["read"]), ["read"], F.col("len"))
+    return cut(third.select(F.col("read").cast("string").alias("read"), F.least("c0", "c1", "c2").alias("least"), F.col("c1").alias("middle")))
+
+
 def histogram(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("value")).agg(F.count(F.lit(1)).alias("freq"))
 

@@ -147,6 +147,38 @@ def unreliable(edges: DataFrame, score: str, share: float = 0.5) -> DataFrame:
     return _with_mirrors(bad, "unreliable")
 
 
+def uncovered(edges: DataFrame, cover: DataFrame, min_length: int = 10_000, min_rate: float = 0.66, max_rate: float = 1.5) -> DataFrame:
+    """Ways out of a fork that its read's coverage does not call for. ``cover`` has (read, least, middle): the least coverage of a
+    read and that of its middle third; a read without a row counts as 0 and limits nothing.
+
+    The ways are gone through by falling score, ties by the out node. One falls if its score is below ``min_length`` and below
+    ``min_rate`` of the best one kept, or if the least coverages kept so far and its own pass ``max_rate`` times the middle
+    coverage of the fork's read. Rows stream by in order, so a fork's ways are not gathered."""
+    name = lambda c: F.expr(f"substring({c}, 1, length({c}) - 2)")
+    c = cover.groupBy("read").agg(F.max("least").alias("least"), F.max("middle").alias("middle"))
+    forks = degrees(edges).where("n_out > 1").select(F.col("node").alias("in_node"))
+    rows = edges.select(*EDGE, F.coalesce("score", F.lit(0)).cast("long").alias("score")).join(forks, "in_node", "left_semi").withColumns({"_u": name("in_node"), "_v": name("out_node")})
+    rows = rows.join(c.select(F.col("read").alias("_u"), "middle"), "_u", "left").join(c.select(F.col("read").alias("_v"), "least"), "_v", "left")
+    rows = rows.select(*EDGE, "score", F.coalesce("least", F.lit(0)).cast("long").alias("least"), F.coalesce(F.col("middle") * F.lit(max_rate), F.lit(float("inf"))).alias("most"))
+
+    def run(parts):
+        node, kept, best = None, 0, 0
+        for p in parts:
+            gone = []
+            for n, s, least, most in zip(p["in_node"], p["score"], p["least"], p["most"], strict=True):
+                if n != node:
+                    node, kept, best = n, 0, 0
+                short = s < min_length and s < best * min_rate
+                fall = short or (kept != 0 and kept + least > most)
+                gone.append(fall)
+                if not fall:
+                    kept, best = kept + least, max(best, s)
+            yield p.loc[gone, EDGE]
+
+    ordered = rows.repartition("in_node").sortWithinPartitions("in_node", F.col("score").desc(), "out_node")
+    return _with_mirrors(ordered.mapInPandas(run, "in_node string, out_node string"), "unreliable")
+
+
 def spurs(edges: DataFrame, nodes: int, length: int) -> DataFrame:
     """Edges of branches that end within fewer than ``nodes`` nodes or ``length`` bases, from nodes with a longer way out.
 
@@ -312,12 +344,12 @@ def phased(edges: DataFrame, links: DataFrame, least: int = 2) -> DataFrame:
     return _with_mirrors(rows.withColumn("_g", good).where((F.col("_g") == 1) & (F.col("diff") - F.col("same") >= least)), "phase")
 
 
-def simplify(edges: DataFrame, strategy: str, registry: dict | None = None, spare: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def simplify(edges: DataFrame, strategy: str, registry: dict | None = None, spare: DataFrame | None = None, links: DataFrame | None = None, cover: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges left, reduced with reasons) after the steps of ``name:key=value:...|name|...``, in order.
 
     Known names: transitive (fuzz), quality (th; else from the data, where there is a column ``quality``), spur (n, l), best,
-    extend (adds ``spare`` edges), phase (by ``links`` of alleles), unreliable (r), bridge (f), repeat. A step whose table is
-    not given reduces nothing."""
+    extend (adds ``spare`` edges), phase (by ``links`` of alleles), unreliable (by the ``cover`` of reads: l, r, c; without it by
+    the share r of the best scores), bridge (f), repeat. A step whose table is not given reduces nothing."""
     from strandframe.operators.condensed import bridges
 
     def quality(e: DataFrame, p: dict[str, str]) -> DataFrame | None:
@@ -333,7 +365,7 @@ def simplify(edges: DataFrame, strategy: str, registry: dict | None = None, spar
         "best": lambda e, p: best(e, [F.col("score")]),
         "phase": lambda e, p: None if links is None else phased(e, links, int(p.get("sc", 2))),
         "repeat": lambda e, p: repeats(e),
-        "unreliable": lambda e, p: unreliable(e, "score", float(p.get("r", 0.5))),
+        "unreliable": lambda e, p: unreliable(e, "score", float(p.get("r", 0.5))) if cover is None else uncovered(e, cover, int(p.get("l", 10_000)), float(p.get("r", 0.66)), float(p.get("c", 1.5))),
         "bridge": lambda e, p: bridges(e, float(p.get("f", 2))),
     } | (registry or {})
     gone = None

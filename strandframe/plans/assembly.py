@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.overlap import Filter, extended
-from strandframe.operators import condensed, graph, grouping
+from strandframe.operators import condensed, coverage, graph, grouping
 from strandframe.session import cut
 
 
@@ -58,7 +58,7 @@ def assemble(overlaps: DataFrame, reads: DataFrame, options: Options | None = No
     edges = cut(graph.string_edges(alive))
     # contained reads may lead on from dead ends
     spare = cut(graph.string_edges(kept))
-    left, reduced = graph.simplify(edges, o.strategy, spare=spare, links=links)
+    left, reduced = graph.simplify(edges, o.strategy, spare=spare, links=links, cover=coverage.covers(kept))
     first = cut(graph.unitigs(left))
     whole = cut(graph.condensed(left, first))
     _, off = condensed.simplify(whole.select("in_node", "out_node", "len", "score"), o.paths)

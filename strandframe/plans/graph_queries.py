@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandframe.operators import condensed, graph
+from strandframe.operators import condensed, coverage, graph
 from strandframe.plans.column_queries import _loc
-from strandframe.plans.views import EDGES, LEN, OV, edges, overlaps
+from strandframe.plans.views import EDGES, LEN, OV, READS, SIDES, edges, overlaps, reads
 from strandframe.session import table
 
 
@@ -56,6 +56,21 @@ def graph_unreliable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unreliable(graph.mirrored(edges(spark, sf_dir)), "score", 0.6)
 
 
+def graph_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways out of forks beyond what the coverage of their read calls for."""
+    names = reads(spark, sf_dir).where("name is not null").select(F.col("read_id").cast("string").alias("read"), "name")
+    cover = coverage.covers(overlaps(spark, sf_dir)).join(names, "read").select(F.col("name").alias("read"), "least", "middle")
+    return graph.uncovered(graph.mirrored(edges(spark, sf_dir)), cover, 1000, 0.66, 1.2)
+
+
+def graph_best_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are not the best on a side by alleles, score and identity."""
+    df = table(spark, sf_dir, "graph_edges").where("in_node is not null and out_node is not null and in_node != out_node")
+    snp = F.coalesce("snp_same", F.lit(0)) - 2 * F.coalesce("snp_diff", F.lit(0))
+    e = df.groupBy("in_node", "out_node").agg(F.max(snp).alias("snp"), F.max("score").alias("score"), F.max("identity_pct").alias("identity"))
+    return graph.best(graph.mirrored(e), [F.col("snp"), F.col("score"), F.col("identity")])
+
+
 def graph_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of low identity, with a way out left to every node."""
     df = table(spark, sf_dir, "graph_edges").where("in_node is not null and out_node is not null and in_node != out_node and identity_pct is not null")
@@ -157,7 +172,7 @@ def path_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condensed.contig_paths(condensed.simplify(_clean(spark, sf_dir))[0])
 
 
-QUERIES = {f.__name__: f for f in (path_spurs, path_semi, path_bridges, path_crossings, path_duplicates, path_loops, path_clusters, path_bubbles, path_flows, path_contigs, graph_string_edges, graph_degrees, graph_mirrored, graph_transitive, graph_repeats, graph_best, graph_loops, graph_duplicates, graph_unreliable, graph_quality, graph_spurs, graph_unitigs, graph_condensed, graph_near, graph_simplified)}
+QUERIES = {f.__name__: f for f in (graph_uncovered, graph_best_alleles, path_spurs, path_semi, path_bridges, path_crossings, path_duplicates, path_loops, path_clusters, path_bubbles, path_flows, path_contigs, graph_string_edges, graph_degrees, graph_mirrored, graph_transitive, graph_repeats, graph_best, graph_loops, graph_duplicates, graph_unreliable, graph_quality, graph_spurs, graph_unitigs, graph_condensed, graph_near, graph_simplified)}
 
 
 def _rev(x: str) -> str:
@@ -193,6 +208,18 @@ _THIN = f"th AS (SELECT in_node, out_node, len, score FROM (SELECT *, row_number
 _DEGK = _DEG.replace("FROM m", "FROM k")
 
 SQL = {
+    "graph_best_alleles": f"""WITH r AS (SELECT in_node, out_node, max(coalesce(snp_same, 0) - 2 * coalesce(snp_diff, 0)) AS snp, max(score) AS score, max(identity_pct) AS identity FROM graph_edges WHERE in_node IS NOT NULL AND out_node IS NOT NULL AND in_node <> out_node GROUP BY in_node, out_node),
+        m AS (SELECT in_node, out_node, max(snp) AS snp, max(score) AS score, max(identity) AS identity FROM (SELECT * FROM r UNION ALL SELECT {_rev('out_node')}, {_rev('in_node')}, snp, score, identity FROM r) GROUP BY in_node, out_node)
+        {_both(_best('m', 'snp DESC NULLS LAST, score DESC NULLS LAST, identity DESC NULLS LAST'), 'best')}""",
+    "graph_uncovered": f"""WITH RECURSIVE {OV}, {SIDES}, {READS}, {_M}, iv AS (SELECT read, CAST(r_start AS BIGINT) AS s, CAST(r_end AS BIGINT) AS e, CAST(r_len AS BIGINT) AS l FROM sides),
+        ev AS (SELECT read, pos, CAST(sum(d) AS BIGINT) AS d FROM (SELECT read, s AS pos, 1 AS d FROM iv WHERE s < e UNION ALL SELECT read, e, -1 FROM iv WHERE s < e UNION ALL SELECT read, 0, 0 FROM iv WHERE l IS NOT NULL UNION ALL SELECT read, l, 0 FROM iv WHERE l IS NOT NULL) GROUP BY read, pos),
+        sg AS (SELECT * FROM (SELECT read, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS depth FROM ev WINDOW w AS (PARTITION BY read ORDER BY pos)) WHERE "end" IS NOT NULL), sl AS (SELECT *, max("end") OVER (PARTITION BY read) // 3 AS t FROM sg),
+        th AS (SELECT read, CAST(sum(depth * greatest(0, least("end", t) - start)) AS BIGINT) // nullif(max(t), 0) AS c0, CAST(sum(depth * greatest(0, least("end", 2 * t) - greatest(start, t))) AS BIGINT) // nullif(max(t), 0) AS c1, CAST(sum(depth * greatest(0, "end" - greatest(start, 2 * t))) AS BIGINT) // nullif(max(t), 0) AS c2 FROM sl GROUP BY read),
+        cv AS (SELECT name, max(least(c0, c1, c2)) AS least, max(c1) AS middle FROM th JOIN reads ON read_id = read WHERE name IS NOT NULL GROUP BY name), fk AS (SELECT in_node FROM m GROUP BY in_node HAVING count(*) > 1),
+        w AS (SELECT m.in_node, m.out_node, coalesce(m.score, 0) AS s, coalesce(o.least, 0) AS least, i.middle * 1.2::DOUBLE AS most, row_number() OVER (PARTITION BY m.in_node ORDER BY coalesce(m.score, 0) DESC, m.out_node) AS k FROM m JOIN fk ON fk.in_node = m.in_node LEFT JOIN cv i ON i.name = left(m.in_node, length(m.in_node) - 2) LEFT JOIN cv o ON o.name = left(m.out_node, length(m.out_node) - 2)),
+        g AS (SELECT in_node, out_node, k, FALSE AS fall, CAST(least AS BIGINT) AS kept, CAST(s AS BIGINT) AS best FROM w WHERE k = 1
+            UNION ALL SELECT in_node, out_node, k, fall, CASE WHEN fall THEN kept ELSE kept + least END, CASE WHEN fall THEN best ELSE greatest(best, s) END FROM (SELECT w.*, g.kept, g.best, (w.s < 1000 AND w.s < g.best * 0.66::DOUBLE) OR (g.kept <> 0 AND coalesce(g.kept + w.least > w.most, FALSE)) AS fall FROM g JOIN w ON w.in_node = g.in_node AND w.k = g.k + 1))
+        {_both('SELECT in_node, out_node FROM g WHERE fall', 'unreliable')}""",
     "graph_simplified": f"""WITH {_M}, t AS MATERIALIZED (SELECT in_node, out_node FROM ({_both(_trans('m', 500), 't')}) SEMI JOIN m USING (in_node, out_node)), m1 AS MATERIALIZED (SELECT m.* FROM m ANTI JOIN t USING (in_node, out_node)), ur AS MATERIALIZED (SELECT in_node, out_node FROM ({_both(_UNREL.format('m1', 0.5), 'u')}) SEMI JOIN m1 USING (in_node, out_node)),
         m2 AS MATERIALIZED (SELECT m1.* FROM m1 ANTI JOIN ur USING (in_node, out_node)), bt AS (SELECT in_node, out_node FROM ({_both(_best('m2', 'score DESC NULLS LAST'), 'b')}) SEMI JOIN m2 USING (in_node, out_node))
         SELECT 'transitive' AS reason, count(*) AS n FROM t UNION ALL SELECT 'unreliable', count(*) FROM ur UNION ALL SELECT 'best', count(*) FROM bt""",
