@@ -55,6 +55,52 @@ def test_tables_against_adjacency(spark, step):
     assert found
 
 
+def ways_beside(seed):
+    """Nodes whose ways out hold those of their siblings, hubs on both sides, and bubbles between chains."""
+    rnd = random.Random(seed)
+    edges = [("h:E", f"m{i}:E", 3, 5) for i in range(14)] + [(f"m{i}:E", t, 4, rnd.choice([3, 7])) for i in range(14) for t in rnd.sample(["t:E", "u:E", "v:E"], rnd.choice([1, 2]))]
+    for k in range(4):
+        a, b, c, d = (f"{x}{k}:E" for x in "abcd")
+        edges += [(a, b, 4, rnd.choice([2, 9])), (a, c, 5, 5), (b, d, 6, 5), (c, d, 1, rnd.choice([2, 9])), (d, f"a{k + 1}:E", 2, 3)]
+        edges += [(b, c, 2, 4)] if rnd.random() < 0.3 else [(d, a, 2, 2)] if rnd.random() < 0.2 else []
+    return closed([*some_graph(seed), *edges])
+
+
+@pytest.mark.parametrize(("part_rows", "set_ways", "seed"), [(100_000, 100, 0), (0, 1, 1)])
+def test_steps_of_whole_clusters_against_adjacency(spark, rows, monkeypatch, part_rows, set_ways, seed):
+    monkeypatch.setattr(condensed, "PART_ROWS", part_rows)
+    monkeypatch.setattr(condensed, "SET_WAYS", set_ways)
+    edges = [(u, v, n, None if s == 4 else s) for u, v, n, s in ways_beside(seed)]
+    df = spark.createDataFrame(edges, EDGE)
+    found = 0
+    for step, plain in (("transitive", lambda g: g.covered_branches()), ("bubble:s=0", lambda g: g.pop_bubbles())):
+        g = PathGraph([(u, v, n, s or 0) for u, v, n, s in edges], mirror=flip)
+        plain(g)
+        assert rows(condensed.simplify(df, step)[1], "in_node", "out_node") == sorted(g.reason, key=repr)
+        found += bool(g.reason)
+    assert found == 2
+    g = PathGraph([(u, v, n, s or 0) for u, v, n, s in edges], mirror=flip)
+    want = [(p[0], p[-1], len(p), sum(g.length[e] for e in zip(p, p[1:], strict=False))) for p in g.paths()]
+    assert rows(condensed.contig_paths(df)) == sorted(want, key=repr)
+
+
+def test_contig_paths_of_rings_begin_at_the_smallest_node(spark, rows):
+    ring = [("b:E", "c:E", 3, 9), ("c:E", "a:E", 5, 9), ("a:E", "b:E", 7, 9)]
+    assert rows(condensed.contig_paths(spark.createDataFrame(ring, EDGE))) == [("a:E", "c:E", 3, 10)]
+
+
+def test_branches_between_two_hubs_are_not_paired(spark, monkeypatch):
+    """Siblings with the same ways out are compared at once, and no task gathers the cluster."""
+    monkeypatch.setattr(condensed, "by_cluster", None)
+    edges = closed([e for i in range(400) for e in (("h:E", f"m{i}:E", 3, i), (f"m{i}:E", "t:E", 4, i))])
+    sizes = []
+    write = condensed.cut
+    monkeypatch.setattr(condensed, "cut", lambda df, **kw: sizes.append(write(df, **kw)) or sizes[-1])
+    gone = condensed.simplify(spark.createDataFrame(edges, EDGE), "transitive")[1]
+    assert gone.count() == 4 * 399
+    assert max(condensed.n_rows(x) for x in sizes) <= len(edges)
+
+
 def test_back_edges(spark, rows):
     df = spark.createDataFrame(closed([("k:E", "l:E", 3, 4), ("l:E", "k:E", 3, 7), ("m:E", "n:E", 3, 4)]), EDGE)
     assert rows(condensed.back_edges(df), "in_node", "out_node") == [("k:E", "l:E"), ("l:B", "k:B")]
